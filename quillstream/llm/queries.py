@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstream.llm import packing, simhash, tokenfile
+from quillstream.llm import packing, puclass, simhash, tokenfile, topk
 from quillstream.llm._support import table
 
 
@@ -20,6 +20,10 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
 def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=1)
 
@@ -32,10 +36,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return puclass.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op2_topk": op2_topk,
     "op5_token_file": op5_token_file,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_topk": topk.SQL}
