@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstream.llm import packing, puclass, simhash, tokenfile, topk
+from quillstream.llm import chat, packing, puclass, quality, simhash, tokenfile, topk
 from quillstream.llm._support import table
 
 
@@ -24,6 +24,10 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=1)
 
@@ -36,16 +40,23 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.with_probe(spark, table(spark, sf_dir, "conversations"))
+    return chat.digest(chat.chat(chat.as_chains(rows)))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return puclass.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {
     "op2_topk": op2_topk,
+    "op3_quality_rules": op3_quality_rules,
     "op5_token_file": op5_token_file,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
+    "op9_chat": op9_chat,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_topk": topk.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_topk": topk.SQL, "op9_chat": chat.SQL}
