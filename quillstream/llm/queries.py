@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstream.llm import chat, packing, puclass, quality, simhash, tokenfile, topk
+from quillstream.llm import chat, mixing, packing, pii, puclass, quality, simhash, tokenfile, topk
 from quillstream.llm._support import table
 
 
@@ -20,6 +20,10 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
 
@@ -28,6 +32,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=1)
 
@@ -50,8 +58,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_topk": op2_topk,
     "op3_quality_rules": op3_quality_rules,
+    "op4_mixing": op4_mixing,
     "op5_token_file": op5_token_file,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
