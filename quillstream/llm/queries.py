@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstream.llm import chat, mixing, packing, pii, puclass, quality, simhash, tokenfile, topk
+from quillstream.llm import chat, html_text, mixing, packing, pii, puclass, quality, simhash, tokenfile, topk
 from quillstream.llm._support import table
 
 
@@ -48,6 +48,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.render(table(spark, sf_dir, "pages"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.with_probe(spark, table(spark, sf_dir, "conversations"))
     return chat.digest(chat.chat(chat.as_chains(rows)))
@@ -65,6 +69,7 @@ QUERIES = {
     "op5_token_file": op5_token_file,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
+    "op8_html_text": op8_html_text,
     "op9_chat": op9_chat,
     "op10_quality_classifier": op10_quality_classifier,
 }

@@ -368,3 +368,134 @@ def near_duplicates(
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
+
+
+# ---- similarity of 0.8 or more ---------------------------------------------------------------
+#
+# Two sets of similarity J have a cosine of about 2 J / (1 + J), and each bit of their SimHash
+# differs with probability arccos(cosine) / pi: 0.151 at J = 0.8. Sixty-four bits spread too widely
+# around that, so representatives() takes 512 bits (eight mixed hashes of each shingle), cut into
+# partitions of WIDE_BITS bits with radius zero: a pair of similarity 0.8 agrees on one of the 42
+# partitions with probability 0.998. Candidates are verified on all 512 bits.
+
+WIDE_WORDS, WIDE_BITS, WIDE_DISTANCE = 8, 12, 86
+_MIX = (np.arange(1, WIDE_WORDS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+
+
+def wide_fingerprint(text: str | None, shingle: int) -> bytes:
+    """512 bits of SimHash over shingles, repeats included; of texts without words, zeros."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    total = max(1, len(words) - shingle + 1)
+    if not words:
+        return bytes(8 * WIDE_WORDS)
+    digest = xxhash.xxh64_intdigest
+    counts = np.zeros((WIDE_WORDS, BITS), dtype=np.int64)
+    for at in range(0, total, 1 << 14):
+        end = min(total, at + (1 << 14))
+        h = np.array([digest(b" ".join(words[i : i + shingle]), 42) for i in range(at, end)], dtype=np.uint64)
+        for k in range(WIDE_WORDS):
+            x = (h ^ (h >> np.uint64(31))) * _MIX[k]
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(32)
+            bits = np.unpackbits(x.view(np.uint8), bitorder="little").reshape(-1, BITS)
+            counts[k] += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(counts.ravel() * 2 > total, bitorder="little").tobytes()
+
+
+def _wide(column: pa.Array) -> np.ndarray:
+    """(rows, words) of a column of wide fingerprints."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(-1, WIDE_WORDS)
+
+
+def wide_links(uniq: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
+    """(a, b): links between documents (doc, wide) whose wide fingerprints are within distance."""
+    parts = BITS * WIDE_WORDS // WIDE_BITS
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bits = np.unpackbits(_wide(batch.column(1)).view(np.uint8), axis=1, bitorder="little")
+            value = bits[:, : parts * WIDE_BITS].reshape(len(bits), parts, WIDE_BITS).astype(np.int64) @ (1 << np.arange(WIDE_BITS))
+            keys = (np.arange(parts)[None, :] << 32) | value
+            own = pa.array(np.repeat(np.arange(len(bits)), parts))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys.ravel()), batch.column(0).take(own), batch.column(1).take(own)], names=["key", "doc", "wide"]
+            )
+
+    keyed = uniq.select("doc", "wide").mapInArrow(spread, "key long, doc long, wide binary")
+    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TILE_ROWS)
+    hot = stored(hot.select("key", F.ceil(F.col("n") / TILE_ROWS).cast("int").alias("tiles")), "hot-keys")
+    dealt = keyed.join(hot, "key", "left") if not hot.isEmpty() else keyed.withColumn("tiles", F.lit(None).cast("int"))
+    # role 0: held as index, role 1: compared with the index, role 2: both
+    whole = F.array(F.struct(F.lit(0).alias("tile"), F.lit(2).alias("role")))
+    own = F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int")
+    tiled = F.concat(
+        F.array(F.struct(own.alias("tile"), F.lit(0).alias("role"))),
+        F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(t.alias("tile"), F.lit(1).alias("role"))),
+    )
+    dealt = dealt.select("key", "doc", "wide", F.explode(F.when(F.col("tiles").isNull(), whole).otherwise(tiled)).alias("t"))
+    dealt = dealt.select((F.col("key") + F.shiftleft(F.col("t.tile").cast("long"), 16)).alias("key"), "t.role", "doc", "wide")
+    dealt = dealt.repartition("key").sortWithinPartitions("key", "role")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WIDE_WORDS), np.uint64))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, role, doc = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            wide = _wide(batch.column(3))
+            fresh = held[0] == key[0]
+            index = [np.concatenate([h[fresh], x[role != 1]]) for h, x in zip(held, (key, doc, wide), strict=True)]
+            ask = [x[role != 0] for x in (key, doc, wide)]
+            low = np.searchsorted(index[0], ask[0], "left")
+            n = np.searchsorted(index[0], ask[0], "right") - low
+            yield from compare(index, ask, low, n)
+            last = index[0] == key[-1]
+            held = tuple(x[last] for x in index)
+
+    def compare(index, ask, low, n) -> Iterator[pa.RecordBatch]:
+        ends = np.cumsum(n)
+        at = 0
+        while at < len(n):
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + (PAIRS_AT_ONCE >> 3), "right")))
+            k = n[at:to]
+            a = np.repeat(np.arange(at, to), k)
+            b = np.repeat(low[at:to], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            once = ask[1][a] < index[1][b]
+            a, b = a[once], b[once]
+            near = np.bitwise_count(ask[2][a] ^ index[2][b]).sum(axis=1, dtype=np.int64) <= distance
+            if near.any():
+                x, y = spanning_edges(ask[1][a[near]], index[1][b[near]])
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+            at = to
+
+    return dealt.mapInArrow(verify, "a long, b long").distinct()
+
+
+def representatives(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = WIDE_DISTANCE
+) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component of similar texts the smallest id stays.
+
+    Rows without an id stay; rows that repeat an id stay or go together.
+    """
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = pa.array([wide_fingerprint(t.as_py(), shingle) for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), wide], names=["doc", "wide"])
+
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    prints = stored(rows.mapInArrow(run, "doc long, wide binary"), "wide-fingerprints")
+    first = stored(prints.groupBy("wide").agg(F.min("doc").alias("doc")), "distinct-wide")
+    roots = stored(components(wide_links(first, distance)), "roots")
+    placed = first.join(roots, first["doc"] == roots["node"], "left")
+    kept = placed.where("root IS NULL OR root = doc").select("doc")
+    return docs.join(kept.distinct().withColumnRenamed("doc", "__kept"), F.col(id_col) == F.col("__kept"), "left").where(
+        F.col("__kept").isNotNull() | F.col(id_col).isNull()
+    ).select(docs.columns)
