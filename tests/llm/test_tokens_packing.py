@@ -28,7 +28,8 @@ def both(spark, sf, odd_docs):
 def test_word_memo_equals_whole_texts():
     enc = PackedEncoder(load_definition(tokenizer_file()))
     assert enc.by_word
-    texts = ["It's  a\ttest\r\nΣΑΣ ς é ́x", "\x0b\x0ca\x1cb\x85c  d　e", "<|endoftext|>x <|endoftext|>", "", "a" * 300]
+    assert enc.by_part
+    texts = ["Word, word. WORD;:! word#$% |w| a|b ÀÉ, éÀ. İx. ǅz, e\u0301, Σς. don't, 's, ab1, ,, . ªº, ß. ﬁ ½ µ, ÿ!", "It's  a\ttest\r\nΣΑΣ ς é ́x", "\x0b\x0ca\x1cb\x85c  d　e", "<|endoftext|>x <|endoftext|>", "", "a" * 300]
     plain = enc.tokenizer.encode_batch(texts, add_special_tokens=False)
     for _ in range(2):
         got = [np.frombuffer(p, enc.dtype).tolist() for p in enc.encode(texts)]
