@@ -61,7 +61,7 @@ class PythonUpcaster:
                 out.append([{"type": t, "data": json.dumps(d, separators=(",", ":"), ensure_ascii=False)} for t, d in made])
             return pd.Series(out)
 
-        return F.pandas_udf(run, PARTS)(data)
+        return F.pandas_udf(run, PARTS)(data)  # null for rows of other types: a UDF sees all rows
 
 
 def renamed(target: str) -> Upcaster:
@@ -150,7 +150,8 @@ def enrich(stored: DataFrame, registry: Registry, merge_erasable: bool = True) -
     own = F.array(F.struct(F.col("stored_type").alias("type"), F.col("payload").alias("data"))).cast(PARTS)
     parts = own
     for name, upcaster in registry.legacy.items():
-        parts = F.when(F.col("stored_type") == name, upcaster.parts(F.col("payload"))).otherwise(parts)
+        of_type = F.col("stored_type") == name
+        parts = F.when(of_type, upcaster.parts(F.when(of_type, F.col("payload")))).otherwise(parts)
     rows = stored.withColumnRenamed("event_type", "stored_type").withColumn("payload", text)
     exploded = rows.select("*", F.posexplode(parts).alias("index", "part")).drop("payload")
     return exploded.withColumns({"event_type": F.col("part.type"), "data": F.col("part.data")}).drop("part")
@@ -171,6 +172,8 @@ def query_events(
 ) -> DataFrame:
     """Events of a query in reading order; the limit counts stored rows, so it applies before they are exploded."""
     scan = dataclasses.replace(query, filter=registry.widened(query.filter))
-    rows = query_log(log, scan, stream, cursor, limit, hard_limit)
+    # Positions are positive; the filter keeps the optimizer from moving payload work below the limit,
+    # where it would turn the top-k of each task into a sort of all rows.
+    rows = query_log(log, scan, stream, cursor, limit, hard_limit).where("position > 0")
     events = enrich(rows, registry, merge_erasable).where(P.filter_matches(registry.residual(query.filter), index_column="index"))
     return events.orderBy(*P.reading_order(query.direction, index=True))

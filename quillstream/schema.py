@@ -6,9 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
+KINDS = {
+    "long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "timestamp": T.TimestampType(),
+    "boolean": T.BooleanType(), "array<string>": T.ArrayType(T.StringType()),
+}
+
+
 def _struct(text: str, required: str = "") -> T.StructType:
     need = set(required.split())
-    return T.StructType([T.StructField(f.name, f.dataType, f.name not in need) for f in T.StructType.fromDDL(text)])
+    pairs = [column.split() for column in text.split(", ")]
+    return T.StructType([T.StructField(name, KINDS[kind], name not in need) for name, kind in pairs])
 
 
 EVENTS = _struct(
