@@ -52,3 +52,13 @@ def test_entry():
     import __spark_entry__
 
     assert set(SQL) <= set(__spark_entry__.queries()) and set(SQL) <= set(__spark_entry__.oracle_sql())
+
+
+def test_imports_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries(); e.oracle_sql()"], cwd=root, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
