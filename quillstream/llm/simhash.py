@@ -374,34 +374,41 @@ def near_duplicates(
 #
 # Two sets of similarity J have a cosine of about 2 J / (1 + J), and each bit of their SimHash
 # differs with probability arccos(cosine) / pi: 0.151 at J = 0.8. Sixty-four bits spread too widely
-# around that, so representatives() takes 512 bits (eight mixed hashes of each shingle), cut into
-# partitions of WIDE_BITS bits with radius zero: a pair of similarity 0.8 agrees on one of the 42
-# partitions with probability 0.998. Candidates are verified on all 512 bits.
+# around that, so representatives() takes 512 bits (eight mixed hashes of each distinct shingle), cut
+# into partitions of WIDE_BITS bits with radius zero: a pair of similarity 0.8 agrees on one of the 42
+# partitions with probability 0.998. Candidates within WIDE_DISTANCE bits (four deviations above the
+# mean at 0.8) are then decided by the similarity of their whole shingle sets; those within
+# SURE_DISTANCE (over four below it) are linked at once, which keeps tight groups from being paired out.
 
-WIDE_WORDS, WIDE_BITS, WIDE_DISTANCE = 8, 12, 86
+WIDE_WORDS, WIDE_BITS, WIDE_DISTANCE, SURE_DISTANCE = 8, 12, 112, 40
 _MIX = (np.arange(1, WIDE_WORDS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
-def wide_fingerprint(text: str | None, shingle: int) -> bytes:
-    """512 bits of SimHash over shingles, repeats included; of texts without words, zeros."""
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted XXH64 (seed 42) of the distinct shingles of the whole text; of shorter texts, of all words."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    total = max(1, len(words) - shingle + 1)
     if not words:
-        return bytes(8 * WIDE_WORDS)
+        return np.zeros(0, dtype=np.uint64)
+    total = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_intdigest
+    hashes = (digest(b" ".join(words[i : i + shingle]), 42) for i in range(total))
+    return np.unique(np.fromiter(hashes, dtype=np.uint64, count=total))
+
+
+def wide_fingerprint(grams: np.ndarray) -> bytes:
+    """512 bits of SimHash over a shingle set; of an empty set, zeros."""
     counts = np.zeros((WIDE_WORDS, BITS), dtype=np.int64)
-    for at in range(0, total, 1 << 14):
-        end = min(total, at + (1 << 14))
-        h = np.array([digest(b" ".join(words[i : i + shingle]), 42) for i in range(at, end)], dtype=np.uint64)
+    for at in range(0, len(grams), 1 << 14):
+        h = grams[at : at + (1 << 14)]
         for k in range(WIDE_WORDS):
             x = (h ^ (h >> np.uint64(31))) * _MIX[k]
             x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             x ^= x >> np.uint64(32)
             bits = np.unpackbits(x.view(np.uint8), bitorder="little").reshape(-1, BITS)
             counts[k] += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(counts.ravel() * 2 > total, bitorder="little").tobytes()
+    return np.packbits(counts.ravel() * 2 > len(grams), bitorder="little").tobytes()
 
 
 def _wide(column: pa.Array) -> np.ndarray:
@@ -410,7 +417,11 @@ def _wide(column: pa.Array) -> np.ndarray:
 
 
 def wide_links(uniq: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
-    """(a, b): links between documents (doc, wide) whose wide fingerprints are within distance."""
+    """(a, b, sure): links between documents (doc, wide, size) whose wide fingerprints are within distance.
+
+    Pairs whose set sizes rule out a similarity of 0.8 are left out. Sure links (within SURE_DISTANCE)
+    come as spanning forests; of the others, all that no sure links seen with them already connect.
+    """
     parts = BITS * WIDE_WORDS // WIDE_BITS
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,10 +433,10 @@ def wide_links(uniq: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
             keys = (np.arange(parts)[None, :] << 32) | value
             own = pa.array(np.repeat(np.arange(len(bits)), parts))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel()), batch.column(0).take(own), batch.column(1).take(own)], names=["key", "doc", "wide"]
+                [pa.array(keys.ravel()), *(batch.column(i).take(own) for i in range(3))], names=["key", "doc", "wide", "size"]
             )
 
-    keyed = uniq.select("doc", "wide").mapInArrow(spread, "key long, doc long, wide binary")
+    keyed = uniq.select("doc", "wide", "size").mapInArrow(spread, "key long, doc long, wide binary, size long")
     hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TILE_ROWS)
     hot = stored(hot.select("key", F.ceil(F.col("n") / TILE_ROWS).cast("int").alias("tiles")), "hot-keys")
     dealt = keyed.join(hot, "key", "left") if not hot.isEmpty() else keyed.withColumn("tiles", F.lit(None).cast("int"))
@@ -436,26 +447,34 @@ def wide_links(uniq: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
         F.array(F.struct(own.alias("tile"), F.lit(0).alias("role"))),
         F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(t.alias("tile"), F.lit(1).alias("role"))),
     )
-    dealt = dealt.select("key", "doc", "wide", F.explode(F.when(F.col("tiles").isNull(), whole).otherwise(tiled)).alias("t"))
-    dealt = dealt.select((F.col("key") + F.shiftleft(F.col("t.tile").cast("long"), 16)).alias("key"), "t.role", "doc", "wide")
+    dealt = dealt.select("key", "doc", "wide", "size", F.explode(F.when(F.col("tiles").isNull(), whole).otherwise(tiled)).alias("t"))
+    dealt = dealt.select((F.col("key") + F.shiftleft(F.col("t.tile").cast("long"), 16)).alias("key"), "t.role", "doc", "wide", "size")
     dealt = dealt.repartition("key").sortWithinPartitions("key", "role")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WIDE_WORDS), np.uint64))
+        none = np.zeros(0, np.int64)
+        held = (none, none, np.zeros((0, WIDE_WORDS), np.uint64), none)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, role, doc = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            key, role, doc, size = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 2, 4))
             wide = _wide(batch.column(3))
             fresh = held[0] == key[0]
-            index = [np.concatenate([h[fresh], x[role != 1]]) for h, x in zip(held, (key, doc, wide), strict=True)]
-            ask = [x[role != 0] for x in (key, doc, wide)]
+            index = [np.concatenate([h[fresh], x[role != 1]]) for h, x in zip(held, (key, doc, wide, size), strict=True)]
+            ask = [x[role != 0] for x in (key, doc, wide, size)]
             low = np.searchsorted(index[0], ask[0], "left")
             n = np.searchsorted(index[0], ask[0], "right") - low
             yield from compare(index, ask, low, n)
             last = index[0] == key[-1]
             held = tuple(x[last] for x in index)
 
+    def joined(node: np.ndarray, root: np.ndarray, member: np.ndarray) -> np.ndarray:
+        """Each node's root in a forest whose members are sorted."""
+        if not len(member):
+            return node
+        i = np.minimum(np.searchsorted(member, node), len(member) - 1)
+        return np.where(member[i] == node, root[i], node)
+
     def compare(index, ask, low, n) -> Iterator[pa.RecordBatch]:
         ends = np.cumsum(n)
         at = 0
@@ -465,15 +484,46 @@ def wide_links(uniq: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
             k = n[at:to]
             a = np.repeat(np.arange(at, to), k)
             b = np.repeat(low[at:to], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-            once = ask[1][a] < index[1][b]
+            m, n_ = ask[3][a], index[3][b]
+            once = (ask[1][a] < index[1][b]) & (5 * np.minimum(m, n_) >= 4 * np.maximum(m, n_))
             a, b = a[once], b[once]
-            near = np.bitwise_count(ask[2][a] ^ index[2][b]).sum(axis=1, dtype=np.int64) <= distance
-            if near.any():
-                x, y = spanning_edges(ask[1][a[near]], index[1][b[near]])
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+            apart = np.bitwise_count(ask[2][a] ^ index[2][b]).sum(axis=1, dtype=np.int64)
+            x, y = ask[1][a], index[1][b]
+            sure = apart <= SURE_DISTANCE
+            root, member = spanning_edges(x[sure], y[sure])
+            open_ = ~sure & (apart <= distance)
+            x, y = x[open_], y[open_]
+            still = joined(x, root, member) != joined(y, root, member)
+            x, y = x[still], y[still]
+            if len(root) or len(x):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([root, x])), pa.array(np.concatenate([member, y])), pa.array(np.arange(len(root) + len(x)) < len(root))],
+                    names=["a", "b", "sure"],
+                )
             at = to
 
-    return dealt.mapInArrow(verify, "a long, b long").distinct()
+    return dealt.mapInArrow(verify, "a long, b long, sure boolean").distinct()
+
+
+def similar_pairs(rows: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """The rows of pairs (with a, b) whose documents' shingle sets have a similarity of 0.8 or more.
+
+    rows: (doc, text). Sets are built once, for documents that occur in pairs, and compared in the JVM
+    one pair at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+                grams = pa.array([shingle_set(text.as_py(), shingle).view(np.int64)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()], pa.int64()), grams], names=["doc", "grams"])
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    sets = stored(rows.join(needed, "doc", "left_semi").select("doc", "text").mapInArrow(run, "doc long, grams array<long>"), "shingle-sets")
+    left, right = (sets.select(F.col("doc").alias(c), F.col("grams").alias(f"grams_{c}")) for c in ("a", "b"))
+    shared = F.size(F.array_intersect("grams_a", "grams_b"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("shared", shared)
+    return both.where(5 * F.col("shared") >= 4 * (F.size("grams_a") + F.size("grams_b") - F.col("shared"))).select(pairs.columns)
 
 
 def representatives(
@@ -481,21 +531,38 @@ def representatives(
 ) -> DataFrame:
     """The rows of docs without near-duplicates: of each component of similar texts the smallest id stays.
 
-    Rows without an id stay; rows that repeat an id stay or go together.
+    Texts are linked at a similarity of 0.8 or more between their sets of shingles. Rows without an id
+    stay; rows that repeat an id stay or go together.
     """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wide = pa.array([wide_fingerprint(t.as_py(), shingle) for t in batch.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), wide], names=["doc", "wide"])
+            wide, size = [], []
+            for text in batch.column(1):
+                grams = shingle_set(text.as_py(), shingle)
+                wide.append(wide_fingerprint(grams))
+                size.append(len(grams))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(wide, pa.binary()), pa.array(size, pa.int64())], names=["doc", "wide", "size"]
+            )
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    prints = stored(rows.mapInArrow(run, "doc long, wide binary"), "wide-fingerprints")
-    first = stored(prints.groupBy("wide").agg(F.min("doc").alias("doc")), "distinct-wide")
-    roots = stored(components(wide_links(first, distance)), "roots")
-    placed = first.join(roots, first["doc"] == roots["node"], "left")
-    kept = placed.where("root IS NULL OR root = doc").select("doc")
+    prints = stored(rows.mapInArrow(run, "doc long, wide binary, size long"), "wide-fingerprints")
+    first = stored(prints.groupBy("wide", "size").agg(F.min("doc").alias("doc")), "distinct-wide")
+    found = stored(wide_links(first, distance), "wide-links")
+    roots = stored(components(found.where("sure").select("a", "b")), "sure-roots")
+
+    def root_of(df: DataFrame, node: str, root: str) -> DataFrame:
+        of = roots.select(F.col("node").alias(node), F.col("root").alias(root))
+        return df.join(of, node, "left").withColumn(root, F.coalesce(root, node))
+
+    unsure = root_of(root_of(found.where("NOT sure").select("a", "b"), "a", "ra"), "b", "rb")
+    unsure = stored(unsure.where("ra <> rb"), "unsure-links")
+    merged = similar_pairs(rows, unsure, shingle).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    tops = stored(components(merged), "roots")
+    placed = root_of(first.select("doc"), "doc", "mid").join(tops, F.col("mid") == F.col("node"), "left")
+    kept = placed.where(F.coalesce("root", "mid") == F.col("doc")).select("doc")
     return docs.join(kept.distinct().withColumnRenamed("doc", "__kept"), F.col(id_col) == F.col("__kept"), "left").where(
         F.col("__kept").isNotNull() | F.col(id_col).isNull()
     ).select(docs.columns)

@@ -16,12 +16,26 @@ def test_representatives_against_all_pairs(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     texts = {r.doc_id: r.text for r in docs.collect()}
     kept = {r.doc_id for r in simhash.representatives(docs).collect()}
-    for d in texts:
-        earlier = [similar(texts[d], texts[e]) for e in texts if e < d]
-        if max(earlier, default=0) >= 0.84:
-            assert d not in kept
-        if max((similar(texts[d], texts[e]) for e in texts if e != d), default=0) < 0.6:
-            assert d in kept
+    least = {d: d for d in texts}  # smallest id linked at 0.8 or more, over any number of steps
+    near = [(d, e) for d in texts for e in texts if e < d and similar(texts[d], texts[e]) >= 0.8]
+    for _ in texts:
+        for d, e in near:
+            least[d] = least[e] = min(least[d], least[e])
+    assert kept == {d for d in texts if least[d] == d}
+
+
+def test_links_near_the_bound_are_decided_exactly(spark):
+    """Chains of texts around 0.8: what the fingerprints cannot tell apart, the shingle sets do."""
+    words = [f"w{i}" for i in range(124)]  # 120 shingles
+    texts, at = {}, 0
+    for changed in range(4, 40):
+        low = words[: len(words) - changed] + [f"c{changed}-{i}" for i in range(changed)]
+        texts[at], texts[at + 1] = (" ".join(f"{changed}:{w}" for w in t) for t in (words, low))
+        at += 2
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.representatives(df).collect()}
+    want = {d for d in texts if d % 2 == 0 or similar(texts[d], texts[d - 1]) < 0.8}
+    assert kept == want and any(d % 2 for d in want) and len(want) < len(texts)
 
 
 def test_planted_copies_and_tiles(spark, monkeypatch):
