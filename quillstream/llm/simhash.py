@@ -221,6 +221,34 @@ def spanning_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return nodes[label[moved]], nodes[moved]
 
 
+def cheapest_forest(label: np.ndarray, x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(chosen, label): links that join the labelled trees at least cost, and the labels after it.
+
+    Every round each tree takes its cheapest link to another tree, so chosen links are links of the input.
+    """
+    order = np.argsort(cost, kind="stable")
+    x, y = x[order], y[order]
+    chosen = np.zeros(0, dtype=np.int64)
+    while True:
+        cross = np.flatnonzero(label[x] != label[y])
+        if not len(cross):
+            return order[chosen], label
+        first = np.full(len(label), len(x))
+        np.minimum.at(first, label[x[cross]], cross)
+        np.minimum.at(first, label[y[cross]], cross)
+        taken = np.unique(first[first < len(x)])
+        chosen = np.concatenate([chosen, taken])
+        label = merged_labels(label, x[taken], y[taken])
+
+
+def merged_labels(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels after the trees of x and y are joined."""
+    root, member = spanning_edges(label[x], label[y])
+    to = np.arange(len(label))
+    to[member] = root
+    return to[label]
+
+
 def links(uniq: DataFrame, distance: int, partitions: int = 4) -> DataFrame:
     """(a, b): links between distinct fingerprints whose components are those of all pairs within distance.
 
@@ -416,11 +444,16 @@ def _wide(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(-1, WIDE_WORDS)
 
 
-def wide_links(uniq: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
-    """(a, b, sure): links between documents (doc, wide, size) whose wide fingerprints are within distance.
+SURE, ASK, HELD = 0, 1, 2
+
+
+def wide_links(uniq: DataFrame, distance: int = WIDE_DISTANCE, every: bool = False) -> DataFrame:
+    """(a, b, kind): links between documents (doc, wide, size, top) whose wide fingerprints are within distance.
 
-    Pairs whose set sizes rule out a similarity of 0.8 are left out. Sure links (within SURE_DISTANCE)
-    come as spanning forests; of the others, all that no sure links seen with them already connect.
+    Pairs of the same top, and pairs whose set sizes rule out a similarity of 0.8, are left out. SURE
+    links (within SURE_DISTANCE) come as spanning forests. The others are to be asked: all of them with
+    every, else only the nearest that join what is apart, and HELD links (tree, document) name the
+    documents with links that were held back because a tree of links already joins them.
     """
     parts = BITS * WIDE_WORDS // WIDE_BITS
 
@@ -433,10 +466,10 @@ def wide_links(uniq: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
             keys = (np.arange(parts)[None, :] << 32) | value
             own = pa.array(np.repeat(np.arange(len(bits)), parts))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel()), *(batch.column(i).take(own) for i in range(3))], names=["key", "doc", "wide", "size"]
+                [pa.array(keys.ravel()), *(batch.column(i).take(own) for i in range(4))], names=["key", "doc", "wide", "size", "top"]
             )
 
-    keyed = uniq.select("doc", "wide", "size").mapInArrow(spread, "key long, doc long, wide binary, size long")
+    keyed = uniq.select("doc", "wide", "size", "top").mapInArrow(spread, "key long, doc long, wide binary, size long, top long")
     hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TILE_ROWS)
     hot = stored(hot.select("key", F.ceil(F.col("n") / TILE_ROWS).cast("int").alias("tiles")), "hot-keys")
     dealt = keyed.join(hot, "key", "left") if not hot.isEmpty() else keyed.withColumn("tiles", F.lit(None).cast("int"))
@@ -447,35 +480,45 @@ def wide_links(uniq: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
         F.array(F.struct(own.alias("tile"), F.lit(0).alias("role"))),
         F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(t.alias("tile"), F.lit(1).alias("role"))),
     )
-    dealt = dealt.select("key", "doc", "wide", "size", F.explode(F.when(F.col("tiles").isNull(), whole).otherwise(tiled)).alias("t"))
-    dealt = dealt.select((F.col("key") + F.shiftleft(F.col("t.tile").cast("long"), 16)).alias("key"), "t.role", "doc", "wide", "size")
+    dealt = dealt.select("key", "doc", "wide", "size", "top", F.explode(F.when(F.col("tiles").isNull(), whole).otherwise(tiled)).alias("t"))
+    dealt = dealt.select((F.col("key") + F.shiftleft(F.col("t.tile").cast("long"), 16)).alias("key"), "t.role", "doc", "wide", "size", "top")
     dealt = dealt.repartition("key").sortWithinPartitions("key", "role")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
-        held = (none, none, np.zeros((0, WIDE_WORDS), np.uint64), none)
+        held = (none, none, np.zeros((0, WIDE_WORDS), np.uint64), none, none)
+        trees = none  # root of each held row's document, among the links asked so far
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, role, doc, size = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 2, 4))
+            key, role, doc, size, top = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 2, 4, 5))
             wide = _wide(batch.column(3))
+            rows = (key, doc, wide, size, top)
             fresh = held[0] == key[0]
-            index = [np.concatenate([h[fresh], x[role != 1]]) for h, x in zip(held, (key, doc, wide, size), strict=True)]
-            ask = [x[role != 0] for x in (key, doc, wide, size)]
+            index = [np.concatenate([h[fresh], x[role != 1]]) for h, x in zip(held, rows, strict=True)]
+            ask = [x[role != 0] for x in rows]
             low = np.searchsorted(index[0], ask[0], "left")
             n = np.searchsorted(index[0], ask[0], "right") - low
-            yield from compare(index, ask, low, n)
+            nodes = np.unique(np.concatenate([index[1], ask[1], trees[fresh]]))
+            label = np.arange(len(nodes))
+            label = merged_labels(label, np.searchsorted(nodes, held[1][fresh]), np.searchsorted(nodes, trees[fresh]))
+            for found in compare(index, ask, low, n, nodes, label):
+                if isinstance(found, np.ndarray):
+                    label = found
+                else:
+                    yield found
             last = index[0] == key[-1]
             held = tuple(x[last] for x in index)
+            trees = nodes[label[np.searchsorted(nodes, held[1])]]
 
-    def joined(node: np.ndarray, root: np.ndarray, member: np.ndarray) -> np.ndarray:
-        """Each node's root in a forest whose members are sorted."""
-        if not len(member):
-            return node
-        i = np.minimum(np.searchsorted(member, node), len(member) - 1)
-        return np.where(member[i] == node, root[i], node)
+    def linked(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(a), pa.array(b), pa.array(np.full(len(a), kind, dtype=np.int32))], names=["a", "b", "kind"]
+        )
 
-    def compare(index, ask, low, n) -> Iterator[pa.RecordBatch]:
+    def compare(index, ask, low, n, nodes, label) -> Iterator[pa.RecordBatch | np.ndarray]:
+        """Links as record batches, and at the end the labels of nodes."""
+        back = np.zeros(len(nodes), dtype=bool)
         ends = np.cumsum(n)
         at = 0
         while at < len(n):
@@ -484,25 +527,32 @@ def wide_links(uniq: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
             k = n[at:to]
             a = np.repeat(np.arange(at, to), k)
             b = np.repeat(low[at:to], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-            m, n_ = ask[3][a], index[3][b]
-            once = (ask[1][a] < index[1][b]) & (5 * np.minimum(m, n_) >= 4 * np.maximum(m, n_))
-            a, b = a[once], b[once]
+            m, m_b = ask[3][a], index[3][b]
+            may = (ask[1][a] < index[1][b]) & (ask[4][a] != index[4][b]) & (5 * np.minimum(m, m_b) >= 4 * np.maximum(m, m_b))
+            a, b = a[may], b[may]
             apart = np.bitwise_count(ask[2][a] ^ index[2][b]).sum(axis=1, dtype=np.int64)
-            x, y = ask[1][a], index[1][b]
-            sure = apart <= SURE_DISTANCE
-            root, member = spanning_edges(x[sure], y[sure])
-            open_ = ~sure & (apart <= distance)
-            x, y = x[open_], y[open_]
-            still = joined(x, root, member) != joined(y, root, member)
-            x, y = x[still], y[still]
-            if len(root) or len(x):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([root, x])), pa.array(np.concatenate([member, y])), pa.array(np.arange(len(root) + len(x)) < len(root))],
-                    names=["a", "b", "sure"],
-                )
+            sure, open_ = apart <= SURE_DISTANCE, (apart > SURE_DISTANCE) & (apart <= distance)
+            if sure.any():
+                root, member = spanning_edges(ask[1][a[sure]], index[1][b[sure]])
+                yield linked(SURE, root, member)
+                label = merged_labels(label, np.searchsorted(nodes, root), np.searchsorted(nodes, member))
+            if open_.any():
+                x, y = np.searchsorted(nodes, ask[1][a[open_]]), np.searchsorted(nodes, index[1][b[open_]])
+                if every:
+                    chosen = np.arange(len(x))
+                else:
+                    chosen, label = cheapest_forest(label, x, y, apart[open_])
+                    kept_back = np.ones(len(x), dtype=bool)
+                    kept_back[chosen] = False
+                    back[x[kept_back]] = back[y[kept_back]] = True
+                if len(chosen):
+                    yield linked(ASK, nodes[x[chosen]], nodes[y[chosen]])
             at = to
+        if back.any():
+            yield linked(HELD, nodes[label[back]], nodes[back])
+        yield label
 
-    return dealt.mapInArrow(verify, "a long, b long, sure boolean").distinct()
+    return dealt.mapInArrow(verify, "a long, b long, kind int").distinct()
 
 
 def similar_pairs(rows: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
@@ -550,19 +600,34 @@ def representatives(
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     prints = stored(rows.mapInArrow(run, "doc long, wide binary, size long"), "wide-fingerprints")
     first = stored(prints.groupBy("wide", "size").agg(F.min("doc").alias("doc")), "distinct-wide")
-    found = stored(wide_links(first, distance), "wide-links")
-    roots = stored(components(found.where("sure").select("a", "b")), "sure-roots")
-
-    def root_of(df: DataFrame, node: str, root: str) -> DataFrame:
-        of = roots.select(F.col("node").alias(node), F.col("root").alias(root))
-        return df.join(of, node, "left").withColumn(root, F.coalesce(root, node))
-
-    unsure = root_of(root_of(found.where("NOT sure").select("a", "b"), "a", "ra"), "b", "rb")
-    unsure = stored(unsure.where("ra <> rb"), "unsure-links")
-    merged = similar_pairs(rows, unsure, shingle).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    tops = stored(components(merged), "roots")
-    placed = root_of(first.select("doc"), "doc", "mid").join(tops, F.col("mid") == F.col("node"), "left")
-    kept = placed.where(F.coalesce("root", "mid") == F.col("doc")).select("doc")
+
+    def with_top(df: DataFrame, node: str, top: str, of: DataFrame) -> DataFrame:
+        of = of.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+        return df.join(of, F.col(node) == F.col("__node"), "left").withColumn(top, F.coalesce("__root", node)).drop("__node", "__root")
+
+    def asked(found: DataFrame, of: DataFrame) -> DataFrame:
+        """Links (a, b) between the tops of asked pairs that are similar."""
+        pairs = with_top(with_top(found.where(F.col("kind") != HELD).select("a", "b"), "a", "ta", of), "b", "tb", of)
+        pairs = stored(pairs.where("ta <> tb"), "asked-links")
+        return similar_pairs(rows, pairs, shingle).select(F.col("ta").alias("a"), F.col("tb").alias("b"))
+
+    def above(of: DataFrame, more: DataFrame) -> DataFrame:
+        """(node, root) after the tops of nodes are joined further by the links more."""
+        higher = stored(components(more), "higher-roots")
+        lifted = with_top(of.withColumnRenamed("root", "mid"), "mid", "root", higher).select("node", "root")
+        return stored(lifted.union(higher.join(of, "node", "left_anti").select("node", "root")), "roots")
+
+    found = stored(wide_links(first.withColumn("top", F.col("doc")), distance), "wide-links")
+    roots = stored(components(found.where(F.col("kind") == SURE).select("a", "b")), "sure-roots")
+    roots = above(roots, asked(found, roots))
+    # links held back in a tree that did not turn out whole: its documents meet once more, and every pair apart is asked
+    held = with_top(with_top(found.where(F.col("kind") == HELD), "a", "ta", roots), "b", "tb", roots)
+    broken = held.where("ta <> tb").select("a").distinct()
+    again = held.join(broken, "a", "left_semi").select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    again = stored(with_top(first.join(again, "doc", "left_semi"), "doc", "top", roots), "broken-trees")
+    if not again.isEmpty():
+        roots = above(roots, asked(stored(wide_links(again, distance, every=True), "open-links"), roots))
+    kept = with_top(first.select("doc"), "doc", "top", roots).where("top = doc").select("doc")
     return docs.join(kept.distinct().withColumnRenamed("doc", "__kept"), F.col(id_col) == F.col("__kept"), "left").where(
         F.col("__kept").isNotNull() | F.col(id_col).isNull()
     ).select(docs.columns)
