@@ -482,7 +482,8 @@ def wide_links(uniq: DataFrame, distance: int = WIDE_DISTANCE, every: bool = Fal
     )
     dealt = dealt.select("key", "doc", "wide", "size", "top", F.explode(F.when(F.col("tiles").isNull(), whole).otherwise(tiled)).alias("t"))
     dealt = dealt.select((F.col("key") + F.shiftleft(F.col("t.tile").cast("long"), 16)).alias("key"), "t.role", "doc", "wide", "size", "top")
-    dealt = dealt.repartition("key").sortWithinPartitions("key", "role")
+    # a document asks those before it in the order of (size, doc), so each pair is met once, however a key is cut into batches
+    dealt = dealt.repartition("key").sortWithinPartitions("key", "role", "size", "doc")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
@@ -497,8 +498,13 @@ def wide_links(uniq: DataFrame, distance: int = WIDE_DISTANCE, every: bool = Fal
             fresh = held[0] == key[0]
             index = [np.concatenate([h[fresh], x[role != 1]]) for h, x in zip(held, rows, strict=True)]
             ask = [x[role != 0] for x in rows]
-            low = np.searchsorted(index[0], ask[0], "left")
-            n = np.searchsorted(index[0], ask[0], "right") - low
+            # the index is sorted by key and size: only sizes from four fifths of the asking set's up to its own can be similar
+            keys = np.unique(index[0])
+            ordered = (np.searchsorted(keys, index[0]) << 40) + index[3]
+            base = np.searchsorted(keys, ask[0])
+            base = np.where((base < len(keys)) & (keys[np.minimum(base, len(keys) - 1)] == ask[0]), base, len(keys)) << 40
+            low = np.searchsorted(ordered, base + -(-4 * ask[3] // 5), "left")
+            n = np.searchsorted(ordered, base + ask[3], "right") - low
             nodes = np.unique(np.concatenate([index[1], ask[1], trees[fresh]]))
             label = np.arange(len(nodes))
             label = merged_labels(label, np.searchsorted(nodes, held[1][fresh]), np.searchsorted(nodes, trees[fresh]))
@@ -527,8 +533,8 @@ def wide_links(uniq: DataFrame, distance: int = WIDE_DISTANCE, every: bool = Fal
             k = n[at:to]
             a = np.repeat(np.arange(at, to), k)
             b = np.repeat(low[at:to], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-            m, m_b = ask[3][a], index[3][b]
-            may = (ask[1][a] < index[1][b]) & (ask[4][a] != index[4][b]) & (5 * np.minimum(m, m_b) >= 4 * np.maximum(m, m_b))
+            before = (index[3][b] < ask[3][a]) & (index[1][b] != ask[1][a]) | (index[3][b] == ask[3][a]) & (index[1][b] < ask[1][a])
+            may = before & (ask[4][a] != index[4][b])
             a, b = a[may], b[may]
             apart = np.bitwise_count(ask[2][a] ^ index[2][b]).sum(axis=1, dtype=np.int64)
             sure, open_ = apart <= SURE_DISTANCE, (apart > SURE_DISTANCE) & (apart <= distance)
@@ -546,7 +552,7 @@ def wide_links(uniq: DataFrame, distance: int = WIDE_DISTANCE, every: bool = Fal
                     kept_back[chosen] = False
                     back[x[kept_back]] = back[y[kept_back]] = True
                 if len(chosen):
-                    yield linked(ASK, nodes[x[chosen]], nodes[y[chosen]])
+                    yield linked(ASK, nodes[np.minimum(x, y)[chosen]], nodes[np.maximum(x, y)[chosen]])
             at = to
         if back.any():
             yield linked(HELD, nodes[label[back]], nodes[back])

@@ -3,7 +3,7 @@ import pytest
 import xxhash
 
 from quillstream.llm import simhash
-from quillstream.llm._support import table
+from quillstream.llm._support import ship, table
 
 
 def brute(rows, shingle=4, distance=4):
@@ -84,3 +84,21 @@ def test_radii_fill_the_budget():
     costs = [rng.random((3, 16)).cumsum(0) for _ in range(4)]
     r = simhash.radii(values, costs, 4)
     assert ((r.astype(int) + 1).sum(0) == 5).all()
+
+
+def test_links_are_met_when_a_key_spans_many_batches(spark):
+    """2,000 pairs that share one 12-bit value only, all of the same value, in a shuffled order of ids."""
+    ship(spark)
+    rng = np.random.default_rng(5)
+    n = 2000
+    one = rng.integers(0, 2, (n, 512), dtype=np.uint8)
+    one[:, :12] = 0
+    two = one.copy()
+    two[:, 12:504:12] ^= 1  # one bit in each of the other 41 partitions: 41 bits apart
+    docs = rng.permutation(2 * n)
+    sizes = rng.integers(100, 1000, n)
+    bits = np.packbits(np.concatenate([one, two]), axis=1, bitorder="little")
+    rows = [(int(d), bytes(w), int(s), int(d)) for d, w, s in zip(docs, bits, np.concatenate([sizes, sizes * 9 // 10]), strict=True)]
+    uniq = spark.createDataFrame(rows, "doc long, wide binary, size long, top long")
+    found = {(r.a, r.b) for r in simhash.wide_links(uniq).where(f"kind = {simhash.ASK}").collect()}
+    assert found == {(min(p), max(p)) for p in zip(docs[:n].tolist(), docs[n:].tolist(), strict=True)}
