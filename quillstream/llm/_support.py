@@ -44,6 +44,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a key filter, in bitmaps of Spark's 32,768: at most 8 MB, whatever the number of keys.
+FILTER_BITS = 1 << 26
+
+
+def _spot(key: Column) -> tuple[Column, Column]:
+    """Bitmap and position in it of a long key."""
+    spot = F.pmod(F.xxhash64(key.cast("long")), F.lit(FILTER_BITS))
+    return F.shiftright(spot, 15), spot.bitwiseAND(32767)
+
+
+def key_filter(keys: DataFrame, key: str) -> DataFrame:
+    """(__bucket, __bits): a bitmap of the hashes of a column of longs, for may_be_in."""
+    bucket, position = _spot(F.col(key))
+    return keys.where(F.col(key).isNotNull()).groupBy(bucket.alias("__bucket")).agg(F.bitmap_construct_agg(position).alias("__bits"))
+
+
+def may_be_in(df: DataFrame, key: Column, bits: DataFrame) -> DataFrame:
+    """df with a boolean __may: false only where key is surely not among the filter's keys.
+
+    The broadcast is bounded by FILTER_BITS. More keys than bits make the flag true more often, never wrong,
+    so that what follows has to move more rows. A null key gives false.
+    """
+    bucket, position = _spot(key)
+    met = df.withColumn("__at", bucket).join(F.broadcast(bits), F.col("__at") == F.col("__bucket"), "left")
+    byte = F.conv(F.hex(F.substr("__bits", (F.shiftright(position, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.getbit(byte, position.bitwiseAND(7).cast("int"))
+    return met.withColumn("__may", F.coalesce(key.isNotNull() & (bit == 1), F.lit(False))).drop("__at", "__bucket", "__bits")
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable on executors (once per session) and bound Arrow batches of texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))

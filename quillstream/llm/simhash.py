@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm._support import ship, stored
+from quillstream.llm._support import key_filter, may_be_in, ship, stored
 
 BITS = 64
 #: Index rows of one (partition, value) that a task may hold; a more frequent value is dealt out in tiles.
@@ -575,7 +575,10 @@ def similar_pairs(rows: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()], pa.int64()), grams], names=["doc", "grams"])
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    sets = stored(rows.join(needed, "doc", "left_semi").select("doc", "text").mapInArrow(run, "doc long, grams array<long>"), "shingle-sets")
+    # a set too many does no harm, so texts are picked by a filter where they lie instead of being shuffled
+    bits = stored(key_filter(needed, "doc"), "asked-filter")
+    asked = may_be_in(rows, F.col("doc"), bits).where("__may").select("doc", "text")
+    sets = stored(asked.mapInArrow(run, "doc long, grams array<long>"), "shingle-sets")
     left, right = (sets.select(F.col("doc").alias(c), F.col("grams").alias(f"grams_{c}")) for c in ("a", "b"))
     shared = F.size(F.array_intersect("grams_a", "grams_b"))
     both = pairs.join(left, "a").join(right, "b").withColumn("shared", shared)
@@ -633,7 +636,10 @@ def representatives(
     again = stored(with_top(first.join(again, "doc", "left_semi"), "doc", "top", roots), "broken-trees")
     if not again.isEmpty():
         roots = above(roots, asked(stored(wide_links(again, distance, every=True), "open-links"), roots))
-    kept = with_top(first.select("doc"), "doc", "top", roots).where("top = doc").select("doc")
-    return docs.join(kept.distinct().withColumnRenamed("doc", "__kept"), F.col(id_col) == F.col("__kept"), "left").where(
-        F.col("__kept").isNotNull() | F.col(id_col).isNull()
-    ).select(docs.columns)
+    kept = with_top(first.select("doc"), "doc", "top", roots).where("top = doc").select("doc").distinct()
+    gone = stored(prints.select("doc").distinct().join(kept, "doc", "left_anti"), "dropped")
+    # rows that the filter does not know stay where they lie; only the others are looked up
+    looked = may_be_in(docs, F.col(id_col).cast("long"), stored(key_filter(gone, "doc"), "dropped-filter"))
+    found_gone = gone.withColumnRenamed("doc", "__gone")
+    back = looked.where("__may").join(found_gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    return looked.where(~F.col("__may")).select(docs.columns).union(back.select(docs.columns))

@@ -102,3 +102,18 @@ def test_links_are_met_when_a_key_spans_many_batches(spark):
     uniq = spark.createDataFrame(rows, "doc long, wide binary, size long, top long")
     found = {(r.a, r.b) for r in simhash.wide_links(uniq).where(f"kind = {simhash.ASK}").collect()}
     assert found == {(min(p), max(p)) for p in zip(docs[:n].tolist(), docs[n:].tolist(), strict=True)}
+
+
+def test_key_filter_misses_no_key(spark, monkeypatch):
+    """Also when it is overfull; unknown and null keys are mostly let go."""
+    from pyspark.sql import functions as F
+
+    keys = spark.range(0, 30000, 3).union(spark.createDataFrame([(None,), (-7,)], "id long"))
+    rows = spark.range(-10, 30000).union(spark.createDataFrame([(None,)], "id long"))
+    for bits in (simhash.may_be_in.__globals__["FILTER_BITS"], 1 << 15):
+        monkeypatch.setitem(simhash.may_be_in.__globals__, "FILTER_BITS", bits)
+        out = simhash.may_be_in(rows, F.col("id"), simhash.key_filter(keys, "id"))
+        may = {r.id for r in out.where("__may").collect()}
+        real = {-7, *range(0, 30000, 3)}
+        assert out.columns == ["id", "__may"] and real <= may and None not in may
+        assert len(may) < len(real) + (100 if bits > 1 << 20 else 10000)
