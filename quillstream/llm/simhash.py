@@ -409,7 +409,11 @@ def near_duplicates(
 # SURE_DISTANCE (over four below it) are linked at once, which keeps tight groups from being paired out.
 
 WIDE_WORDS, WIDE_BITS, WIDE_DISTANCE, SURE_DISTANCE = 8, 12, 112, 40
-_MIX = (np.arange(1, WIDE_WORDS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+# Where every pair of a group would have to be decided, 2,048 bits (the wide ones among them) first rule out
+# what is more than FINE_DISTANCE apart: at 0.8 and sets of FINE_LEAST shingles or more, at most 0.151 of the
+# bits differ on average, and FINE_DISTANCE is 4.5 deviations above that. Smaller sets are not ruled out.
+FINE_WORDS, FINE_DISTANCE, FINE_LEAST = 32, 381, 64
+_MIX = (np.arange(1, FINE_WORDS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -425,12 +429,12 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter(hashes, dtype=np.uint64, count=total))
 
 
-def wide_fingerprint(grams: np.ndarray) -> bytes:
-    """512 bits of SimHash over a shingle set; of an empty set, zeros."""
-    counts = np.zeros((WIDE_WORDS, BITS), dtype=np.int64)
+def wide_fingerprint(grams: np.ndarray, words: int = WIDE_WORDS) -> bytes:
+    """64 bits for each of words of SimHash over a shingle set; of an empty set, zeros."""
+    counts = np.zeros((words, BITS), dtype=np.int64)
     for at in range(0, len(grams), 1 << 14):
         h = grams[at : at + (1 << 14)]
-        for k in range(WIDE_WORDS):
+        for k in range(words):
             x = (h ^ (h >> np.uint64(31))) * _MIX[k]
             x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             x ^= x >> np.uint64(32)
@@ -439,9 +443,9 @@ def wide_fingerprint(grams: np.ndarray) -> bytes:
     return np.packbits(counts.ravel() * 2 > len(grams), bitorder="little").tobytes()
 
 
-def _wide(column: pa.Array) -> np.ndarray:
+def _wide(column: pa.Array, words: int = WIDE_WORDS) -> np.ndarray:
     """(rows, words) of a column of wide fingerprints."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(-1, WIDE_WORDS)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(-1, words)
 
 
 SURE, ASK, HELD = 0, 1, 2
@@ -453,8 +457,10 @@ def wide_links(uniq: DataFrame, distance: int = WIDE_DISTANCE, every: bool = Fal
     Pairs of the same top, and pairs whose set sizes rule out a similarity of 0.8, are left out. SURE
     links (within SURE_DISTANCE) come as spanning forests. The others are to be asked: all of them with
     every, else only the nearest that join what is apart, and HELD links (tree, document) name the
-    documents with links that were held back because a tree of links already joins them.
+    documents with links that were held back because a tree of links already joins them. Where uniq has
+    a column fine, its 2,048 bits rule out more pairs.
     """
+    columns = ["doc", "wide", "size", "top", *(["fine"] if "fine" in uniq.columns else [])]
     parts = BITS * WIDE_WORDS // WIDE_BITS
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -466,10 +472,12 @@ def wide_links(uniq: DataFrame, distance: int = WIDE_DISTANCE, every: bool = Fal
             keys = (np.arange(parts)[None, :] << 32) | value
             own = pa.array(np.repeat(np.arange(len(bits)), parts))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel()), *(batch.column(i).take(own) for i in range(4))], names=["key", "doc", "wide", "size", "top"]
+                [pa.array(keys.ravel()), *(batch.column(i).take(own) for i in range(len(columns)))], names=["key", *columns]
             )
 
-    keyed = uniq.select("doc", "wide", "size", "top").mapInArrow(spread, "key long, doc long, wide binary, size long, top long")
+    keyed = uniq.select(*columns).mapInArrow(
+        spread, "key long, doc long, wide binary, size long, top long" + ", fine binary" * ("fine" in columns)
+    )
     hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TILE_ROWS)
     hot = stored(hot.select("key", F.ceil(F.col("n") / TILE_ROWS).cast("int").alias("tiles")), "hot-keys")
     dealt = keyed.join(hot, "key", "left") if not hot.isEmpty() else keyed.withColumn("tiles", F.lit(None).cast("int"))
@@ -480,21 +488,22 @@ def wide_links(uniq: DataFrame, distance: int = WIDE_DISTANCE, every: bool = Fal
         F.array(F.struct(own.alias("tile"), F.lit(0).alias("role"))),
         F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(t.alias("tile"), F.lit(1).alias("role"))),
     )
-    dealt = dealt.select("key", "doc", "wide", "size", "top", F.explode(F.when(F.col("tiles").isNull(), whole).otherwise(tiled)).alias("t"))
-    dealt = dealt.select((F.col("key") + F.shiftleft(F.col("t.tile").cast("long"), 16)).alias("key"), "t.role", "doc", "wide", "size", "top")
+    dealt = dealt.select("key", *columns, F.explode(F.when(F.col("tiles").isNull(), whole).otherwise(tiled)).alias("t"))
+    dealt = dealt.select((F.col("key") + F.shiftleft(F.col("t.tile").cast("long"), 16)).alias("key"), "t.role", *columns)
     # a document asks those before it in the order of (size, doc), so each pair is met once, however a key is cut into batches
     dealt = dealt.repartition("key").sortWithinPartitions("key", "role", "size", "doc")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
-        held = (none, none, np.zeros((0, WIDE_WORDS), np.uint64), none, none)
+        held = (none, none, np.zeros((0, WIDE_WORDS), np.uint64), none, none, np.zeros((0, FINE_WORDS), np.uint64))
         trees = none  # root of each held row's document, among the links asked so far
         for batch in batches:
             if not batch.num_rows:
                 continue
             key, role, doc, size, top = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 2, 4, 5))
             wide = _wide(batch.column(3))
-            rows = (key, doc, wide, size, top)
+            fine = _wide(batch.column(6), FINE_WORDS) if "fine" in columns else np.zeros((len(key), FINE_WORDS), np.uint64)
+            rows = (key, doc, wide, size, top, fine)
             fresh = held[0] == key[0]
             index = [np.concatenate([h[fresh], x[role != 1]]) for h, x in zip(held, rows, strict=True)]
             ask = [x[role != 0] for x in rows]
@@ -538,6 +547,10 @@ def wide_links(uniq: DataFrame, distance: int = WIDE_DISTANCE, every: bool = Fal
             a, b = a[may], b[may]
             apart = np.bitwise_count(ask[2][a] ^ index[2][b]).sum(axis=1, dtype=np.int64)
             sure, open_ = apart <= SURE_DISTANCE, (apart > SURE_DISTANCE) & (apart <= distance)
+            if "fine" in columns:
+                at_open = np.flatnonzero(open_ & (index[3][b] >= FINE_LEAST))
+                differ = np.bitwise_count(ask[5][a[at_open]] ^ index[5][b[at_open]]).sum(axis=1, dtype=np.int64)
+                open_[at_open[differ > FINE_DISTANCE]] = False
             if sure.any():
                 root, member = spanning_edges(ask[1][a[sure]], index[1][b[sure]])
                 yield linked(SURE, root, member)
@@ -606,6 +619,12 @@ def representatives(
                 [batch.column(0), pa.array(wide, pa.binary()), pa.array(size, pa.int64())], names=["doc", "wide", "size"]
             )
 
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = [wide_fingerprint(shingle_set(text.as_py(), shingle), FINE_WORDS) for text in batch.column(1)]
+            wide = [f[: WIDE_WORDS * BITS // 8] for f in fine]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.binary()), pa.array(fine, pa.binary())], names=["doc", "wide", "fine"])
+
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     prints = stored(rows.mapInArrow(run, "doc long, wide binary, size long"), "wide-fingerprints")
     first = stored(prints.groupBy("wide", "size").agg(F.min("doc").alias("doc")), "distinct-wide")
@@ -635,6 +654,9 @@ def representatives(
     again = held.join(broken, "a", "left_semi").select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     again = stored(with_top(first.join(again, "doc", "left_semi"), "doc", "top", roots), "broken-trees")
     if not again.isEmpty():
+        texts = may_be_in(rows, F.col("doc"), stored(key_filter(again, "doc"), "broken-filter")).where("__may").select("doc", "text")
+        fine = texts.mapInArrow(refine, "doc long, wide binary, fine binary").distinct()
+        again = stored(again.join(fine, ["doc", "wide"]), "refined")
         roots = above(roots, asked(stored(wide_links(again, distance, every=True), "open-links"), roots))
     kept = with_top(first.select("doc"), "doc", "top", roots).where("top = doc").select("doc").distinct()
     gone = stored(prints.select("doc").distinct().join(kept, "doc", "left_anti"), "dropped")

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from quillstream.llm import packing, pii, puclass, simhash
 from quillstream.llm._support import table
@@ -90,3 +92,40 @@ def test_odd_documents_go_through(spark, odd_docs, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "table", lambda s, d, n: odd_docs if n == "documents" else real(s, d, n))
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == [c.split()[0] for c in packing.PIECE_SCHEMA.split(", ")] and out.count() >= 0
+
+
+def test_groups_around_the_bound_are_decided_exactly(spark):
+    """Variants of a few texts, each with up to six changed words: trees break, and whole groups meet again."""
+    rng = random.Random(3)
+    texts, at = {}, 0
+    for group in range(4):
+        base = [f"g{group}w{i}" for i in range(150)]
+        for _ in range(45):
+            text = list(base)
+            for i in rng.sample(range(150), rng.randint(1, 6)):
+                text[i] = f"c{at}-{i}"
+            texts[at] = " ".join(text)
+            at += 1
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    met = []
+    real = simhash.wide_links
+
+    def spied(uniq, *args, **more):
+        met.append("fine" in uniq.columns)
+        return real(uniq, *args, **more)
+
+    simhash.wide_links = spied
+    try:
+        kept = {r.doc_id for r in simhash.representatives(df).collect()}
+    finally:
+        simhash.wide_links = real
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in ((d, t.split()) for d, t in texts.items())}
+    least = {d: d for d in texts}
+    near = [(d, e) for d in texts for e in texts if e < d and 5 * len(sets[d] & sets[e]) >= 4 * len(sets[d] | sets[e])]
+    for _ in range(len(texts)):
+        before = dict(least)
+        for d, e in near:
+            least[d] = least[e] = min(least[d], least[e])
+        if before == least:
+            break
+    assert met == [False, True] and kept == {d for d in texts if least[d] == d} and 4 < len(kept) < 150
