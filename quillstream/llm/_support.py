@@ -44,8 +44,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Bits of a key filter, in bitmaps of Spark's 32,768: at most 8 MB, whatever the number of keys.
-FILTER_BITS = 1 << 26
+#: Bits of a key filter, in bitmaps of 32,768: at most 2 MB, whatever the number of keys. More bits pay off above ten million keys.
+FILTER_BITS = 1 << 24
 
 
 def _spot(key: Column) -> tuple[Column, Column]:
