@@ -635,7 +635,7 @@ def representatives(
 
     def asked(found: DataFrame, of: DataFrame) -> DataFrame:
         """Links (a, b) between the tops of asked pairs that are similar."""
-        pairs = with_top(with_top(found.where(F.col("kind") != HELD).select("a", "b"), "a", "ta", of), "b", "tb", of)
+        pairs = with_top(with_top(found.where(F.col("kind") == ASK).select("a", "b"), "a", "ta", of), "b", "tb", of)
         pairs = stored(pairs.where("ta <> tb"), "asked-links")
         return similar_pairs(rows, pairs, shingle).select(F.col("ta").alias("a"), F.col("tb").alias("b"))
 
