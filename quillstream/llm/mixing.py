@@ -1,7 +1,7 @@
 """Mixing sources to target weights by iterative proportional fitting, with DataFrame functions only.
 
 Token weights of the cells (source, language, topic) are raked to target shares of each margin in
-turn until all margins agree; a cell's calibrated probability is proportional to its raked weight
+turn until all margins agree, with a warning where they do not within SWEEPS; a cell's calibrated probability is proportional to its raked weight
 over its tokens, on the largest scale at which none exceeds one, so that the kept tokens meet all
 targets in expectation (or on a scale that meets a budget of tokens, at which rare cells are kept
 whole); a document is kept when a uniform number drawn from its id lies below its cell's probability.
@@ -17,6 +17,8 @@ if their cells agree; an empty table gives no rows; other columns pass through.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ from quillstream.llm._support import stored
 MARGINS = ("source", "lang", "topic")
 #: Target share of a margin's value: its share of tokens to this power, normalised.
 POWERS = {"source": 0.8, "lang": 0.9, "topic": 0.95}
+#: Share of all tokens that the query and the pipeline keep. Without it the scarcest cell, however small, sets what all others keep.
+KEPT = 0.65
 SWEEPS, TOLERANCE, SEED = 25, 1e-4, "mix-1"
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -76,6 +80,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
         now = now.drop(*[f"by{k}" for k in range(len(targets))])
         if max(gap) <= tolerance:
             break
+    else:
+        warnings.warn(f"raking has not met all margins after {sweeps} sweeps: a factor was still {max(gap):.2g} from one", stacklevel=2)
     return now
 
 

@@ -33,7 +33,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents"), kept=mixing.KEPT)
 
 
 def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:

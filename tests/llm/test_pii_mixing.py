@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstream.llm import mixing, pii
+import corpus_pipeline
+from quillstream.llm import mixing, pii, queries
 from quillstream.llm._support import table
 
 PLAIN = {
@@ -128,3 +129,17 @@ def test_mix_odd_and_empty(spark, odd_docs, no_docs):
 def test_sample_is_the_selection(spark, sf):
     docs = table(spark, sf, "documents").withColumn("cell", F.lit(1))
     assert sorted(r.doc_id for r in mixing.sample(docs).collect()) == sorted(r.doc_id for r in mixing.mix(docs).where("selected").collect())
+
+
+def test_one_stray_row_does_not_shrink_the_rest(spark, monkeypatch):
+    """Query and pipeline keep their share of tokens when a source and a language of one document come in."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    rows = [(-1, "word " * 300, "tlh", "stray", 1)]
+    both = docs.union(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select(docs.columns))
+    monkeypatch.setattr(queries, "table", lambda s, d, n: both)
+    with pytest.warns(UserWarning, match="raking has not met"):  # the two margins of that document disagree
+        out = queries.op4_mixing(spark, "").toPandas()
+    assert (out.tokens * out.probability).sum() / out.tokens.sum() == pytest.approx(mixing.KEPT, abs=0.01)
+    assert out.probability[out.doc_id == -1].item() == 1
+    left = corpus_pipeline.mix(spark, both, "").count()
+    assert left == out.selected.sum() and left > 0.6 * len(out)
