@@ -3,9 +3,10 @@
 Each document has a vector of transformed statistics. For every language and source the minimum
 covariance determinant estimate of centre and scatter is sought by concentration steps: from a
 start of medians and quartile spreads, the share COVERAGE of documents with the smallest
-distances gives the next mean and covariance, CONCENTRATIONS times; then the estimate is reweighted
-over the documents within the usual bound. Documents whose squared Mahalanobis distance exceeds
-CUTOFF are rejected.
+distances gives the next mean and covariance, until no group's share changes (CONCENTRATIONS times
+at most); then the estimate is reweighted over the documents within the usual bound. Documents whose
+squared Mahalanobis distance exceeds CUTOFF are rejected. At a coverage of about half, junk may make
+up nearly half of a group.
 
 Medians and the smallest distances are found from counts in fixed, fine bins, summed before any
 shuffle: exact for the bins, the same however rows are dealt, and without a group ever meeting in
@@ -19,6 +20,7 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,10 +33,10 @@ FEATURES = ("f0", "f1", "f2", "f3", "f4")
 #: Width of the bins in which medians and quartiles are found, and least spread of each feature.
 BIN_WIDTH = (0.02, 0.005, 0.005, 0.005, 0.005)
 LEAST_SPREAD = (0.30, 0.05, 0.06, 0.15, 0.10)
-COVERAGE, CONCENTRATIONS, LEAST_GROUP = 0.75, 3, 50
+COVERAGE, CONCENTRATIONS, LEAST_GROUP = 0.52, 60, 50
 #: Fixed values for five features: consistency factor at that coverage, bound of the reweighting
 #: (0.975 quantile of chi square), bound of the verdict (0.99999 quantile).
-CONSISTENCY, REWEIGHT, CUTOFF = 1.41, 12.83, 30.86
+CONSISTENCY, REWEIGHT, CUTOFF = 1.863, 12.83, 30.86
 
 
 def _total(values: Column) -> Column:
@@ -143,16 +145,17 @@ def _inverse_root(moments: DataFrame, p: int, factor: float) -> DataFrame:
         else:
             terms = [F.col(f"l{i}{k}") * F.col(f"g{k}{j}") for k in range(j, i)]
             df = df.withColumn(f"g{i}{j}", -reduce(lambda a, b: a + b, terms) / F.col(f"l{i}{i}"))
-    return df.select("g", *[f"m{i}" for i in range(p)], *[f"g{i}{j}" for i, j in _lower(p)])
+    return df.select("g", "core", *[f"m{i}" for i in range(p)], *[f"g{i}{j}" for i, j in _lower(p)])
 
 
 def _moments(core: DataFrame, p: int) -> DataFrame:
-    """Means and covariances of each group's core, from sums about the current centre."""
+    """Means and covariances of each group's core, from sums about the current centre; core: a sum over its members that tells whether it changed."""
     d = [F.col(f"f{i}") - F.col(f"m{i}") for i in range(p)]
     sums = [F.avg(d[i]).alias(f"d{i}") for i in range(p)] + [F.avg(d[i] * d[j]).alias(f"q{i}{j}") for i, j in _lower(p)]
-    got = core.groupBy("g").agg(*[F.first(f"m{i}").alias(f"o{i}") for i in range(p)], *sums)
+    members = F.struct(F.count("*"), F.sum(F.xxhash64(*FEATURES).cast("decimal(38,0)"))).alias("core")
+    got = core.groupBy("g").agg(members, *[F.first(f"m{i}").alias(f"o{i}") for i in range(p)], *sums)
     return got.select(
-        "g",
+        "g", "core",
         *[(F.col(f"o{i}") + F.col(f"d{i}")).alias(f"m{i}") for i in range(p)],
         *[(F.col(f"q{i}{j}") - F.col(f"d{i}") * F.col(f"d{j}")).alias(f"c{i}{j}") for i, j in _lower(p)],
     )
@@ -174,11 +177,19 @@ def estimates(rows: DataFrame) -> DataFrame:
     start = _starts(rows)
     root = [(F.lit(0.0) if i != j else 1 / F.col(f"s{i}")).alias(f"g{i}{j}") for i, j in _lower(p)]
     now = stored(start.select("g", *[f"m{i}" for i in range(p)], *root), "mcd-start")
+    seen = None
     for _ in range(CONCENTRATIONS):
         core = _core(rows.join(now, "g").withColumn("d2", _distance(p)))
-        now = stored(_inverse_root(_moments(core, p), p, CONSISTENCY), "mcd-step")
+        step = stored(_inverse_root(_moments(core, p), p, CONSISTENCY), "mcd-step")
+        now = step.drop("core")
+        cores = step.agg(F.sum(F.xxhash64("g", "core").cast("decimal(38,0)"))).first()[0]
+        if cores == seen:
+            break
+        seen = cores
+    else:
+        warnings.warn(f"the cores of some groups still change after {CONCENTRATIONS} steps", stacklevel=2)
     core = rows.join(now, "g").withColumn("d2", _distance(p)).where(F.col("d2") <= REWEIGHT)
-    return stored(_inverse_root(_moments(core, p), p, 1.0), "mcd")
+    return stored(_inverse_root(_moments(core, p), p, 1.0).drop("core"), "mcd")
 
 
 def judge(docs: DataFrame) -> DataFrame:

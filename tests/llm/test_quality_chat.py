@@ -81,6 +81,19 @@ def test_small_groups_have_no_estimate(spark, sf):
     assert all(r.kept != r.base_failed for r in quality.judge(docs).collect())
 
 
+def test_two_fifths_of_junk_are_rejected(spark):
+    """Documents that pass the base rules, 40 in 100 of them of low quality: the estimate follows the others."""
+    sf = "/root/testdata/sf0.01"
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").orderBy("doc_id").collect()
+    passing = [r for r in rows if not base(r.text)[5]]
+    bad = [r for r in passing if r.quality == 0]
+    good = [r for r in passing if r.quality == 1][: len(bad) * 3 // 2]
+    mixed = spark.createDataFrame([(r.doc_id, r.text, "en", "one") for r in bad + good], "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality.judge(mixed).collect()}
+    assert len(kept) >= quality.LEAST_GROUP and 5 * len(bad) >= 2 * len(kept)
+    assert sum(kept[r.doc_id] for r in bad) < 0.1 * len(bad) and sum(kept[r.doc_id] for r in good) > 0.95 * len(good)
+
+
 # ---- chat ------------------------------------------------------------------------------------
 
 
