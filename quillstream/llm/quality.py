@@ -10,8 +10,9 @@ up nearly half of a group.
 
 Medians and the smallest distances are found from counts in fixed, fine bins, summed before any
 shuffle: exact for the bins, the same however rows are dealt, and without a group ever meeting in
-one task. A language and source with fewer than LEAST_GROUP documents is estimated with the rest
-of its language; a language with fewer has no estimate, and its documents pass.
+one task. Documents of a language and source with fewer than LEAST_GROUP are judged by the estimate
+over all documents of the language, those of a language with fewer by the estimate over all documents;
+only a table with fewer has no estimate, and its documents pass.
 
 Defined results: a null or blank text has no words and fails the base rules; null language or
 source is a value of its own; a null doc_id keeps its row; repeated rows each count; an empty table
@@ -196,14 +197,23 @@ def judge(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance)."""
     rows = stored(statistics(docs), "statistics")
     sizes = rows.where("n_words > 0").groupBy("lang", "source").agg(F.count("*").alias("n"))
-    own = F.to_json(F.struct("lang", "source"))
-    rest = F.to_json(F.struct("lang"))
-    named = sizes.select("lang", "source", "n", F.when(F.col("n") >= LEAST_GROUP, own).otherwise(rest).alias("g"))
-    whole = named.groupBy("g").agg(F.sum("n").alias("m")).where(F.col("m") >= LEAST_GROUP).select("g")
-    named = stored(named.join(whole, "g").select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), "g"), "groups")
+    everything = sizes.agg(F.sum("n")).first()[0] or 0
+    own, rest, whole = F.concat(F.lit("own"), F.to_json(F.struct("lang", "source"))), F.concat(F.lit("lang"), F.to_json(F.struct("lang"))), F.lit("all")
+    wide = sizes.withColumn("m", F.sum("n").over(Window.partitionBy("lang")))
+    named = wide.select(
+        F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), rest.alias("rest"),
+        F.when(F.col("n") >= LEAST_GROUP, own).when(F.col("m") >= LEAST_GROUP, rest)
+        .when(F.lit(everything >= LEAST_GROUP), whole).alias("g"),
+    )
+    named = stored(named, "groups")
+    everyone = F.lit(not named.where(F.col("g") == whole).isEmpty())
+    # a group's documents also count for the wider groups that small ones are judged by
+    pooled = F.max(F.col("g") == F.col("rest")).over(Window.partitionBy("of_lang"))
+    parts = F.array(F.when(~F.col("g").isin("all") & (F.col("g") != F.col("rest")), F.col("g")), F.when(pooled, F.col("rest")), F.when(everyone, whole))
+    named = stored(named.select("of_lang", "of_source", "g", F.array_compact(parts).alias("parts")), "parts")
     same = F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source"))
     rows = rows.join(named, same, "left").drop("of_lang", "of_source")
-    found = estimates(rows.where("n_words > 0 AND g IS NOT NULL").select("g", *FEATURES))
+    found = estimates(rows.where("n_words > 0 AND g IS NOT NULL").select(F.explode("parts").alias("g"), *FEATURES))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     measured = rows.join(found, "g", "left").withColumn("distance", _distance(len(FEATURES)))
     return measured.select(

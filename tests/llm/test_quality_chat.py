@@ -94,6 +94,17 @@ def test_two_fifths_of_junk_are_rejected(spark):
     assert sum(kept[r.doc_id] for r in bad) < 0.1 * len(bad) and sum(kept[r.doc_id] for r in good) > 0.95 * len(good)
 
 
+def test_small_groups_are_judged_by_wider_ones(spark):
+    """A lone small source is judged with its whole language, a rare language (or none) with all documents."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    junk = " ".join(f"#$%{i} ABC|{i}" for i in range(60))
+    rows = [(-1, junk, "en", "lone"), (-2, junk, "xx", None), (-3, junk, None, None)]
+    docs = docs.union(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", quality.F.lit(1)).select(docs.columns))
+    got = quality.judge(docs).collect()
+    assert all(r.distance is not None for r in got if r.n_words > 0) and len(got) == 203
+    assert not any(r.base_failed or r.kept for r in got if r.doc_id < 0)
+
+
 # ---- chat ------------------------------------------------------------------------------------
 
 
