@@ -34,7 +34,7 @@ FEATURES = ("f0", "f1", "f2", "f3", "f4")
 #: Width of the bins in which medians and quartiles are found, and least spread of each feature.
 BIN_WIDTH = (0.02, 0.005, 0.005, 0.005, 0.005)
 LEAST_SPREAD = (0.30, 0.05, 0.06, 0.15, 0.10)
-COVERAGE, CONCENTRATIONS, LEAST_GROUP = 0.52, 60, 50
+COVERAGE, CONCENTRATIONS, LEAST_GROUP = 0.52, 20, 50
 #: Fixed values for five features: consistency factor at that coverage, bound of the reweighting
 #: (0.975 quantile of chi square), bound of the verdict (0.99999 quantile).
 CONSISTENCY, REWEIGHT, CUTOFF = 1.863, 12.83, 30.86
@@ -178,15 +178,15 @@ def estimates(rows: DataFrame) -> DataFrame:
     start = _starts(rows)
     root = [(F.lit(0.0) if i != j else 1 / F.col(f"s{i}")).alias(f"g{i}{j}") for i, j in _lower(p)]
     now = stored(start.select("g", *[f"m{i}" for i in range(p)], *root), "mcd-start")
-    seen = None
+    seen = set()
     for _ in range(CONCENTRATIONS):
         core = _core(rows.join(now, "g").withColumn("d2", _distance(p)))
         step = stored(_inverse_root(_moments(core, p), p, CONSISTENCY), "mcd-step")
         now = step.drop("core")
         cores = step.agg(F.sum(F.xxhash64("g", "core").cast("decimal(38,0)"))).first()[0]
-        if cores == seen:
+        if cores in seen:  # no core changes, or they come round in a cycle
             break
-        seen = cores
+        seen.add(cores)
     else:
         warnings.warn(f"the cores of some groups still change after {CONCENTRATIONS} steps", stacklevel=2)
     core = rows.join(now, "g").withColumn("d2", _distance(p)).where(F.col("d2") <= REWEIGHT)
