@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstream.functions.serde import deep_merge, known_fields
-from quillstream.model import EventFilter, EventQuery, EventReference, EventStoreError, Limit, StreamId
+from quillstream.model import EventFilter, EventQuery, EventReference, LedgerError, Limit, StreamId
 from quillstream.plans import predicates as P
 from quillstream.plans.reader import query_log
 
 PARTS = "array<struct<type:string,data:string>>"
 
 
-class RegistrationError(EventStoreError):
+class RegistrationError(LedgerError):
     pass
 
 

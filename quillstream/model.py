@@ -17,15 +17,15 @@ from functools import total_ordering
 from typing import Any
 
 
-class EventStoreError(Exception):
+class LedgerError(Exception):
     """Base of all errors of this library."""
 
 
-class LimitExceeded(EventStoreError):
+class LimitExceeded(LedgerError):
     """A query asks for, or meets, more rows than the store's hard limit."""
 
 
-class OptimisticLockingError(EventStoreError):
+class OptimisticLockingError(LedgerError):
     """A conditional append met a conflicting event."""
 
     def __init__(self, event_filter: "EventFilter", expected: "EventReference | None"):

@@ -15,7 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from quillstream import schema as S
 from quillstream.sources.commit_log import CommitLog, LocalFiles, files_of
-from quillstream.sources.store import EventStore
+from quillstream.sources.store import EventLedger
 
 FORMAT = "quillstream"
 
@@ -76,7 +76,7 @@ class LogSource(DataSource):
         return LogReader(self.options["path"], int(self.options.get("startversion", 0)), int(self.options.get("maxcommits", 0)))
 
 
-def read_stream(store: EventStore, start_version: int = 0, max_commits: int = 0) -> DataFrame:
+def read_stream(store: EventLedger, start_version: int = 0, max_commits: int = 0) -> DataFrame:
     """An unbounded DataFrame of a local store's log; other stores stream with Spark's own file source."""
     if not isinstance(store.files, LocalFiles):
         return store.spark.readStream.schema(S.EVENTS).parquet(store.files.path("data"))

@@ -8,10 +8,10 @@ from pyspark.sql import types as T
 from quillstream.functions.serde import erasable, merge
 from quillstream.functions.upcast import PythonUpcaster, RegistrationError, Registry, Upcaster, dropped, renamed
 from quillstream.model import (
-    AppendCriteria, EphemeralEvent, EventFilter, EventQuery, EventReference, EventStoreError, LimitExceeded, OptimisticLockingError, StreamId, Tags,
+    AppendCriteria, EphemeralEvent, EventFilter, EventQuery, EventReference, LedgerError, LimitExceeded, OptimisticLockingError, StreamId, Tags,
 )
 from quillstream.sources import jsonio
-from quillstream.sources.store import EventStore, InitMode
+from quillstream.sources.store import EventLedger, InitMode
 from quillstream.streaming.projector import BookmarkReads, PayloadProjection, Projection, ProjectionError, Projector, fold_by_key
 
 Q = EventQuery
@@ -31,14 +31,14 @@ def ev(kind, data=None, *tags, key=None):
 
 @pytest.fixture
 def store(spark, tmp_path):
-    made = EventStore(spark, str(tmp_path / "store"))
+    made = EventLedger(spark, str(tmp_path / "store"))
     yield made
     made.close()
 
 
 @pytest.fixture(scope="module")
 def bank(spark, tmp_path_factory):
-    store = EventStore(spark, str(tmp_path_factory.mktemp("bank")))
+    store = EventLedger(spark, str(tmp_path_factory.mktemp("bank")))
     domain = store.stream(StreamId("app", "domain"), registry())
     other = store.stream(StreamId("otherApp", "domain"), registry())
     perf = store.stream(StreamId("app", "performance-logging"), registry())
@@ -107,7 +107,7 @@ def test_lookup_and_plan(bank):
 
 
 def test_hard_limit(spark, tmp_path):
-    store = EventStore(spark, str(tmp_path), hard_limit=2)
+    store = EventLedger(spark, str(tmp_path), hard_limit=2)
     s = store.stream(StreamId("a"), registry())
     for i in range(3):
         s.append(ev("First", {"value": i}))
@@ -121,19 +121,19 @@ def test_hard_limit(spark, tmp_path):
 
 def test_append_rules(store):
     s = store.stream(StreamId("app", None), registry())
-    with pytest.raises(EventStoreError, match="not specific"):
+    with pytest.raises(LedgerError, match="not specific"):
         s.append(ev("First"))
-    with pytest.raises(EventStoreError, match="does not append"):
+    with pytest.raises(LedgerError, match="does not append"):
         s.append(ev("First"), to=StreamId("other", "x"))
-    with pytest.raises(EventStoreError, match="not known"):
+    with pytest.raises(LedgerError, match="not known"):
         s.append(ev("Nope"), to=StreamId("app", "x"))
     assert s.append([], to=StreamId("app", "x")) == []
-    with pytest.raises(EventStoreError, match="single"):
+    with pytest.raises(LedgerError, match="single"):
         s.append([ev("First", key="k"), ev("First")], to=StreamId("app", "x"))
     got = s.append([ev("First", {"v": 1}), ev("Second")], to=StreamId("app", "x"))
     assert [e.reference.position for e in got] == [1, 2] and got[0].reference.tx == got[1].reference.tx
     assert store.stream().query(Q.match_all()) [0].data == {"v": 1}  # a raw stream reads
-    with pytest.raises(EventStoreError, match="not known"):
+    with pytest.raises(LedgerError, match="not known"):
         store.stream(StreamId("app", "x")).append(ev("First"))  # and never appends
     with pytest.raises(ValueError):
         s.append(ev("First", {"v": float("nan")}), to=StreamId("app", "x"))
@@ -162,12 +162,12 @@ def test_optimistic_locking(store):
 def test_idempotency_survives_reopening(spark, store):
     s = store.stream(StreamId("app"), registry())
     assert len(s.append(ev("First", key="once"))) == 1 and s.append(ev("First", key="once")) == []
-    again = EventStore(spark, store.base).stream(StreamId("app"), registry())
+    again = EventLedger(spark, store.base).stream(StreamId("app"), registry())
     assert again.append(ev("Second", key="once")) == [] and again.store.snapshot().count() == 1
 
 
 def test_two_writers_race(spark, tmp_path):
-    stores = [EventStore(spark, str(tmp_path)) for _ in range(2)]
+    stores = [EventLedger(spark, str(tmp_path)) for _ in range(2)]
     streams = [s.stream(StreamId("app"), registry()) for s in stores]
     wins, conflicts = [], []
 
@@ -197,7 +197,7 @@ def test_compaction_and_import(spark, store, sf):
     assert s.append(ev("First"))[0].reference.position == 7
     from quillstream.queries import log_view
 
-    fresh = EventStore(spark, store.base + "-2")
+    fresh = EventLedger(spark, store.base + "-2")
     rows = log_view(spark, sf).drop("value")
     assert fresh.import_events(rows) == rows.count()
     t = fresh.stream(StreamId("shop", "u1"), Registry().event("view"))
@@ -208,15 +208,15 @@ def test_compaction_and_import(spark, store, sf):
 
 def test_modes_and_prefix(spark, tmp_path):
     with pytest.raises(Exception, match="no store"):
-        EventStore(spark, str(tmp_path / "x"), mode=InitMode.VALIDATE)
-    a = EventStore(spark, str(tmp_path / "x"), prefix="a_")
+        EventLedger(spark, str(tmp_path / "x"), mode=InitMode.VALIDATE)
+    a = EventLedger(spark, str(tmp_path / "x"), prefix="a_")
     a.stream(StreamId("app"), registry()).append(ev("First"))
-    assert EventStore(spark, str(tmp_path / "x"), prefix="b_").snapshot().count() == 0
-    assert EventStore(spark, str(tmp_path / "x"), prefix="a_", mode=InitMode.VALIDATE).snapshot().count() == 1
-    assert EventStore(spark, str(tmp_path / "x"), prefix="a_", mode=InitMode.INITIALIZE).snapshot().count() == 0
+    assert EventLedger(spark, str(tmp_path / "x"), prefix="b_").snapshot().count() == 0
+    assert EventLedger(spark, str(tmp_path / "x"), prefix="a_", mode=InitMode.VALIDATE).snapshot().count() == 1
+    assert EventLedger(spark, str(tmp_path / "x"), prefix="a_", mode=InitMode.INITIALIZE).snapshot().count() == 0
     for bad in ("a", "a-b_", "x" * 33 + "_"):
         with pytest.raises(ValueError):
-            EventStore(spark, str(tmp_path), prefix=bad)
+            EventLedger(spark, str(tmp_path), prefix=bad)
 
 
 def test_listeners(store):
@@ -255,7 +255,7 @@ def customers(spark, path):
     old = Registry()
     for t in ("CustomerRegisteredWithAddress", "CustomerLegacyAuditLog", "CustomerNameChanged", "CustomerChurned"):
         old.event(t)
-    store = EventStore(spark, path)
+    store = EventLedger(spark, path)
     s = store.stream(StreamId("app"), old)
     s.append(ev("CustomerRegisteredWithAddress", {"name": "John", "street": "123 Main St", "city": "Springfield"}, "customer:1"))
     s.append(ev("CustomerLegacyAuditLog", {"message": "m"}, "customer:1"))
@@ -362,7 +362,7 @@ class Count(Projection):
 
 @pytest.fixture(scope="module")
 def six(spark, tmp_path_factory):
-    s = EventStore(spark, str(tmp_path_factory.mktemp("six"))).stream(StreamId("app"), registry())
+    s = EventLedger(spark, str(tmp_path_factory.mktemp("six"))).stream(StreamId("app"), registry())
     for i, (t, n) in enumerate(zip(["First", "Second", "Third"] * 2, ["one", "two", "three", "four", "five", "six"])):
         s.append(ev(t, {"value": str(i + 1)}, f"nr:{n}"))
     return s
