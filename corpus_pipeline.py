@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstream.llm import mixing, packing, pii, puclass, simhash
+from quillstream.llm import mixing, neardup, packing, pii, puclass
 from quillstream.llm._support import stored, table
 from quillstream.llm.queries import tokenizer_file
 
@@ -28,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each near-duplicate group; rows without a doc_id stay."""
-    return simhash.representatives(docs)
+    return neardup.representatives(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

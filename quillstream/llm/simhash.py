@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm._support import key_filter, may_be_in, ship, stored
+from quillstream.llm._support import ship, stored
 
 BITS = 64
 #: Index rows of one (partition, value) that a task may hold; a more frequent value is dealt out in tiles.
@@ -221,34 +221,6 @@ def spanning_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return nodes[label[moved]], nodes[moved]
 
 
-def cheapest_forest(label: np.ndarray, x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(chosen, label): links that join the labelled trees at least cost, and the labels after it.
-
-    Every round each tree takes its cheapest link to another tree, so chosen links are links of the input.
-    """
-    order = np.argsort(cost, kind="stable")
-    x, y = x[order], y[order]
-    chosen = np.zeros(0, dtype=np.int64)
-    while True:
-        cross = np.flatnonzero(label[x] != label[y])
-        if not len(cross):
-            return order[chosen], label
-        first = np.full(len(label), len(x))
-        np.minimum.at(first, label[x[cross]], cross)
-        np.minimum.at(first, label[y[cross]], cross)
-        taken = np.unique(first[first < len(x)])
-        chosen = np.concatenate([chosen, taken])
-        label = merged_labels(label, x[taken], y[taken])
-
-
-def merged_labels(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Labels after the trees of x and y are joined."""
-    root, member = spanning_edges(label[x], label[y])
-    to = np.arange(len(label))
-    to[member] = root
-    return to[label]
-
-
 def links(uniq: DataFrame, distance: int, partitions: int = 4) -> DataFrame:
     """(a, b): links between distinct fingerprints whose components are those of all pairs within distance.
 
@@ -355,19 +327,18 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen:
+        if tuple(state) == seen or not state[0]:
             break
         seen = tuple(state)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large, "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         e = stored(
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(low.select("u", F.col("m").alias("v"))).distinct(),
-            "small-star",
+            "stars",
         )
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
@@ -396,272 +367,3 @@ def near_duplicates(
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
-
-
-# ---- similarity of 0.8 or more ---------------------------------------------------------------
-#
-# Two sets of similarity J have a cosine of about 2 J / (1 + J), and each bit of their SimHash
-# differs with probability arccos(cosine) / pi: 0.151 at J = 0.8. Sixty-four bits spread too widely
-# around that, so representatives() takes 512 bits (eight mixed hashes of each distinct shingle), cut
-# into partitions of WIDE_BITS bits with radius zero: a pair of similarity 0.8 agrees on one of the 42
-# partitions with probability 0.998. Candidates within WIDE_DISTANCE bits (four deviations above the
-# mean at 0.8) are then decided by the similarity of their whole shingle sets; those within
-# SURE_DISTANCE (over four below it) are linked at once, which keeps tight groups from being paired out.
-
-WIDE_WORDS, WIDE_BITS, WIDE_DISTANCE, SURE_DISTANCE = 8, 12, 112, 40
-# Where every pair of a group would have to be decided, 2,048 bits (the wide ones among them) first rule out
-# what is more than FINE_DISTANCE apart: at 0.8 and sets of FINE_LEAST shingles or more, at most 0.151 of the
-# bits differ on average, and FINE_DISTANCE is 4.5 deviations above that. Smaller sets are not ruled out.
-FINE_WORDS, FINE_DISTANCE, FINE_LEAST = 32, 381, 64
-_MIX = (np.arange(1, FINE_WORDS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
-
-
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """Sorted XXH64 (seed 42) of the distinct shingles of the whole text; of shorter texts, of all words."""
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    total = max(1, len(words) - shingle + 1)
-    digest = xxhash.xxh64_intdigest
-    hashes = (digest(b" ".join(words[i : i + shingle]), 42) for i in range(total))
-    return np.unique(np.fromiter(hashes, dtype=np.uint64, count=total))
-
-
-def wide_fingerprint(grams: np.ndarray, words: int = WIDE_WORDS) -> bytes:
-    """64 bits for each of words of SimHash over a shingle set; of an empty set, zeros."""
-    counts = np.zeros((words, BITS), dtype=np.int64)
-    for at in range(0, len(grams), 1 << 14):
-        h = grams[at : at + (1 << 14)]
-        for k in range(words):
-            x = (h ^ (h >> np.uint64(31))) * _MIX[k]
-            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            x ^= x >> np.uint64(32)
-            bits = np.unpackbits(x.view(np.uint8), bitorder="little").reshape(-1, BITS)
-            counts[k] += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(counts.ravel() * 2 > len(grams), bitorder="little").tobytes()
-
-
-def _wide(column: pa.Array, words: int = WIDE_WORDS) -> np.ndarray:
-    """(rows, words) of a column of wide fingerprints."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(-1, words)
-
-
-SURE, ASK, HELD = 0, 1, 2
-
-
-def wide_links(uniq: DataFrame, distance: int = WIDE_DISTANCE, every: bool = False) -> DataFrame:
-    """(a, b, kind): links between documents (doc, wide, size, top) whose wide fingerprints are within distance.
-
-    Pairs of the same top, and pairs whose set sizes rule out a similarity of 0.8, are left out. SURE
-    links (within SURE_DISTANCE) come as spanning forests. The others are to be asked: all of them with
-    every, else only the nearest that join what is apart, and HELD links (tree, document) name the
-    documents with links that were held back because a tree of links already joins them. Where uniq has
-    a column fine, its 2,048 bits rule out more pairs.
-    """
-    columns = ["doc", "wide", "size", "top", *(["fine"] if "fine" in uniq.columns else [])]
-    parts = BITS * WIDE_WORDS // WIDE_BITS
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bits = np.unpackbits(_wide(batch.column(1)).view(np.uint8), axis=1, bitorder="little")
-            value = bits[:, : parts * WIDE_BITS].reshape(len(bits), parts, WIDE_BITS).astype(np.int64) @ (1 << np.arange(WIDE_BITS))
-            keys = (np.arange(parts)[None, :] << 32) | value
-            own = pa.array(np.repeat(np.arange(len(bits)), parts))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel()), *(batch.column(i).take(own) for i in range(len(columns)))], names=["key", *columns]
-            )
-
-    keyed = uniq.select(*columns).mapInArrow(
-        spread, "key long, doc long, wide binary, size long, top long" + ", fine binary" * ("fine" in columns)
-    )
-    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TILE_ROWS)
-    hot = stored(hot.select("key", F.ceil(F.col("n") / TILE_ROWS).cast("int").alias("tiles")), "hot-keys")
-    dealt = keyed.join(hot, "key", "left") if not hot.isEmpty() else keyed.withColumn("tiles", F.lit(None).cast("int"))
-    # role 0: held as index, role 1: compared with the index, role 2: both
-    whole = F.array(F.struct(F.lit(0).alias("tile"), F.lit(2).alias("role")))
-    own = F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int")
-    tiled = F.concat(
-        F.array(F.struct(own.alias("tile"), F.lit(0).alias("role"))),
-        F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(t.alias("tile"), F.lit(1).alias("role"))),
-    )
-    dealt = dealt.select("key", *columns, F.explode(F.when(F.col("tiles").isNull(), whole).otherwise(tiled)).alias("t"))
-    dealt = dealt.select((F.col("key") + F.shiftleft(F.col("t.tile").cast("long"), 16)).alias("key"), "t.role", *columns)
-    # a document asks those before it in the order of (size, doc), so each pair is met once, however a key is cut into batches
-    dealt = dealt.repartition("key").sortWithinPartitions("key", "role", "size", "doc")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.int64)
-        held = (none, none, np.zeros((0, WIDE_WORDS), np.uint64), none, none, np.zeros((0, FINE_WORDS), np.uint64))
-        trees = none  # root of each held row's document, among the links asked so far
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, role, doc, size, top = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 2, 4, 5))
-            wide = _wide(batch.column(3))
-            fine = _wide(batch.column(6), FINE_WORDS) if "fine" in columns else np.zeros((len(key), FINE_WORDS), np.uint64)
-            rows = (key, doc, wide, size, top, fine)
-            fresh = held[0] == key[0]
-            index = [np.concatenate([h[fresh], x[role != 1]]) for h, x in zip(held, rows, strict=True)]
-            ask = [x[role != 0] for x in rows]
-            # the index is sorted by key and size: only sizes from four fifths of the asking set's up to its own can be similar
-            keys = np.unique(index[0])
-            ordered = (np.searchsorted(keys, index[0]) << 40) + index[3]
-            base = np.searchsorted(keys, ask[0])
-            base = np.where((base < len(keys)) & (keys[np.minimum(base, len(keys) - 1)] == ask[0]), base, len(keys)) << 40
-            low = np.searchsorted(ordered, base + -(-4 * ask[3] // 5), "left")
-            n = np.searchsorted(ordered, base + ask[3], "right") - low
-            nodes = np.unique(np.concatenate([index[1], ask[1], trees[fresh]]))
-            label = np.arange(len(nodes))
-            label = merged_labels(label, np.searchsorted(nodes, held[1][fresh]), np.searchsorted(nodes, trees[fresh]))
-            for found in compare(index, ask, low, n, nodes, label):
-                if isinstance(found, np.ndarray):
-                    label = found
-                else:
-                    yield found
-            last = index[0] == key[-1]
-            held = tuple(x[last] for x in index)
-            trees = nodes[label[np.searchsorted(nodes, held[1])]]
-
-    def linked(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(a), pa.array(b), pa.array(np.full(len(a), kind, dtype=np.int32))], names=["a", "b", "kind"]
-        )
-
-    def compare(index, ask, low, n, nodes, label) -> Iterator[pa.RecordBatch | np.ndarray]:
-        """Links as record batches, and at the end the labels of nodes."""
-        back = np.zeros(len(nodes), dtype=bool)
-        ends = np.cumsum(n)
-        at = 0
-        while at < len(n):
-            done = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, done + (PAIRS_AT_ONCE >> 3), "right")))
-            k = n[at:to]
-            a = np.repeat(np.arange(at, to), k)
-            b = np.repeat(low[at:to], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-            before = (index[3][b] < ask[3][a]) & (index[1][b] != ask[1][a]) | (index[3][b] == ask[3][a]) & (index[1][b] < ask[1][a])
-            may = before & (ask[4][a] != index[4][b])
-            a, b = a[may], b[may]
-            apart = np.bitwise_count(ask[2][a] ^ index[2][b]).sum(axis=1, dtype=np.int64)
-            sure, open_ = apart <= SURE_DISTANCE, (apart > SURE_DISTANCE) & (apart <= distance)
-            if "fine" in columns:
-                at_open = np.flatnonzero(open_ & (index[3][b] >= FINE_LEAST))
-                differ = np.bitwise_count(ask[5][a[at_open]] ^ index[5][b[at_open]]).sum(axis=1, dtype=np.int64)
-                open_[at_open[differ > FINE_DISTANCE]] = False
-            if sure.any():
-                root, member = spanning_edges(ask[1][a[sure]], index[1][b[sure]])
-                yield linked(SURE, root, member)
-                label = merged_labels(label, np.searchsorted(nodes, root), np.searchsorted(nodes, member))
-            if open_.any():
-                x, y = np.searchsorted(nodes, ask[1][a[open_]]), np.searchsorted(nodes, index[1][b[open_]])
-                if every:
-                    chosen = np.arange(len(x))
-                else:
-                    chosen, label = cheapest_forest(label, x, y, apart[open_])
-                    kept_back = np.ones(len(x), dtype=bool)
-                    kept_back[chosen] = False
-                    back[x[kept_back]] = back[y[kept_back]] = True
-                if len(chosen):
-                    yield linked(ASK, nodes[np.minimum(x, y)[chosen]], nodes[np.maximum(x, y)[chosen]])
-            at = to
-        if back.any():
-            yield linked(HELD, nodes[label[back]], nodes[back])
-        yield label
-
-    return dealt.mapInArrow(verify, "a long, b long, kind int").distinct()
-
-
-def similar_pairs(rows: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """The rows of pairs (with a, b) whose documents' shingle sets have a similarity of 0.8 or more.
-
-    rows: (doc, text). Sets are built once, for documents that occur in pairs, and compared in the JVM
-    one pair at a time.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                grams = pa.array([shingle_set(text.as_py(), shingle).view(np.int64)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()], pa.int64()), grams], names=["doc", "grams"])
-
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    # a set too many does no harm, so texts are picked by a filter where they lie instead of being shuffled
-    bits = stored(key_filter(needed, "doc"), "asked-filter")
-    asked = may_be_in(rows, F.col("doc"), bits).where("__may").select("doc", "text")
-    sets = stored(asked.mapInArrow(run, "doc long, grams array<long>"), "shingle-sets")
-    left, right = (sets.select(F.col("doc").alias(c), F.col("grams").alias(f"grams_{c}")) for c in ("a", "b"))
-    shared = F.size(F.array_intersect("grams_a", "grams_b"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("shared", shared)
-    return both.where(5 * F.col("shared") >= 4 * (F.size("grams_a") + F.size("grams_b") - F.col("shared"))).select(pairs.columns)
-
-
-def representatives(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = WIDE_DISTANCE
-) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component of similar texts the smallest id stays.
-
-    Texts are linked at a similarity of 0.8 or more between their sets of shingles. Rows without an id
-    stay; rows that repeat an id stay or go together.
-    """
-    ship(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wide, size = [], []
-            for text in batch.column(1):
-                grams = shingle_set(text.as_py(), shingle)
-                wide.append(wide_fingerprint(grams))
-                size.append(len(grams))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(wide, pa.binary()), pa.array(size, pa.int64())], names=["doc", "wide", "size"]
-            )
-
-    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fine = [wide_fingerprint(shingle_set(text.as_py(), shingle), FINE_WORDS) for text in batch.column(1)]
-            wide = [f[: WIDE_WORDS * BITS // 8] for f in fine]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.binary()), pa.array(fine, pa.binary())], names=["doc", "wide", "fine"])
-
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    prints = stored(rows.mapInArrow(run, "doc long, wide binary, size long"), "wide-fingerprints")
-    first = stored(prints.groupBy("wide", "size").agg(F.min("doc").alias("doc")), "distinct-wide")
-
-    def with_top(df: DataFrame, node: str, top: str, of: DataFrame) -> DataFrame:
-        of = of.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
-        return df.join(of, F.col(node) == F.col("__node"), "left").withColumn(top, F.coalesce("__root", node)).drop("__node", "__root")
-
-    def asked(found: DataFrame, of: DataFrame) -> DataFrame:
-        """Links (a, b) between the tops of asked pairs that are similar."""
-        pairs = with_top(with_top(found.where(F.col("kind") == ASK).select("a", "b"), "a", "ta", of), "b", "tb", of)
-        pairs = stored(pairs.where("ta <> tb"), "asked-links")
-        return similar_pairs(rows, pairs, shingle).select(F.col("ta").alias("a"), F.col("tb").alias("b"))
-
-    def above(of: DataFrame, more: DataFrame) -> DataFrame:
-        """(node, root) after the tops of nodes are joined further by the links more."""
-        higher = stored(components(more), "higher-roots")
-        lifted = with_top(of.withColumnRenamed("root", "mid"), "mid", "root", higher).select("node", "root")
-        return stored(lifted.union(higher.join(of, "node", "left_anti").select("node", "root")), "roots")
-
-    found = stored(wide_links(first.withColumn("top", F.col("doc")), distance), "wide-links")
-    roots = stored(components(found.where(F.col("kind") == SURE).select("a", "b")), "sure-roots")
-    roots = above(roots, asked(found, roots))
-    # links held back in a tree that did not turn out whole: its documents meet once more, and every pair apart is asked
-    held = with_top(with_top(found.where(F.col("kind") == HELD), "a", "ta", roots), "b", "tb", roots)
-    broken = held.where("ta <> tb").select("a").distinct()
-    again = held.join(broken, "a", "left_semi").select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    again = stored(with_top(first.join(again, "doc", "left_semi"), "doc", "top", roots), "broken-trees")
-    if not again.isEmpty():
-        texts = may_be_in(rows, F.col("doc"), stored(key_filter(again, "doc"), "broken-filter")).where("__may").select("doc", "text")
-        fine = texts.mapInArrow(refine, "doc long, wide binary, fine binary").distinct()
-        again = stored(again.join(fine, ["doc", "wide"]), "refined")
-        roots = above(roots, asked(stored(wide_links(again, distance, every=True), "open-links"), roots))
-    kept = with_top(first.select("doc"), "doc", "top", roots).where("top = doc").select("doc").distinct()
-    gone = stored(prints.select("doc").distinct().join(kept, "doc", "left_anti"), "dropped")
-    # rows that the filter does not know stay where they lie; only the others are looked up
-    looked = may_be_in(docs, F.col(id_col).cast("long"), stored(key_filter(gone, "doc"), "dropped-filter"))
-    found_gone = gone.withColumnRenamed("doc", "__gone")
-    back = looked.where("__may").join(found_gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    return looked.where(~F.col("__may")).select(docs.columns).union(back.select(docs.columns))
