@@ -1,63 +1,233 @@
 """Mixing sources to target weights by iterative proportional fitting, with DataFrame functions only.
 
 Token weights of the cells (source, language, topic) are raked to target shares of each margin in
-turn until all margins agree, with a warning where they do not within SWEEPS; a cell's calibrated probability is proportional to its raked weight
-over its tokens, on the largest scale at which none exceeds one, so that the kept tokens meet all
-targets in expectation (or on a scale that meets a budget of tokens, at which rare cells are kept
-whole); a document is kept when a uniform number drawn from its id lies below its cell's probability.
+turn until all margins agree, with a warning where they do not within SWEEPS; a cell's calibrated
+probability is proportional to its raked weight over its tokens, on the largest scale at which none
+exceeds one, so that the kept tokens meet all targets in expectation (or on a scale that keeps a share
+of all tokens, at which rare cells are kept whole); a document is kept when a uniform number drawn from
+its id lies below its cell's probability.
 
-Only the table of cells is iterated on; documents are summed into it before any shuffle, so one hot
-source is a few partial sums.
+Targets are given shares of values (TARGETS, or the caller's). What they leave is shared by the margin's
+other values in proportion to a power of their own shares (POWERS), so that new sources need no entry.
+
+The tables have no topic. It is found in the text: words are hashed into TERMS buckets, a document is the
+square roots of its buckets' shares less the mean of its language, and TOPIC_ROUNDS rounds of k-means over
+all documents give TOPICS centres. Centres start where one bucket stands out, in the buckets that vary most.
+
+Documents are summed into cells before any shuffle, so one hot source is a few partial sums. All sweeps and
+the scale are one expression over one row that holds the cells. Beyond CELLS_AT_ONCE cells, the same sweeps
+run as joins over the table of cells instead.
 
 Defined results: null source, language or topic is a value of its own; a null or blank text has no
-tokens and is kept with its cell's probability, or with probability 0 where its whole cell has no
-tokens; a null doc_id draws like an empty id; rows that repeat an id are kept or dropped together
-if their cells agree; an empty table gives no rows; other columns pass through.
+tokens, lies where all shares are zero, and is kept with its cell's probability, or with probability 0 where
+its whole cell has no tokens; texts of any length are counted whole; equal distances take the first centre; a
+null doc_id draws like an empty id; rows that repeat an id are kept or dropped together if their cells agree;
+an empty table gives no rows; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 import warnings
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm._support import stored
+from quillstream.llm._support import bind, named, stored
 
 MARGINS = ("source", "lang", "topic")
-#: Target share of a margin's value: its share of tokens to this power, normalised.
+#: Target shares of values that the query and the pipeline ask for.
+TARGETS = {"lang": {"en": 0.58, "fr": 0.16, "de": 0.15, "es": 0.11}}
+#: Shares of values without a target: their share of tokens to this power, normalised.
 POWERS = {"source": 0.8, "lang": 0.9, "topic": 0.95}
 #: Share of all tokens that the query and the pipeline keep. Without it the scarcest cell, however small, sets what all others keep.
 KEPT = 0.65
-SWEEPS, TOLERANCE, SEED = 25, 1e-4, "mix-1"
+SWEEPS, TOLERANCE, SEED = 200, 1e-4, "mix-1"
+#: Cells that are fitted in one row; more are fitted as a table.
+CELLS_AT_ONCE = 20_000
+#: Halvings of the interval in which the scale lies.
+HALVINGS = 60
+TERMS, TOPICS, TOPIC_ROUNDS = 16, 6, 5
 SPACE = r"[\x20\x09-\x0D]+"
+#: One letter for each bucket.
+LETTERS = "ABCDEFGHIJKLMNOP"
+
+
+def _words(text: Column) -> Column:
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE, -1))
 
 
 def token_count(text: Column) -> Column:
     """Words of the whole text, the measure of weight."""
-    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, SPACE, -1))).cast("long")
-
-
-def topic(text: Column) -> Column:
-    """A topic by rules on the whole text, the first that holds."""
-    t = F.coalesce(text, F.lit(""))
-    count = lambda chars: F.length(F.regexp_replace(t, f"[^{chars}]+", ""))
-    return (
-        F.when(F.contains(F.lower(t), F.lit("license")) | F.contains(F.lower(t), F.lit("copyright")), "legal")
-        .when(count("#*$%&<>{}") * 40 > F.length(t), "markup")
-        .when(F.contains(t, F.lit(" | ")), "table")
-        .when(F.contains(t, F.lit("@")) | t.rlike(r"\+[0-9]"), "contact")
-        .when(count("0-9") * 50 > F.length(t), "figures")
-        .otherwise("prose")
+    return F.size(_words(text)).cast("long")
+
+
+def bucket_letters(text: Column) -> Column:
+    """One letter per word of the whole text: the bucket of its hash."""
+    return F.array_join(F.transform(_words(text), lambda w: F.substring(F.lit(LETTERS), F.pmod(F.xxhash64(w), F.lit(TERMS)).cast("int") + 1, F.lit(1))), "")
+
+
+# ---- topics ----------------------------------------------------------------------------------
+
+
+def measures(docs: DataFrame, keep: list[Column]) -> DataFrame:
+    """keep, tokens and t0.. (square roots of the buckets' shares), one row per row of docs."""
+    made = docs.select(*keep, bucket_letters(named(docs, "text")).alias("__letters"))
+    n = F.length("__letters")
+    of = [F.sqrt((n - F.length(F.replace("__letters", F.lit(x)))) / F.greatest(n, F.lit(1))).cast("float").alias(f"__t{k}") for k, x in enumerate(LETTERS)]
+    return made.select("*", n.cast("long").alias("__tokens"), *of).drop("__letters")
+
+
+class Topics:
+    """Means of the languages (a table) and the centres of the topics."""
+
+    def __init__(self, means: DataFrame, centres: list[list[float]]):
+        self.means, self.centres = means, centres
+
+    def of(self, measured: DataFrame) -> DataFrame:
+        """measured with a column topic in place of the buckets."""
+        at = measured.join(self.means, F.col("__lang").eqNullSafe(F.col("__of_lang")), "left")
+        return at.withColumn("__topic", nearest(self.centres)).drop("__of_lang", *[f"__t{k}" for k in range(TERMS)], *[f"__m{k}" for k in range(TERMS)])
+
+
+def _place(k: int) -> Column:
+    return F.col(f"__t{k}").cast("double") - F.coalesce(F.col(f"__m{k}"), F.lit(0.0))
+
+
+def nearest(centres: list[list[float]]) -> Column:
+    """Name of the nearest centre."""
+    distances = [reduce(lambda a, b: a + b, [_place(k) * (-2 * c[k]) for k in range(TERMS)], F.lit(sum(x * x for x in c))) for c in centres]
+    found = F.array(*distances)
+    return F.concat(F.lit("topic"), F.array_position(found, F.array_min(found)) - 1)
+
+
+def topics(measured: DataFrame) -> Topics:
+    """Topics of a stored table of measures with a column __lang; every round is one aggregation over all its rows."""
+    lengths = [F.avg(f"__t{k}").alias(f"__m{k}") for k in range(TERMS)]
+    means = stored(measured.where("__tokens > 0").groupBy(F.col("__lang").alias("__of_lang")).agg(*lengths), "language-means")
+    placed = measured.where("__tokens > 0").join(means, F.col("__lang").eqNullSafe(F.col("__of_lang")))
+    spread = placed.agg(*[F.stddev_pop(_place(k)).alias(f"s{k}") for k in range(TERMS)]).first()
+    if spread[0] is None:
+        return Topics(means, [[0.0] * TERMS])
+    widest = sorted(range(TERMS), key=lambda k: (-spread[k], k))[:TOPICS]
+    centres = [[spread[k] if k == w else 0.0 for k in range(TERMS)] for w in widest]
+    for _ in range(TOPIC_ROUNDS):
+        own = placed.withColumn("topic", nearest(centres)).groupBy("topic").agg(*[F.avg(_place(k)).alias(f"c{k}") for k in range(TERMS)])
+        moved = {r["topic"]: [float(r[f"c{k}"]) for k in range(TERMS)] for r in own.collect()}  # at most TOPICS rows
+        centres = [moved.get(f"topic{i}", c) for i, c in enumerate(centres)]
+    return Topics(means, centres)
+
+
+# ---- fitting in one row ----------------------------------------------------------------------
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
+def _key(of: Column) -> Column:
+    """A text for a margin's value; null is apart from all others."""
+    return F.coalesce(F.concat(F.lit("="), of), F.lit(""))
+
+
+def fitted(cells: DataFrame, powers: dict[str, float], targets: dict[str, dict[str, float]], kept: float | None) -> DataFrame:
+    """One row: gap, the largest distance of a factor from one in the last sweep, and an array of (cell, weight, probability).
+
+    cells: margins and tokens (> 0). Only arrays are handled from here on, all in one expression.
+    """
+    one = F.struct(*[_key(F.col(m)).alias(m) for m in MARGINS], _cell().alias("cell"), F.col("tokens").cast("double").alias("tokens"))
+    row = cells.agg(F.array_sort(F.collect_list(one)).alias("cells"))
+    row = row.withColumn("total", _sum(F.transform("cells", lambda c: c["tokens"])))
+    row = row.withColumn("w", F.transform("cells", lambda c: c["tokens"] / F.col("total")))
+    for m in MARGINS:
+        row = row.withColumn(f"v_{m}", F.array_sort(F.array_distinct(F.transform("cells", lambda c: c[m]))))  # noqa: B023
+        row = row.withColumn(f"at_{m}", F.transform("cells", lambda c: F.array_position(F.col(f"v_{m}"), c[m]).cast("int") - 1))  # noqa: B023
+        numbered = F.transform("cells", lambda c, i: i)
+        row = row.withColumn(
+            f"in_{m}", bind(numbered, lambda ns: bind(F.col(f"at_{m}"), lambda at: F.transform(f"v_{m}", lambda v, k: F.filter(ns, lambda i: F.get(at, i) == k))))  # noqa: B023
+        )
+        row = row.withColumn(f"have_{m}", _margin_sums(F.col("w"), F.col(f"in_{m}")))
+        given = targets.get(m, {})
+        asked = F.create_map(*[F.lit(x) for v, share in given.items() for x in ("=" + v, float(share))]) if given else F.lit(None).cast("map<string,double>")
+        row = row.withColumn(f"asked_{m}", F.transform(f"v_{m}", lambda v: asked[v]))  # noqa: B023
+        row = row.withColumn(f"raw_{m}", F.transform(f"have_{m}", lambda x: F.pow(x, F.lit(powers[m]))))  # noqa: B023
+        others = _sum(F.zip_with(f"raw_{m}", f"asked_{m}", lambda r, a: F.when(a.isNull(), r).otherwise(0.0)))
+        left = F.greatest(F.lit(1.0) - _sum(F.transform(f"asked_{m}", lambda a: F.coalesce(a, F.lit(0.0)))), F.lit(0.0))
+        row = row.withColumn(f"others_{m}", others).withColumn(f"left_{m}", left)
+        wanted = F.zip_with(
+            f"raw_{m}", f"asked_{m}", lambda r, a: F.coalesce(a, F.when(F.col(f"others_{m}") > 0, r * F.col(f"left_{m}") / F.col(f"others_{m}")), F.lit(0.0))  # noqa: B023
+        )
+        row = row.withColumn(f"to_{m}", wanted)
+        row = row.withColumn(f"to_{m}", bind(_sum(F.col(f"to_{m}")), lambda s: F.transform(f"to_{m}", lambda t: t / s)))  # noqa: B023
+
+    def fit_margin(m: str, state: Column) -> Column:
+        """state (w, gap) after one margin is met."""
+        factors = bind(_margin_sums(state["w"], F.col(f"in_{m}")), lambda have: F.zip_with(f"to_{m}", have, lambda t, h: t / h))
+
+        def scaled(f: Column) -> Column:
+            away = F.aggregate(f, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x - 1)))
+            w = F.zip_with(state["w"], F.col(f"at_{m}"), lambda x, k: x * F.get(f, k))
+            return F.struct(w.alias("w"), F.greatest(state["gap"], away).alias("gap"))
+
+        return bind(factors, scaled)
+
+    def sweep(state: Column) -> Column:
+        now = bind(F.struct(state["w"].alias("w"), F.lit(0.0).alias("gap")), partial(fit_margin, MARGINS[0]))
+        for m in MARGINS[1:]:
+            now = bind(now, partial(fit_margin, m))
+        return now
+
+    begin = F.struct(F.col("w").alias("w"), F.lit(float("inf")).alias("gap"))
+    step = lambda s, _: F.when(s["gap"] <= TOLERANCE, s).otherwise(sweep(s))
+    row = row.withColumn("raked", F.aggregate(F.sequence(F.lit(1), F.lit(SWEEPS)), begin, step))
+    row = row.withColumn("rate", F.zip_with(F.col("raked.w"), "cells", lambda w, c: w / c["tokens"]))
+    if kept is None:
+        scale = 1 / F.array_max("rate")
+    else:
+
+        def keeps(c: Column) -> Column:
+            return _sum(F.zip_with("rate", "cells", lambda r, x: x["tokens"] * F.least(F.lit(1.0), r * c)))
+
+        def halved(b: Column) -> Column:
+            return bind(
+                F.sqrt(b["low"] * b["high"]),
+                lambda mid: F.when(keeps(mid) < F.lit(kept) * F.col("total"), F.struct(mid.alias("low"), b["high"].alias("high")))
+                .otherwise(F.struct(b["low"].alias("low"), mid.alias("high"))),
+            )
+
+        positive = F.filter("rate", lambda r: r > 0)
+        bounds = F.struct((F.lit(kept) / F.array_max("rate") / 2).alias("low"), (1 / F.array_min(positive)).alias("high"))
+        scale = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), bounds, lambda b, _: halved(b))["high"]
+    row = row.withColumn("scale", scale)
+    out = F.zip_with(
+        F.col("raked.w"), "cells",
+        lambda w, c: F.struct(c["cell"].alias("cell"), w.alias("weight"), F.least(F.lit(1.0), w / c["tokens"] * F.col("scale")).alias("probability")),
     )
+    return row.select(F.col("raked.gap").alias("gap"), out.alias("fit"))
+
+
+def _margin_sums(w: Column, members: Column) -> Column:
+    return F.transform(members, lambda at: F.aggregate(at, F.lit(0.0), lambda a, i: a + F.get(w, i)))
+
 
+def _warn(gap: float) -> None:
+    if gap > TOLERANCE:
+        warnings.warn(f"raking has not met all margins after {SWEEPS} sweeps: a factor was still {gap:.2g} from one", stacklevel=3)
 
-def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
-    """(margin, target): shares of tokens to a power, normalised."""
-    share = cells.groupBy(margin).agg(F.sum("tokens").alias("n")).where("n > 0").withColumn("raw", F.pow(F.col("n").cast("double"), F.lit(power)))
-    total = share.agg(F.sum("raw")).first()[0]
-    return share.select(margin, (F.col("raw") / F.lit(total)).alias("target"))
+
+# ---- fitting as a table ----------------------------------------------------------------------
+
+
+def wanted(cells: DataFrame, margin: str, power: float, given: dict[str, float]) -> DataFrame:
+    """(margin, target): given shares, and a power of their own shares for the other values; normalised."""
+    total = cells.agg(F.sum("tokens")).first()[0]
+    asked = F.create_map(*[F.lit(x) for v, s in given.items() for x in (v, float(s))])[F.col(margin)] if given else F.lit(None).cast("double")
+    share = cells.groupBy(margin).agg((F.sum("tokens") / total).alias("n")).withColumn("asked", asked).withColumn("raw", F.pow("n", F.lit(power)))
+    others, used = share.agg(F.sum(F.when(F.col("asked").isNull(), F.col("raw"))), F.sum("asked")).first()
+    left = max(0.0, 1 - (used or 0.0))
+    share = share.withColumn("target", F.coalesce("asked", F.col("raw") * left / (others or 1.0)))
+    return share.select(margin, (F.col("target") / F.lit(share.agg(F.sum("target")).first()[0])).alias("target"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
@@ -81,7 +251,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
         if max(gap) <= tolerance:
             break
     else:
-        warnings.warn(f"raking has not met all margins after {sweeps} sweeps: a factor was still {max(gap):.2g} from one", stacklevel=2)
+        _warn(max(gap))
     return now
 
 
@@ -114,33 +284,53 @@ def _cell(of: str = "") -> Column:
     return F.to_json(F.struct(*[F.coalesce(F.concat(F.lit("="), F.col(of + m)), F.lit("")).alias(m) for m in MARGINS]))
 
 
-def calibrated(measured: DataFrame, powers: dict[str, float] = POWERS, kept: float | None = None) -> DataFrame:
+def calibrated(
+    measured: DataFrame, powers: dict[str, float] = POWERS, kept: float | None = None, targets: dict[str, dict[str, float]] = TARGETS
+) -> DataFrame:
     """(cell, weight, probability) from rows (source, lang, topic, tokens)."""
     cells = stored(measured.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")).where("tokens > 0"), "cells")
-    if cells.isEmpty():
+    n = cells.count()
+    if not n:
         return cells.select(_cell().alias("cell"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("probability"))
-    targets = {m: tempered(cells, m, powers[m]) for m in MARGINS}
-    return probabilities(rake(cells, targets), kept).select(_cell().alias("cell"), "weight", "probability")
+    if n <= CELLS_AT_ONCE:
+        fit = stored(fitted(cells, powers, targets, kept), "raked")
+        _warn(fit.select("gap").first()[0])
+        return fit.select(F.explode("fit").alias("f")).select("f.*")
+    to = {m: wanted(cells, m, powers[m], targets.get(m, {})) for m in MARGINS}
+    return probabilities(rake(cells, to), kept).select(_cell().alias("cell"), "weight", "probability")
+
+
+def _measured(docs: DataFrame, keep: list[Column]) -> DataFrame:
+    return measures(docs, [*keep, named(docs, "source").alias("__source"), named(docs, "lang").alias("__lang")])
 
 
-def mix(docs: DataFrame, powers: dict[str, float] = POWERS, kept: float | None = None) -> DataFrame:
+def _cells_of(placed: DataFrame) -> DataFrame:
+    return placed.select(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"))
+
+
+def mix(
+    docs: DataFrame, powers: dict[str, float] = POWERS, kept: float | None = None, targets: dict[str, dict[str, float]] = TARGETS
+) -> DataFrame:
     """(doc_id, source, lang, topic, tokens, probability, selected), one row per row of docs."""
-    measured = stored(
-        docs.select("doc_id", "source", "lang", topic(F.col("text")).alias("topic"), token_count(F.col("text")).alias("tokens")), "measured"
-    )
-    found = calibrated(measured, powers, kept)
-    joined = measured.withColumn("cell", _cell()).join(found, "cell", "left")
+    measured = stored(_measured(docs, [named(docs, "doc_id").alias("doc_id")]), "measured")
+    placed = stored(topics(measured).of(measured), "placed")
+    found = calibrated(_cells_of(placed), powers, kept, targets)
+    rows = placed.select("doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"))
+    joined = rows.withColumn("cell", _cell()).join(found, "cell", "left")
     chance = F.coalesce("probability", F.lit(0.0))
     return joined.select(
         "doc_id", *MARGINS, "tokens", F.round(chance, 6).alias("probability"), (draw(F.col("doc_id")) < chance).alias("selected")
     )
 
 
-def sample(docs: DataFrame, powers: dict[str, float] = POWERS, kept: float | None = None) -> DataFrame:
-    """The documents kept, with their own columns."""
-    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
-    rows = docs.select(own, "source", "lang", topic(F.col("text")).alias("topic"))
-    measured = docs.select("source", "lang", topic(F.col("text")).alias("topic"), token_count(F.col("text")).alias("tokens"))
-    found = calibrated(measured, powers, kept)
+def sample(
+    docs: DataFrame, powers: dict[str, float] = POWERS, kept: float | None = None, targets: dict[str, dict[str, float]] = TARGETS
+) -> DataFrame:
+    """The documents kept, with their own columns. Texts are read twice and never shuffled."""
+    measured = stored(_measured(docs, []), "measured")
+    of = topics(measured)
+    found = calibrated(_cells_of(of.of(measured)), powers, kept, targets)
+    own = F.struct(*[named(docs, c).alias(c) for c in docs.columns]).alias("own")
+    rows = of.of(_measured(docs, [own])).select("own", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"))
     chosen = rows.withColumn("cell", _cell()).join(found, "cell").where(draw(F.col("own.doc_id")) < F.col("probability"))
     return chosen.select("own.*")
