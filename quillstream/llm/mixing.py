@@ -7,8 +7,9 @@ exceeds one, so that the kept tokens meet all targets in expectation (or on a sc
 of all tokens, at which rare cells are kept whole); a document is kept when a uniform number drawn from
 its id lies below its cell's probability.
 
-Targets are given shares of values (TARGETS, or the caller's). What they leave is shared by the margin's
-other values in proportion to a power of their own shares (POWERS), so that new sources need no entry.
+Targets are given proportions of values (TARGETS, or the caller's). A value without one is to have its own
+share of tokens, tempered by a power (POWERS); the given proportions divide the rest. So new sources and
+stray languages need no entry and take nothing from the others.
 
 The tables have no topic. It is found in the text: words are hashed into TERMS buckets, a document is the
 square roots of its buckets' shares less the mean of its language, and TOPIC_ROUNDS rounds of k-means over
@@ -36,9 +37,9 @@ from pyspark.sql import functions as F
 from quillstream.llm._support import bind, named, stored
 
 MARGINS = ("source", "lang", "topic")
-#: Target shares of values that the query and the pipeline ask for.
+#: Proportions of values that the query and the pipeline ask for.
 TARGETS = {"lang": {"en": 0.58, "fr": 0.16, "de": 0.15, "es": 0.11}}
-#: Shares of values without a target: their share of tokens to this power, normalised.
+#: Values without a target: their share of tokens to this power, normalised over the margin.
 POWERS = {"source": 0.8, "lang": 0.9, "topic": 0.95}
 #: Share of all tokens that the query and the pipeline keep. Without it the scarcest cell, however small, sets what all others keep.
 KEPT = 0.65
@@ -152,18 +153,16 @@ def fitted(cells: DataFrame, powers: dict[str, float], targets: dict[str, dict[s
         asked = F.create_map(*[F.lit(x) for v, share in given.items() for x in ("=" + v, float(share))]) if given else F.lit(None).cast("map<string,double>")
         row = row.withColumn(f"asked_{m}", F.transform(f"v_{m}", lambda v: asked[v]))  # noqa: B023
         row = row.withColumn(f"raw_{m}", F.transform(f"have_{m}", lambda x: F.pow(x, F.lit(powers[m]))))  # noqa: B023
-        others = _sum(F.zip_with(f"raw_{m}", f"asked_{m}", lambda r, a: F.when(a.isNull(), r).otherwise(0.0)))
-        left = F.greatest(F.lit(1.0) - _sum(F.transform(f"asked_{m}", lambda a: F.coalesce(a, F.lit(0.0)))), F.lit(0.0))
-        row = row.withColumn(f"others_{m}", others).withColumn(f"left_{m}", left)
-        wanted = F.zip_with(
-            f"raw_{m}", f"asked_{m}", lambda r, a: F.coalesce(a, F.when(F.col(f"others_{m}") > 0, r * F.col(f"left_{m}") / F.col(f"others_{m}")), F.lit(0.0))  # noqa: B023
-        )
-        row = row.withColumn(f"to_{m}", wanted)
-        row = row.withColumn(f"to_{m}", bind(_sum(F.col(f"to_{m}")), lambda s: F.transform(f"to_{m}", lambda t: t / s)))  # noqa: B023
+        row = row.withColumn(f"all_{m}", _sum(F.col(f"raw_{m}")))
+        row = row.withColumn(f"raw_{m}", F.transform(f"raw_{m}", lambda x: x / F.col(f"all_{m}")))  # noqa: B023
+        own = _sum(F.zip_with(f"raw_{m}", f"asked_{m}", lambda r, a: F.when(a.isNull(), r).otherwise(0.0)))
+        given = _sum(F.transform(f"asked_{m}", lambda a: F.coalesce(a, F.lit(0.0))))
+        row = row.withColumn(f"each_{m}", F.when(given > 0, (1 - own) / given).otherwise(0.0))
+        row = row.withColumn(f"to_{m}", F.zip_with(f"raw_{m}", f"asked_{m}", lambda r, a: F.coalesce(a * F.col(f"each_{m}"), r)))  # noqa: B023
 
     def fit_margin(m: str, state: Column) -> Column:
         """state (w, gap) after one margin is met."""
-        factors = bind(_margin_sums(state["w"], F.col(f"in_{m}")), lambda have: F.zip_with(f"to_{m}", have, lambda t, h: t / h))
+        factors = bind(_margin_sums(state["w"], F.col(f"in_{m}")), lambda have: F.zip_with(f"to_{m}", have, lambda t, h: F.when(h > 0, t / h).otherwise(1.0)))
 
         def scaled(f: Column) -> Column:
             away = F.aggregate(f, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x - 1)))
@@ -224,10 +223,9 @@ def wanted(cells: DataFrame, margin: str, power: float, given: dict[str, float])
     total = cells.agg(F.sum("tokens")).first()[0]
     asked = F.create_map(*[F.lit(x) for v, s in given.items() for x in (v, float(s))])[F.col(margin)] if given else F.lit(None).cast("double")
     share = cells.groupBy(margin).agg((F.sum("tokens") / total).alias("n")).withColumn("asked", asked).withColumn("raw", F.pow("n", F.lit(power)))
-    others, used = share.agg(F.sum(F.when(F.col("asked").isNull(), F.col("raw"))), F.sum("asked")).first()
-    left = max(0.0, 1 - (used or 0.0))
-    share = share.withColumn("target", F.coalesce("asked", F.col("raw") * left / (others or 1.0)))
-    return share.select(margin, (F.col("target") / F.lit(share.agg(F.sum("target")).first()[0])).alias("target"))
+    everything, own, given_total = share.agg(F.sum("raw"), F.sum(F.when(F.col("asked").isNull(), F.col("raw"))), F.sum("asked")).first()
+    each = (1 - (own or 0.0) / everything) / given_total if given_total else 0.0
+    return share.select(margin, F.coalesce(F.col("asked") * each, F.col("raw") / everything).alias("target"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
@@ -242,7 +240,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
         worst = []
         for k, (margin, target) in enumerate(targets.items()):
             have = now.groupBy(F.col(margin).alias("of")).agg(F.sum("weight").alias("have"))
-            factor = have.join(target, F.col("of").eqNullSafe(F.col(margin))).select("of", (F.col("target") / F.col("have")).alias(f"by{k}"))
+            factor = have.join(target, F.col("of").eqNullSafe(F.col(margin))).select("of", F.when(F.col("have") > 0, F.col("target") / F.col("have")).otherwise(1.0).alias(f"by{k}"))
             now = now.join(factor, F.col(margin).eqNullSafe(F.col("of"))).withColumn("weight", F.col("weight") * F.col(f"by{k}")).drop("of")
             worst.append(F.max(F.abs(F.col(f"by{k}") - 1)).alias(f"by{k}"))
         now = stored(now, "raked")
@@ -265,7 +263,7 @@ def probabilities(raked: DataFrame, kept: float | None) -> DataFrame:
     total, least, most = raked.agg(F.sum("tokens"), F.min(rate), F.max(rate)).first()
     if kept is None:
         return raked.withColumn("probability", F.least(F.lit(1.0), rate / most))
-    low, high = kept / most / 2, 1 / least
+    low, high = kept / most / 2, 1 / max(least, 1e-300)
     for _ in range(2):
         grid = [low * (high / low) ** (i / 63) for i in range(64)]
         sums = raked.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), rate * c)).alias(f"c{i}") for i, c in enumerate(grid)]).first()

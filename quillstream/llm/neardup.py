@@ -37,7 +37,7 @@ from quillstream.llm.simhash import BITS, TILE_ROWS, components, links, spanning
 #: Differing bits of 64 within which SimHash groups documents before their sets are compared.
 CLOSE_BITS = 4
 #: One document in so many gives the shingles whose frequency orders the rest; at most FREQUENT of them are kept.
-SAMPLED, FREQUENT, LEAST_SEEN = 16, 1 << 18, 4
+SAMPLED, FREQUENT, LEAST_SEEN = 16, 1 << 20, 2
 #: Documents and shingles of one tile of a group whose whole sets are compared.
 GROUP_ROWS, GROUP_SHINGLES = 2048, 1 << 21
 #: Rows of the prefix filter that a task compares at once, and candidate pairs.
@@ -117,7 +117,14 @@ def prints(rows: DataFrame, shingle: int) -> DataFrame:
 def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(shingle, rank, documents) of the shingles met most in the sampled sets; the more frequent, the higher the rank."""
     seen = sets.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SEEN)
-    table = seen.orderBy(F.desc("n"), "g").limit(FREQUENT).toArrow()  # at most 4 MB
+    seen = stored(seen, "frequent-shingles")
+    least, room = LEAST_SEEN, FREQUENT
+    for row in seen.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect():  # a row per frequency
+        room -= row["k"]
+        if room < 0:
+            least = row["n"] + 1
+            break
+    table = seen.where(F.col("n") >= least).orderBy(F.desc("n"), "g").toArrow()  # at most 16 MB
     g = table.column("g").to_numpy().astype(np.int64).view(np.uint64)
     n = table.column("n").to_numpy().astype(np.int64)
     rank = np.arange(len(g), 0, -1)

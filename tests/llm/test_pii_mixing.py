@@ -80,38 +80,103 @@ def test_redaction_and_odd_rows(spark, odd_docs, no_docs):
 # ---- mixing ----------------------------------------------------------------------------------
 
 
-def test_rake_meets_all_margins(spark):
+def numpy_rake(tokens, targets, sweeps=400):
+    """Plain fitting of a full table of tokens; targets: one vector per axis."""
+    w = tokens / tokens.sum()
+    for _ in range(sweeps):
+        for ax, to in enumerate(targets):
+            have = w.sum(axis=tuple(x for x in range(w.ndim) if x != ax))
+            w = w * (to / have).reshape([-1 if x == ax else 1 for x in range(w.ndim)])
+    return w
+
+
+def numpy_targets(tokens, names, margins=mixing.MARGINS):
+    out = []
+    for ax, m in enumerate(margins):
+        share = tokens.sum(axis=tuple(x for x in range(tokens.ndim) if x != ax)) / tokens.sum()
+        raw, given = share ** mixing.POWERS[m], mixing.TARGETS.get(m, {})
+        listed = np.array([n in given for n in names[ax]])
+        asked = np.array([given.get(n, 0.0) for n in names[ax]])
+        raw = raw / raw.sum()
+        to = np.where(listed, asked / max(asked.sum(), 1e-300) * (1 - raw[~listed].sum()), raw)
+        out.append(to / to.sum())
+    return out
+
+
+@pytest.mark.parametrize("at_once", [20_000, 0])
+@pytest.mark.parametrize("kept", [None, 0.5])
+def test_fit_equals_a_plain_one(spark, monkeypatch, at_once, kept):
+    """In one row and as a table: weights and probabilities of a plain fit, targets for two of three languages."""
+    monkeypatch.setattr(mixing, "CELLS_AT_ONCE", at_once)
     rng = np.random.default_rng(2)
-    rows = [(f"s{a}" if a else None, f"l{b}", f"t{c}", int(rng.integers(1, 900))) for a in range(5) for b in range(3) for c in range(3)]
-    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
-    targets = {m: mixing.tempered(cells, m, 0.5) for m in mixing.MARGINS}
-    got = mixing.rake(cells, targets).toPandas()
-    w = np.array([r[3] for r in rows], float).reshape(5, 3, 3)
-    w /= w.sum()
-    share = [w.sum(axis=tuple(x for x in range(3) if x != ax)) ** 0.5 for ax in range(3)]
-    share = [s / s.sum() for s in share]
-    for _ in range(200):
-        for ax in range(3):
-            have = w.sum(axis=tuple(x for x in range(3) if x != ax))
-            w = w * (share[ax] / have).reshape([-1 if x == ax else 1 for x in range(3)])
-    for r in got.itertuples():
-        a = int(r.source[1:]) if r.source else 0
-        assert r.weight == pytest.approx(w[a, int(r.lang[1:]), int(r.topic[1:])], rel=2e-3)
+    names = [[None, "s1", "s2", "s3", "s4"], ["en", "de", None], ["t0", "t1", "t2"]]
+    t = rng.integers(1, 900, (5, 3, 3)).astype(float)
+    rows = [(names[0][a], names[1][b], names[2][c], int(t[a, b, c])) for a in range(5) for b in range(3) for c in range(3)]
+    found = mixing.calibrated(spark.createDataFrame(rows, "source string, lang string, topic string, tokens long"), kept=kept).collect()
+    w = numpy_rake(t, numpy_targets(t, names))
+    rate = w / t
+    scale = 1 / rate.max()
+    if kept:
+        low, high = 0.0, 1 / rate.min()
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if (t * np.minimum(1, rate * mid)).sum() < kept * t.sum() else (low, mid)
+        scale = high
+    p = np.minimum(1, rate * scale)
+    got = {r.cell: r for r in found}
+    assert len(got) == 45
+    import json
+
+    for cell, r in got.items():
+        key = json.loads(cell)
+        at = tuple(n.index(key[m][1:] if key[m] else None) for n, m in zip(names, mixing.MARGINS))
+        assert r.weight == pytest.approx(w[at], rel=2e-3)
+        assert r.probability == pytest.approx(p[at], rel=6e-2 if kept and not at_once else 2e-3)
 
 
 def test_expected_tokens_meet_targets(spark):
     out = mixing.mix(table(spark, "/root/testdata/sf0.01", "documents")).toPandas()
     assert out.probability.max() == pytest.approx(1) and out.probability.min() > 0
-    for m in mixing.MARGINS:
+    kept = out.tokens * out.probability
+    share = kept.groupby(out.lang).sum() / kept.sum()
+    for lang, to in mixing.TARGETS["lang"].items():  # all languages of the table have a target
+        assert share[lang] == pytest.approx(to / sum(mixing.TARGETS["lang"].values()), rel=2e-3)
+    for m in ("source", "topic"):
         have = out.groupby(m).tokens.sum()
         target = (have / have.sum()) ** mixing.POWERS[m]
-        target /= target.sum()
-        kept = (out.tokens * out.probability).groupby(out[m]).sum()
-        assert np.allclose(kept / kept.sum(), target, rtol=2e-3)
+        assert np.allclose(kept.groupby(out[m]).sum() / kept.sum(), target / target.sum(), rtol=2e-3)
     rate = out.selected.mean()
     assert abs(rate - out.probability.mean()) < 4 * np.sqrt(rate * (1 - rate) / len(out))
 
 
+def test_topics_equal_a_plain_k_means(spark, sf):
+    """The same topics as a plain version that hashes words itself (through Spark's hash of one word at a time)."""
+    docs = table(spark, sf, "documents").where("length(text) < 3000")
+    out = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    rows = docs.select("doc_id", "lang", "text").collect()
+    vocabulary = sorted({w for r in rows for w in (r.text or "").split()})
+    words = spark.createDataFrame([(w,) for w in vocabulary], "w string").selectExpr("w", "pmod(xxhash64(w), 16) AS k").collect()
+    bucket = {r.w: r.k for r in words}
+    x, lang, ids = [], [], []
+    for r in rows:
+        own = [bucket[w] for w in (r.text or "").split()]
+        assert out[r.doc_id].tokens == len(own)
+        x.append(np.sqrt(np.bincount(own, minlength=16) / max(1, len(own))).astype(np.float32))
+        lang.append(r.lang)
+        ids.append(r.doc_id)
+    x, lang = np.array(x, float), np.array(lang)
+    for code in set(lang):
+        x[lang == code] -= x[lang == code].mean(0)
+    spread = x.std(0)
+    centres = np.array([np.where(np.arange(16) == k, spread, 0) for k in sorted(range(16), key=lambda k: (-spread[k], k))[: mixing.TOPICS]])
+    for _ in range(mixing.TOPIC_ROUNDS):
+        at = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
+        centres = np.array([x[at == k].mean(0) if (at == k).any() else centres[k] for k in range(len(centres))])
+    at = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
+    same = np.mean([out[d].topic == f"topic{k}" for d, k in zip(ids, at)])
+    assert same > 0.99 and len(set(at.tolist())) > 2
+
+
 def test_budget(spark):
     out = mixing.mix(table(spark, "/root/testdata/sf0.01", "documents"), kept=0.9).toPandas()
     assert (out.tokens * out.probability).sum() / out.tokens.sum() == pytest.approx(0.9, abs=0.01)
@@ -137,8 +202,7 @@ def test_one_stray_row_does_not_shrink_the_rest(spark, monkeypatch):
     rows = [(-1, "word " * 300, "tlh", "stray", 1)]
     both = docs.union(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select(docs.columns))
     monkeypatch.setattr(queries, "table", lambda s, d, n: both)
-    with pytest.warns(UserWarning, match="raking has not met"):  # the two margins of that document disagree
-        out = queries.op4_mixing(spark, "").toPandas()
+    out = queries.op4_mixing(spark, "").toPandas()
     assert (out.tokens * out.probability).sum() / out.tokens.sum() == pytest.approx(mixing.KEPT, abs=0.01)
     assert out.probability[out.doc_id == -1].item() == 1
     left = corpus_pipeline.mix(spark, both, "").count()

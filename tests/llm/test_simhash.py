@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from quillstream.llm import simhash
-from quillstream.llm._support import ship, table
+from quillstream.llm import _support, simhash
+from quillstream.llm._support import table
 
 
 def brute(rows, shingle=4, distance=4):
@@ -86,33 +86,15 @@ def test_radii_fill_the_budget():
     assert ((r.astype(int) + 1).sum(0) == 5).all()
 
 
-def test_links_are_met_when_a_key_spans_many_batches(spark):
-    """2,000 pairs that share one 12-bit value only, all of the same value, in a shuffled order of ids."""
-    ship(spark)
-    rng = np.random.default_rng(5)
-    n = 2000
-    one = rng.integers(0, 2, (n, 512), dtype=np.uint8)
-    one[:, :12] = 0
-    two = one.copy()
-    two[:, 12:504:12] ^= 1  # one bit in each of the other 41 partitions: 41 bits apart
-    docs = rng.permutation(2 * n)
-    sizes = rng.integers(100, 1000, n)
-    bits = np.packbits(np.concatenate([one, two]), axis=1, bitorder="little")
-    rows = [(int(d), bytes(w), int(s), int(d)) for d, w, s in zip(docs, bits, np.concatenate([sizes, sizes * 9 // 10]), strict=True)]
-    uniq = spark.createDataFrame(rows, "doc long, wide binary, size long, top long")
-    found = {(r.a, r.b) for r in simhash.wide_links(uniq).where(f"kind = {simhash.ASK}").collect()}
-    assert found == {(min(p), max(p)) for p in zip(docs[:n].tolist(), docs[n:].tolist(), strict=True)}
-
-
 def test_key_filter_misses_no_key(spark, monkeypatch):
     """Also when it is overfull; unknown and null keys are mostly let go."""
     from pyspark.sql import functions as F
 
     keys = spark.range(0, 30000, 3).union(spark.createDataFrame([(None,), (-7,)], "id long"))
     rows = spark.range(-10, 30000).union(spark.createDataFrame([(None,)], "id long"))
-    for bits in (simhash.may_be_in.__globals__["FILTER_BITS"], 1 << 15):
-        monkeypatch.setitem(simhash.may_be_in.__globals__, "FILTER_BITS", bits)
-        out = simhash.may_be_in(rows, F.col("id"), simhash.key_filter(keys, "id"))
+    for bits in (_support.may_be_in.__globals__["FILTER_BITS"], 1 << 15):
+        monkeypatch.setitem(_support.may_be_in.__globals__, "FILTER_BITS", bits)
+        out = _support.may_be_in(rows, F.col("id"), _support.key_filter(keys, "id"))
         may = {r.id for r in out.where("__may").collect()}
         real = {-7, *range(0, 30000, 3)}
         assert out.columns == ["id", "__may"] and real <= may and None not in may
