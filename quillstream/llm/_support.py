@@ -138,3 +138,27 @@ def prefix_sums(lengths: Column, block: int = 64) -> Column:
         )
 
     return bind(lengths, with_lengths)
+
+
+def running_most(values: Column, block: int = 64) -> Column:
+    """For each of an array of longs the greatest of those before it (the first: the least long), in blocks like prefix_sums."""
+    least = F.lit(-(1 << 63)).cast("long")
+
+    def most(part: Column) -> Column:
+        return F.aggregate(part, least, lambda a, x: F.greatest(a, x))
+
+    def with_values(vs: Column) -> Column:
+        blocks = F.when(F.size(vs) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.floor((F.size(vs) - 1) / block).cast("int")))
+        each = F.transform(blocks, lambda b: most(F.slice(vs, b * block + 1, F.lit(block))))
+        starts = F.aggregate(each, F.array(least), lambda acc, m: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), m))))
+        return bind(
+            starts,
+            lambda st: F.transform(
+                vs,
+                lambda _, i: F.greatest(
+                    F.get(st, F.floor(i / block).cast("int")), most(F.slice(vs, F.floor(i / block).cast("int") * block + 1, i % block))
+                ),
+            ),
+        )
+
+    return bind(values, with_values)

@@ -9,7 +9,9 @@ the bulk, and whole sets decide every link:
   3. a prefix filter finds all other pairs: with shingles in one global order, rare ones first, two sets at
      0.8 share one of their first n // 5 + 1 shingles, and from there on enough are left in both. Documents
      that steps 1 and 2 have joined are not paired again. No pair at 0.8 or above can escape;
-  4. decided() compares the whole sets of each group of candidates and links what is similar.
+  4. sifted() takes apart the groups of candidates: shingles counted in BUCKETS buckets differ by no more
+     than the sets do, so pairs whose counts differ by more than sets at 0.8 can are none;
+  5. decided() compares the whole sets of each group that is left and links what is similar.
 Any fixed order gives the same links; that of the shingles frequent in a sixteenth of the documents, at most
 FREQUENT of them, only keeps common passages from making candidates.
 
@@ -40,6 +42,8 @@ CLOSE_BITS = 4
 SAMPLED, FREQUENT, LEAST_SEEN = 16, 1 << 20, 2
 #: Documents and shingles of one tile of a group whose whole sets are compared.
 GROUP_ROWS, GROUP_SHINGLES = 2048, 1 << 21
+#: Buckets, of a byte each, in which a set's shingles are counted.
+BUCKETS = 512
 #: Rows of the prefix filter that a task compares at once, and candidate pairs.
 ROWS_AT_ONCE, PAIRS_AT_ONCE = 1 << 16, 1 << 20
 #: Shingles whose occurrences are laid out at once when a group's sets are compared.
@@ -92,26 +96,28 @@ def prefix_length(n: int) -> int:
 
 
 def prints(rows: DataFrame, shingle: int) -> DataFrame:
-    """(doc, low, high, size, fp, grams): identity, size and fingerprint of every text's set; grams of the sampled sets only."""
+    """(doc, low, high, size, fp, counts, grams): identity, size, fingerprint and bucket counts of every text's set; grams of the sampled sets only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for text in batch.column(1):
                 grams = shingle_set(text.as_py(), shingle)
                 whole = xxhash.xxh3_128_intdigest(grams.tobytes())
                 low, high = (whole >> k & 0xFFFFFFFFFFFFFFFF for k in (0, 64))
                 sampled = low % SAMPLED == 0
-                for k, x in enumerate((low - (1 << 63), high - (1 << 63), len(grams), signature(grams), grams.view(np.int64) if sampled else None)):
+                counted = np.minimum(np.bincount((grams >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS), 255)
+                made = (low - (1 << 63), high - (1 << 63), len(grams), signature(grams), counted.astype(np.uint8).tobytes())
+                for k, x in enumerate((*made, grams.view(np.int64) if sampled else None)):
                     out[k].append(x)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.list_(pa.int64()))],
-                names=["doc", "low", "high", "size", "fp", "grams"],
+                [batch.column(0), *(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.binary()), pa.array(out[5], pa.list_(pa.int64()))],
+                names=["doc", "low", "high", "size", "fp", "counts", "grams"],
             )
 
-    return rows.mapInArrow(run, "doc long, low long, high long, size long, fp long, grams array<long>")
+    return rows.mapInArrow(run, "doc long, low long, high long, size long, fp long, counts binary, grams array<long>")
 
 
 def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -267,64 +273,120 @@ def shared_counts(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray)
     return out.astype(np.int64)
 
 
-def decided(texts: DataFrame, groups: DataFrame, shingle: int) -> DataFrame:
-    """(a, b): forests, over tops, of the similar pairs in each group that are under different tops.
+def tiled(groups: DataFrame, shingles: bool) -> DataFrame:
+    """groups (doc, grp, top, size) that are under several tops, and an array m of the tile pairs i <= j in which each document meets others.
 
-    texts: (doc, text); groups: (doc, grp, top, size). A group beyond GROUP_ROWS documents or GROUP_SHINGLES
-    shingles is dealt in tiles, and every two of them meet.
+    A group beyond GROUP_ROWS documents (with shingles, also beyond GROUP_SHINGLES of them) is dealt in tiles.
+    side: which of the two tiles a document belongs to.
     """
     weight = groups.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("m"), (F.min("top") != F.max("top")).alias("open"))
-    tiles = F.greatest(F.ceil(F.col("n") / GROUP_ROWS), F.ceil(F.col("m") / GROUP_SHINGLES), F.lit(1)).cast("long")
-    wide = groups.join(weight.where("open").select("grp", tiles.alias("tiles")), "grp")
-    wide = stored(wide.withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles"))), "groups")
-    met = stored(key_filter(wide, "doc"), "group-filter")
-    picked = may_be_in(texts, F.col("doc"), met).where("__may").select("doc", "text").join(wide, "doc")
-    # tiles i <= j meet under one key; side: which of the two a document belongs to
+    tiles = F.greatest(F.ceil(F.col("n") / GROUP_ROWS), F.ceil(F.col("m") / GROUP_SHINGLES) if shingles else F.lit(1), F.lit(1)).cast("long")
+    wide = groups.join(weight.where("open").select("grp", tiles.alias("tiles")), "grp").withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")))
     meetings = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1),
         lambda u: F.struct(F.least(u, "tile").alias("i"), F.greatest(u, "tile").alias("j"), (F.col("tile") > u).cast("long").alias("side")),
     )
+    return wide.select("doc", "grp", "top", "size", meetings.alias("m"))
+
+
+def met(tiles: DataFrame, payload: str) -> DataFrame:
+    """(key, grp, i, j, side, top, doc, size, payload): rows of tiles, one for each tile pair, each pair's rows together."""
+    dealt = tiles.select("grp", "top", "doc", "size", payload, F.explode("m").alias("m"))
+    dealt = dealt.select(F.xxhash64("grp", "m.i", "m.j").alias("key"), "grp", "m.i", "m.j", "m.side", "top", "doc", "size", payload)
+    return dealt.repartition("key").sortWithinPartitions("key", "grp", "i", "j")
+
+
+class Meeting:
+    """The documents of one tile pair, the smaller sets first."""
+
+    def __init__(self, held: list[tuple]):
+        held.sort(key=lambda h: h[4])
+        (_, i, j), self.payload = held[0][0], [h[5] for h in held]
+        side, self.top, self.doc, self.size = (np.array([h[k] for h in held]) for k in (1, 2, 3, 4))
+        self.first = np.arange(len(held)) if i == j else np.flatnonzero(side == 0)
+        self.second = self.first if i == j else np.flatnonzero(side == 1)
+
+    @property
+    def open(self) -> bool:
+        return bool(len(self.first) and len(self.second) and (self.top != self.top[0]).any())
+
+
+def meetings(batches: Iterator[pa.RecordBatch], read) -> Iterator[Meeting]:
+    """The meetings of a task, one at a time; read turns a payload into what is kept of it."""
+    held: list[tuple] = []
+    for batch in batches:
+        ids = [batch.column(i).to_pylist() for i in range(8)]
+        for row, (_, grp, i, j, side, top, doc, size) in enumerate(zip(*ids, strict=True)):
+            if held and held[0][0] != (grp, i, j):
+                yield Meeting(held)
+                held = []
+            held.append(((grp, i, j), side, top, doc, size, read(batch.column(8)[row])))
+    if held:
+        yield Meeting(held)
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    x, y = spanning_edges(a, b)
+    return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+
+def sifted(groups: DataFrame, counts: DataFrame) -> DataFrame:
+    """(a, b): forests over the pairs of each group, under different tops, whose bucket counts let them be similar.
+
+    groups: (doc, grp, top, size); counts: (doc, counts).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for m in meetings(batches, lambda cell: np.frombuffer(cell.as_py(), np.uint8)):
+            if not m.open:
+                continue
+            laid = np.array(m.payload, dtype=np.int16)
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for x in m.first:
+                # the second's sizes ascend: only those that can be similar to x
+                to = m.second[np.searchsorted(m.size[m.second], -(-4 * m.size[x] // 5), "left") : np.searchsorted(m.size[m.second], 5 * m.size[x] // 4, "right")]
+                to = to[m.top[to] != m.top[x]]
+                if not len(to):
+                    continue
+                apart = np.abs(laid[to] - laid[x]).sum(axis=1, dtype=np.int64)
+                to = to[9 * apart <= m.size[to] + m.size[x]]
+                found.append((np.full(len(to), m.doc[x]), m.doc[to]))
+            if any(len(f[0]) for f in found):
+                yield linked(*(np.concatenate(c) for c in zip(*found, strict=True)))
+
+    own = stored(tiled(groups, False).join(counts, "doc"), "sift")
+    return met(own, "counts").mapInArrow(run, "a long, b long").distinct()
+
+
+def decided(texts: DataFrame, groups: DataFrame, shingle: int) -> DataFrame:
+    """(a, b): forests, over tops, of the similar pairs in each group that are under different tops.
+
+    texts: (doc, text); groups: (doc, grp, top, size). Every two tiles of a group meet.
+    """
+    wide = stored(tiled(groups, True), "groups")
+    members = stored(key_filter(wide, "doc"), "group-filter")
+    picked = may_be_in(texts, F.col("doc"), members).where("__may").select("doc", "text").join(wide, "doc")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(4)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(made, pa.list_(pa.int64()))], names=["doc", "grp", "top", "m", "grams"])
+            made = [shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(5)]
+            columns = [*batch.columns[:5], pa.array(made, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "grp", "top", "size", "m", "grams"])
 
-    made = picked.select("doc", "grp", "top", meetings.alias("m"), "text").mapInArrow(
-        sets, "doc long, grp long, top long, m array<struct<i:long,j:long,side:long>>, grams array<long>"
+    made = picked.select("doc", "grp", "top", "size", "m", "text").mapInArrow(
+        sets, "doc long, grp long, top long, size long, m array<struct<i:long,j:long,side:long>>, grams array<long>"
     )
-    dealt = made.select("grp", "top", "doc", "grams", F.explode("m").alias("m"))
-    dealt = dealt.select(F.xxhash64("grp", "m.i", "m.j").alias("key"), "grp", "m.i", "m.j", "m.side", "top", "grams")
-    dealt = dealt.repartition("key").sortWithinPartitions("key", "grp", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            ids = [batch.column(i).to_pylist() for i in range(6)]
-            for row, (_, grp, i, j, side, top) in enumerate(zip(*ids, strict=True)):
-                if held and held[0][0] != (grp, i, j):
-                    yield from pairs(held)
-                    held = []
-                held.append(((grp, i, j), side, top, batch.column(6)[row].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
-        if held:
-            yield from pairs(held)
-
-    def pairs(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        _, i, j = held[0][0]
-        top, side = np.array([h[2] for h in held]), np.array([h[1] for h in held])
-        if (top == top[0]).all():
-            return
-        size = np.array([len(h[3]) for h in held])
-        first, second = (np.arange(len(held)),) * 2 if i == j else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        if not len(first) or not len(second):
-            return
-        near = similar(shared_counts([h[3] for h in held], first, second), size[first][:, None], size[second][None, :])
-        x, y = np.nonzero(near & (top[first][:, None] != top[second][None, :]))
-        if len(x):
-            a, b = spanning_edges(top[first[x]], top[second[y]])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+        for m in meetings(batches, lambda cell: cell.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)):
+            if m.open:
+                size = np.array([len(g) for g in m.payload])  # of the text itself, where an id has several
+                near = similar(shared_counts(m.payload, m.first, m.second), size[m.first][:, None], size[m.second][None, :])
+                x, y = np.nonzero(near & (m.top[m.first][:, None] != m.top[m.second][None, :]))
+                if len(x):
+                    yield linked(m.top[m.first[x]], m.top[m.second[y]])
+
+    return met(made, "grams").mapInArrow(compare, "a long, b long").distinct()
 
 
 # ---- the stage -------------------------------------------------------------------------------
@@ -336,12 +398,18 @@ def rooted(df: DataFrame, node: str, top: str, of: DataFrame) -> DataFrame:
     return df.join(of, F.col(node) == F.col("__node"), "left").withColumn(top, F.coalesce("__root", node)).drop("__node", "__root")
 
 
+def with_group(docs: DataFrame, of: DataFrame) -> DataFrame:
+    """The rows of docs in a component, with its root as grp."""
+    both = of.select(F.col("node").alias("doc"), F.col("root").alias("grp")).union(of.select("root", "root").distinct())
+    return docs.join(both, "doc")
+
+
 def near_groups(rows: DataFrame, shingle: int = 5) -> tuple[DataFrame, DataFrame]:
     """(prints, tops): of rows (doc, text) the identity of every set, and (doc, top) of one document per distinct set."""
     spark = rows.sparkSession
     ship(spark)
     found = stored(prints(rows, shingle), "set-prints")
-    first = stored(found.groupBy("low", "high", "size").agg(F.min("doc").alias("doc"), F.min("fp").alias("fp")), "distinct-sets")
+    first = stored(found.groupBy("low", "high", "size").agg(F.min("doc").alias("doc"), F.min("fp").alias("fp"), F.min("counts").alias("counts")), "distinct-sets")
     # SimHash: groups of nearly equal fingerprints, decided by whole sets
     uniq = stored(first.groupBy("fp").agg(F.min("doc").alias("first"), F.count("*").alias("n")), "set-fingerprints")
     near = components(links(uniq, CLOSE_BITS))
@@ -354,11 +422,11 @@ def near_groups(rows: DataFrame, shingle: int = 5) -> tuple[DataFrame, DataFrame
     under = may_be_in(texts, F.col("doc"), stored(key_filter(roots, "node"), "rooted-filter"))
     alone = under.where("NOT __may").select("doc", F.col("doc").alias("top"), "text")
     placed = rooted(under.where("__may").select("doc", "text"), "doc", "top", roots).select("doc", "top", "text")
-    met = stored(candidates(keyed(alone.union(placed), shingle, ranked)), "candidates")
-    of = components(met)
-    of = stored(of.union(of.select(F.col("root").alias("node"), "root").distinct()), "candidate-groups")
-    grouped = first.select("doc", "size").join(of.select(F.col("node").alias("doc"), F.col("root").alias("grp")), "doc")
-    more = stored(components(decided(rows, rooted(grouped, "doc", "top", roots), shingle)), "higher-roots")
+    paired = components(stored(candidates(keyed(alone.union(placed), shingle, ranked)), "candidates"))
+    grouped = stored(rooted(with_group(first.select("doc", "size"), paired), "doc", "top", roots), "candidate-groups")
+    left = components(stored(sifted(grouped, first.select("doc", "counts")), "sifted"))
+    grouped = with_group(grouped.drop("grp"), left)
+    more = stored(components(decided(rows, grouped, shingle)), "higher-roots")
     tops = rooted(rooted(first.select("doc"), "doc", "mid", roots), "mid", "top", more).select("doc", "top")
     return found, stored(tops, "tops")
 

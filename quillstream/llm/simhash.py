@@ -324,12 +324,12 @@ def components(edges: DataFrame) -> DataFrame:
     e = stored(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links"
     )
-    seen = None
     while True:
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen or not state[0]:
+        # done when every node has one edge upwards and none of its ends has one
+        ends = e.select(F.col("u").alias("n"), F.lit(1).alias("up")).union(e.select(F.col("v").alias("n"), F.lit(0).alias("up")))
+        each = ends.groupBy("n").agg(F.sum("up").alias("ups"), F.min("up").alias("low"))
+        if not each.agg(F.max((F.col("ups") > 1) | (F.col("ups") > 0) & (F.col("low") == 0))).first()[0]:
             break
-        seen = tuple(state)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
