@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,11 +45,30 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def setting(spark: SparkSession, **values: str) -> Iterator[None]:
+    """The session's settings changed for a while; underscores stand for dots."""
+    names = {k.replace("_", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: Characters of a plan's description that the driver keeps for each job; long expressions would fill its memory.
+PLAN_CHARS = "20000"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    with setting(spark, spark_sql_maxPlanStringLength=PLAN_CHARS):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -141,8 +162,8 @@ def prefix_sums(lengths: Column, block: int = 64) -> Column:
 
 
 def running_most(values: Column, block: int = 64) -> Column:
-    """For each of an array of longs the greatest of those before it (the first: the least long), in blocks like prefix_sums."""
-    least = F.lit(-(1 << 63)).cast("long")
+    """For each of an array of longs the greatest of those before it (the first: -2 ** 62), in blocks like prefix_sums."""
+    least = F.lit(-(1 << 62)).cast("long")
 
     def most(part: Column) -> Column:
         return F.aggregate(part, least, lambda a, x: F.greatest(a, x))

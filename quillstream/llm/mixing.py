@@ -31,7 +31,7 @@ from __future__ import annotations
 import warnings
 from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.llm._support import bind, named, stored
@@ -132,33 +132,50 @@ def _key(of: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), of), F.lit(""))
 
 
+def numbered(cells: DataFrame) -> DataFrame:
+    """(i, source, lang, topic, cell, tokens): the cells in one order, margins as texts."""
+    one = F.struct(*[_key(F.col(m)).alias(m) for m in MARGINS], _cell().alias("cell"), F.col("tokens").cast("double").alias("tokens"))
+    return cells.agg(F.array_sort(F.collect_list(one)).alias("c")).select(F.posexplode("c").alias("i", "c")).select("i", "c.*")
+
+
+def margin_values(cells: DataFrame, m: str, power: float, given: dict[str, float]) -> DataFrame:
+    """One row: margin and its values, each the numbers of its cells and its target, in the order of their first cell."""
+    everything = Window.partitionBy(F.lit(1))  # over at most CELLS_AT_ONCE values
+    asked = F.create_map(*[F.lit(x) for v, share in given.items() for x in ("=" + v, float(share))])[F.col(m)] if given else F.lit(None).cast("double")
+    values = cells.groupBy(m).agg(F.sum("tokens").alias("n"), F.sort_array(F.collect_list("i")).alias("at"))
+    values = values.withColumn("raw", F.pow(F.col("n") / F.sum("n").over(everything), F.lit(power))).withColumn("asked", asked)
+    values = values.withColumn("raw", F.col("raw") / F.sum("raw").over(everything))
+    own = F.sum(F.when(F.col("asked").isNull(), F.col("raw"))).over(everything)
+    values = values.withColumn("each", (1 - F.coalesce(own, F.lit(0.0))) / F.sum("asked").over(everything))
+    one = F.struct(F.get("at", F.lit(0)).alias("first"), "at", F.coalesce(F.col("asked") * F.col("each"), F.col("raw")).alias("to"))
+    return values.agg(F.array_sort(F.collect_list(one)).alias("values")).select(F.lit(m).alias("margin"), "values")
+
+
 def fitted(cells: DataFrame, powers: dict[str, float], targets: dict[str, dict[str, float]], kept: float | None) -> DataFrame:
     """One row: gap, the largest distance of a factor from one in the last sweep, and an array of (cell, weight, probability).
 
-    cells: margins and tokens (> 0). Only arrays are handled from here on, all in one expression.
+    cells: margins and tokens (> 0).
     """
-    one = F.struct(*[_key(F.col(m)).alias(m) for m in MARGINS], _cell().alias("cell"), F.col("tokens").cast("double").alias("tokens"))
-    row = cells.agg(F.array_sort(F.collect_list(one)).alias("cells"))
-    row = row.withColumn("total", _sum(F.transform("cells", lambda c: c["tokens"])))
-    row = row.withColumn("w", F.transform("cells", lambda c: c["tokens"] / F.col("total")))
+    own = stored(numbered(cells), "numbered-cells")
+    parts = [margin_values(own, m, powers[m], targets.get(m, {})).withColumn("cells", F.lit(None).cast("array<struct<i:int,cell:string,tokens:double>>")) for m in MARGINS]
+    every = own.agg(F.array_sort(F.collect_list(F.struct("i", "cell", "tokens"))).alias("cells"))
+    parts.append(every.select(F.lit("").alias("margin"), F.lit(None).cast(parts[0].schema["values"].dataType).alias("values"), "cells"))
+    pick = lambda c, m: F.first(F.when(F.col("margin") == m, F.col(c)), ignorenulls=True)
+    row = reduce(DataFrame.unionByName, parts).agg(pick("cells", "").alias("cells"), *[pick("values", m).alias(f"v_{m}") for m in MARGINS])
+    out = [F.col("cells"), _sum(F.transform("cells", lambda c: c["tokens"])).alias("total")]
     for m in MARGINS:
-        row = row.withColumn(f"v_{m}", F.array_sort(F.array_distinct(F.transform("cells", lambda c: c[m]))))  # noqa: B023
-        row = row.withColumn(f"at_{m}", F.transform("cells", lambda c: F.array_position(F.col(f"v_{m}"), c[m]).cast("int") - 1))  # noqa: B023
-        numbered = F.transform("cells", lambda c, i: i)
-        row = row.withColumn(
-            f"in_{m}", bind(numbered, lambda ns: bind(F.col(f"at_{m}"), lambda at: F.transform(f"v_{m}", lambda v, k: F.filter(ns, lambda i: F.get(at, i) == k))))  # noqa: B023
-        )
-        row = row.withColumn(f"have_{m}", _margin_sums(F.col("w"), F.col(f"in_{m}")))
-        given = targets.get(m, {})
-        asked = F.create_map(*[F.lit(x) for v, share in given.items() for x in ("=" + v, float(share))]) if given else F.lit(None).cast("map<string,double>")
-        row = row.withColumn(f"asked_{m}", F.transform(f"v_{m}", lambda v: asked[v]))  # noqa: B023
-        row = row.withColumn(f"raw_{m}", F.transform(f"have_{m}", lambda x: F.pow(x, F.lit(powers[m]))))  # noqa: B023
-        row = row.withColumn(f"all_{m}", _sum(F.col(f"raw_{m}")))
-        row = row.withColumn(f"raw_{m}", F.transform(f"raw_{m}", lambda x: x / F.col(f"all_{m}")))  # noqa: B023
-        own = _sum(F.zip_with(f"raw_{m}", f"asked_{m}", lambda r, a: F.when(a.isNull(), r).otherwise(0.0)))
-        given = _sum(F.transform(f"asked_{m}", lambda a: F.coalesce(a, F.lit(0.0))))
-        row = row.withColumn(f"each_{m}", F.when(given > 0, (1 - own) / given).otherwise(0.0))
-        row = row.withColumn(f"to_{m}", F.zip_with(f"raw_{m}", f"asked_{m}", lambda r, a: F.coalesce(a * F.col(f"each_{m}"), r)))  # noqa: B023
+        placed = F.flatten(F.transform(f"v_{m}", lambda s, v: F.transform(s["at"], lambda i: F.struct(i.alias("i"), v.alias("v")))))
+        out += [
+            F.transform(f"v_{m}", lambda s: s["at"]).alias(f"in_{m}"),
+            F.transform(f"v_{m}", lambda s: s["to"]).alias(f"to_{m}"),
+            F.transform(F.array_sort(placed), lambda p: p["v"]).alias(f"at_{m}"),
+        ]
+    row = stored(row.select(*out), "cells-in-a-row")
+    return scaled_fit(stored(raked(row), "raked-row"), kept)
+
+
+def raked(row: DataFrame) -> DataFrame:
+    """(cells, total, w, gap): weights after all sweeps."""
 
     def fit_margin(m: str, state: Column) -> Column:
         """state (w, gap) after one margin is met."""
@@ -177,10 +194,16 @@ def fitted(cells: DataFrame, powers: dict[str, float], targets: dict[str, dict[s
             now = bind(now, partial(fit_margin, m))
         return now
 
-    begin = F.struct(F.col("w").alias("w"), F.lit(float("inf")).alias("gap"))
+    shares = F.transform("cells", lambda c: c["tokens"] / F.col("total"))
+    begin = F.struct(shares.alias("w"), F.lit(float("inf")).alias("gap"))
     step = lambda s, _: F.when(s["gap"] <= TOLERANCE, s).otherwise(sweep(s))
-    row = row.withColumn("raked", F.aggregate(F.sequence(F.lit(1), F.lit(SWEEPS)), begin, step))
-    row = row.withColumn("rate", F.zip_with(F.col("raked.w"), "cells", lambda w, c: w / c["tokens"]))
+    state = F.aggregate(F.sequence(F.lit(1), F.lit(SWEEPS)), begin, step)
+    return row.select("cells", "total", state.alias("s")).select("cells", "total", "s.w", "s.gap")
+
+
+def scaled_fit(row: DataFrame, kept: float | None) -> DataFrame:
+    """(gap, fit): probabilities on the largest scale, or on the one that keeps a share of all tokens."""
+    row = row.withColumn("rate", F.zip_with("w", "cells", lambda w, c: w / c["tokens"]))
     if kept is None:
         scale = 1 / F.array_max("rate")
     else:
@@ -198,12 +221,11 @@ def fitted(cells: DataFrame, powers: dict[str, float], targets: dict[str, dict[s
         positive = F.filter("rate", lambda r: r > 0)
         bounds = F.struct((F.lit(kept) / F.array_max("rate") / 2).alias("low"), (1 / F.array_min(positive)).alias("high"))
         scale = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), bounds, lambda b, _: halved(b))["high"]
-    row = row.withColumn("scale", scale)
     out = F.zip_with(
-        F.col("raked.w"), "cells",
+        "w", "cells",
         lambda w, c: F.struct(c["cell"].alias("cell"), w.alias("weight"), F.least(F.lit(1.0), w / c["tokens"] * F.col("scale")).alias("probability")),
     )
-    return row.select(F.col("raked.gap").alias("gap"), out.alias("fit"))
+    return row.withColumn("scale", scale).select("gap", out.alias("fit"))
 
 
 def _margin_sums(w: Column, members: Column) -> Column:

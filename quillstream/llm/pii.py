@@ -1,18 +1,25 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
-Seeds are the spans of four base patterns (email, ip, card, phone). Every identifier-like mention (a
-word with a digit or "@", and number groups that follow it) is an instance; the words around it are
-lexical patterns. The graph of patterns and instances is summed over all documents, and scored in
-rounds: a pattern's confidence in a kind is the share of its distinct instances that are known to
-be of that kind, weighted by their own confidence; an instance's is one minus the chance that all
-accepted patterns around it are wrong. Instances of high confidence whose shape suits the kind are
-added, and may support further patterns. Spans of discovered instances are added to the base ones,
-which always stay.
+Seeds are the spans of four base patterns (email, ip, card, phone). A mention is a word with a digit or "@",
+with number groups that follow it; it is an instance of the kinds whose shape it has (SHAPES), or of the kind
+of the base match that it holds. What surrounds an instance, and how it is written, are its lexical patterns:
+its characters by class, the word and the two words to its left, the words on both sides, the word to the left
+or the start of a line with the instance's outline. Digits in them count as one digit, a word longer than
+LONG_WORD by its digest.
+
+The graph of patterns and instances is summed over all documents and scored in rounds. A pattern's trust in a
+kind is the confidence of its known instances of that kind over all its instances that could be of it, plus
+CAUTION; patterns of trust LEAST or more are accepted. An instance's confidence is one minus the chance that
+all accepted patterns around it are wrong; those of LEAST or more are known in the next round. Trust never
+falls as more is known, so the rounds end, when a round finds what the one before it found. Spans of
+discovered instances that overlap no base span are added to the base ones, which always stay.
 
 Offsets count code points; ends are exclusive.
 
-Defined results: a null text is an empty one; a null doc_id keeps its row; repeated rows each get a
-row; an empty table gives no rows; other columns are ignored.
+Defined results: a null text is an empty one; texts of any length are taken whole, in time about linear in
+their length and spans; of kinds that tie in confidence the first holds; a null doc_id keeps its row; repeated
+rows each get a row, and an instance counts once however often it is repeated; an empty table gives no rows;
+other columns are ignored by report and pass through redact, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.llm._support import bind, prefix_sums, stored
+from quillstream.llm._support import bind, named, prefix_sums, running_most, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, written so that no part is ever tried twice (long runs stay linear): the same
@@ -42,8 +49,8 @@ SHAPES = {
     "card": r"^(?:[0-9][\x20-]?){11,18}[0-9]$",
     "phone": r"^[+(]?(?:[0-9][\x20().-]*){6,14}[0-9]$",
 }
-CONTEXT_CHARS = 48
-ROUNDS, LEAST_SUPPORT, LEAST_CONFIDENCE = 3, 5, 0.6
+CAUTION, LEAST = 2.0, 0.5
+LONG_WORD = 64
 SPAN = "array<struct<start:bigint,k:int,end:bigint>>"
 
 
@@ -65,8 +72,8 @@ def matches(text: Column, pattern: str) -> Column:
                         (F.get(at, i) + F.length(F.get(pieces, i))).alias("start"),
                         (F.get(at, i) + F.length(F.get(pieces, i)) + F.length(v)).alias("end"),
                         v.alias("value"),
-                        F.right(F.get(pieces, i), F.lit(CONTEXT_CHARS)).alias("before"),
-                        F.left(F.get(pieces, i + 1), F.lit(CONTEXT_CHARS)).alias("after"),
+                        F.get(pieces, i).alias("before"),
+                        F.get(pieces, i + 1).alias("after"),
                     ),
                 ),
             )
@@ -122,78 +129,161 @@ def _kind_within(value: Column) -> Column:
     return F.coalesce(*[F.when(holds(kind), k) for k, kind in enumerate(KINDS)])
 
 
+def _suits(value: Column) -> Column:
+    """array of the kinds whose shape value has."""
+    return F.array_compact(F.array(*[F.when(value.rlike(SHAPES[kind]), k) for k, kind in enumerate(KINDS)]))
+
+
+def _words(piece: Column) -> Column:
+    """piece in lower case with single spaces and one digit for all."""
+    flat = F.translate(F.lower(piece), "\t\n\x0b\f\r0123456789", "     9999999999")
+    return F.btrim(F.regexp_replace(flat, r"\x20{2,}", " "))
+
+
+def _bare(words: Column) -> Column:
+    """words without the marks around them; long ones by their digest."""
+    own = F.regexp_replace(words, r"^[^0-9\p{L}]+|[^0-9\p{L}]++$", "")
+    return F.when(F.length(own) <= LONG_WORD, own).otherwise(F.concat(F.lit("#"), F.sha2(own, 256)))
+
+
+def _patterns(value: Column, before: Column, after: Column, first: Column) -> Column:
+    """array of the lexical patterns of a mention, the empty ones left out."""
+    classes = F.regexp_replace(F.regexp_replace(value, "[0-9]", "9"), r"\p{L}+", "a")
+    outline = F.regexp_replace(classes, "9+", "9")
+
+    def with_words(left: Column) -> Column:
+        one, two = _bare(F.substring_index(left, " ", -1)), _bare(F.substring_index(left, " ", -2))
+        next_ = _bare(F.substring_index(_words(after), " ", 1))
+        line = first | F.regexp_replace(before, r"[\x20\x09\r]+$", "").endswith("\n")
+        at_left = lambda name, *parts: F.when(one != "", F.concat_ws(" ", F.lit(name), *parts))
+        return F.array_compact(
+            F.array(
+                F.concat_ws(" ", F.lit("written"), _bare(classes)),
+                at_left("left", one),
+                F.when(two != one, at_left("two", two)),
+                at_left("both", one, F.lit("_"), next_),
+                at_left("left, outline", one, _bare(outline)),
+                F.when(line, F.concat_ws(" ", F.lit("line, outline"), _bare(outline))),
+            )
+        )
+
+    return bind(_words(before), with_words)
+
+
 def _mentions(text: Column) -> Column:
-    """array of (start, end, value, left, right, k): identifier-like mentions; k: the kind of a base match inside."""
-    lead, tail = r"^[^0-9A-Za-z@+(]+", r"[^0-9A-Za-z)]+$"
+    """array of (start, end, value, k, suits, patterns): mentions that can be of a kind; k: the kind of a base match inside."""
+    lead, tail = r"^[^0-9A-Za-z@+(]+", r"[^0-9A-Za-z)]++$"
 
     def one(m: Column) -> Column:
-        cut = F.length(m["value"]) - F.length(F.regexp_replace(m["value"], lead, ""))
-        value = F.regexp_replace(F.regexp_replace(m["value"], lead, ""), tail, "")
-        start = m["start"] + cut
-        return F.struct(
-            start.alias("start"),
-            (start + F.length(value)).alias("end"),
-            F.lower(value).alias("value"),
-            F.lower(F.regexp_extract(m["before"], rf"({WORD}+){GAP}*$", 1)).alias("left"),
-            F.lower(F.regexp_extract(m["after"], rf"^{GAP}*({WORD}+)", 1)).alias("right"),
-            _kind_within(m["value"]).alias("k"),
-        )
+        bare = F.regexp_replace(m["value"], lead, "")
+        start = m["start"] + F.length(m["value"]) - F.length(bare)
+
+        def placed(value: Column) -> Column:
+            return F.struct(
+                start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"),
+                _kind_within(m["value"]).alias("k"), _suits(value).alias("suits"),
+                m["before"].alias("before"), m["after"].alias("after"), m["start"].alias("at"),
+            )
 
-    return F.transform(F.filter(matches(text, MENTION), lambda m: F.length(m["value"]) >= 6), one)
+        return bind(F.lower(F.regexp_replace(bare, tail, "")), placed)
+
+    def finished(m: Column) -> Column:
+        found = _patterns(m["value"], m["before"], m["after"], F.length(m["before"]) == m["at"])
+        return F.struct(m["start"], m["end"], m["value"], m["k"], m["suits"], found.alias("patterns"))
+
+    able = F.filter(F.transform(matches(text, MENTION), one), lambda m: m["k"].isNotNull() | (F.size(m["suits"]) > 0))
+    return F.transform(able, finished)
 
 
 def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     """One pass over the texts: row key, kept columns, base spans and mentions; a table in the shared folder."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("own"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
+    text = F.coalesce(named(docs, "text"), F.lit(""))
+    own = F.struct(*[named(docs, c).alias(c) for c in keep]).alias("own")
+    rows = docs.select(own, text.alias("text"), F.monotonically_increasing_id().alias("row"))
     return stored(rows.select("row", "own", base_spans(F.col("text")).alias("base"), _mentions(F.col("text")).alias("mentions")), "pii-scan")
 
 
 def occurrences(scanned: DataFrame) -> DataFrame:
-    return scanned.select("row", F.explode("mentions").alias("m")).select("row", "m.*").where("length(value) >= 6")
+    return scanned.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
+
 
+def discover(occurring: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """(value, k, confidence): instances found by patterns, beside the seeds.
 
-def discover(occurring: DataFrame) -> DataFrame:
-    """(value, k, confidence): instances found by patterns, beside the seeds."""
-    around = F.array(F.concat(F.lit("l:"), "left"), F.concat(F.lit("b:"), "left", F.lit(" "), "right"))
+    seeds: (value, k) of base matches; given, only these are known at the start (to hold out others).
+    """
+    kinds = F.when(F.col("k").isNotNull(), F.array("k")).otherwise(F.col("suits"))
+    instances = occurring.select("value", "k", "patterns", F.explode(kinds).alias("kind"))
     edges = stored(
-        occurring.where("left <> ''").select("value", "k", F.explode(around).alias("pattern"))
-        .groupBy("pattern", "value").agg(F.max("k").alias("k")),
+        instances.select("value", "kind", "k", F.explode("patterns").alias("pattern"))
+        .groupBy("pattern", "value", "kind").agg(F.max("k").alias("k")),
         "pattern-instances",
     )
-    seeds = edges.where("k IS NOT NULL").groupBy("value").agg(F.max("k").alias("k")).withColumn("confidence", F.lit(1.0))
-    known = seeds = stored(seeds, "seeds")
-    degree = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    none = seeds.limit(0)
-    found, before = none, 0
-    for _ in range(ROUNDS):
-        support = (
-            edges.select("pattern", "value").join(known, "value").groupBy("pattern", "k")
-            .agg(F.sum("confidence").alias("support")).where(F.col("support") >= LEAST_SUPPORT)
-        )
+    if seeds is None:
+        seeds = edges.where("k IS NOT NULL").select("value", "k").distinct()
+    seeds = stored(seeds.select("value", F.col("k").alias("kind"), F.lit(1.0).alias("confidence")), "seeds")
+    degree = stored(edges.groupBy("pattern", "kind").agg(F.count("*").alias("n")).where("n > 1"), "pattern-degrees")
+    open_ = edges.join(seeds.select("value").distinct(), "value", "left_anti").select("pattern", "value", "kind")
+    # an instance counts only where some pattern of it has a known one beside it
+    open_ = stored(open_.join(degree.select("pattern", "kind"), ["pattern", "kind"]), "open-instances")
+    known, before = seeds, None
+    while True:
+        support = edges.select("pattern", "value", "kind").join(known, ["value", "kind"]).groupBy("pattern", "kind").agg(F.sum("confidence").alias("support"))
         trusted = (
-            support.join(degree, "pattern").withColumn("trust", F.col("support") / F.col("n"))
-            .where(F.col("trust") >= LEAST_CONFIDENCE).select("pattern", F.col("k").alias("kind"), "trust")
-        )
-        miss = F.sum(F.log(1 - F.least(F.col("trust"), F.lit(0.999))))
-        suits = F.coalesce(*[F.when(F.col("kind") == k, F.col("value").rlike(SHAPES[kind])) for k, kind in enumerate(KINDS)])
-        scored = (
-            edges.where("k IS NULL").join(trusted, "pattern").where(suits)
-            .join(seeds.select("value"), "value", "left_anti")
-            .groupBy("value", "kind").agg((1 - F.exp(miss)).alias("confidence"))
+            support.join(degree, ["pattern", "kind"]).withColumn("trust", F.col("support") / (F.col("n") + CAUTION))
+            .where(F.col("trust") >= LEAST).select("pattern", "kind", "trust")
         )
+        wrong = F.sum(F.log(1 - F.least(F.col("trust"), F.lit(0.999))))
+        scored = open_.join(trusted, ["pattern", "kind"]).groupBy("value", "kind").agg((1 - F.exp(wrong)).alias("confidence"))
         best = Window.partitionBy("value").orderBy(F.desc("confidence"), "kind")
-        new = (
-            scored.withColumn("n", F.row_number().over(best)).where((F.col("n") == 1) & (F.col("confidence") >= LEAST_CONFIDENCE))
-            .select("value", F.col("kind").alias("k"), "confidence")
-        )
-        found = stored(new, "instances")
-        size = found.count()
-        if size == before:
-            break
-        before = size
+        found = stored(scored.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth"), "instances")
+        state = found.agg(F.count("*"), F.sum(F.xxhash64("value", "kind").cast("decimal(38,0)"))).first()
+        if state == before:
+            return found.withColumnRenamed("kind", "k")
+        before = state
         known = seeds.unionByName(found)
-    return found
+
+
+def held_back(docs: DataFrame, one_in: int = 3) -> dict[str, int]:
+    """How discovery does on identifiers that it is not told: one in so many distinct seeds is hidden, by a hash of its value.
+
+    hidden: how many; returned: found again with their kind; wrong: found again as another kind; others: found beside them.
+    """
+    occurring = stored(occurrences(scan(docs, ["doc_id"])), "mentions")
+    seeds = occurring.where("k IS NOT NULL").groupBy("value").agg(F.max("k").alias("k"))
+    hide = F.pmod(F.xxhash64("value"), F.lit(one_in)) == 0
+    hidden = seeds.where(hide).withColumnRenamed("k", "real")
+    # to discovery the hidden ones are mentions like any other
+    blind = occurring.join(hidden.select("value", F.lit(True).alias("hidden")), "value", "left").withColumn("k", F.when(F.col("hidden").isNull(), F.col("k")))
+    found = discover(blind, seeds.where(~hide)).join(hidden, "value", "full")
+    count = lambda c: F.coalesce(F.sum(c.cast("int")), F.lit(0))
+    return found.agg(
+        count(F.col("real").isNotNull()).alias("hidden"), count(F.col("real") == F.col("k")).alias("returned"),
+        count(F.col("real") != F.col("k")).alias("wrong"), count(F.col("real").isNull()).alias("others"),
+    ).first().asDict()
+
+
+def clear_of(base: Column, more: Column) -> Column:
+    """The spans of more that overlap none of base, in one pass over both in order."""
+
+    def marked(spans: Column, of: int) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(of).alias("of"), s["end"].alias("end"), s["k"].alias("k")))
+
+    def checked(both: Column) -> Column:
+        reach = running_most(F.transform(both, lambda s: F.when(s["of"] == 0, s["end"]).otherwise(F.lit(-1).cast("long"))))
+        ahead = running_most(F.transform(F.reverse(both), lambda s: F.when(s["of"] == 0, -s["start"]).otherwise(F.lit(-(1 << 62)).cast("long"))))
+        n = F.size(both)
+
+        def clear(r: Column) -> Column:
+            def and_ahead(a: Column) -> Column:
+                keep = F.filter(both, lambda s, i: (s["of"] == 1) & (F.get(r, i) <= s["start"]) & (-F.get(a, n - 1 - i) >= s["end"]))
+                return F.transform(keep, lambda s: F.struct(s["start"], s["k"], s["end"]))
+
+            return bind(ahead, and_ahead)
+
+        return bind(reach, clear)
+
+    return bind(F.array_sort(F.concat(marked(base, 0), marked(more, 1))), checked)
 
 
 def extract(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -205,8 +295,7 @@ def extract(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         occurring.where("k IS NULL").drop("k").join(found.select("value", "k"), "value")
         .groupBy("row").agg(F.collect_list(F.struct(F.col("start"), F.col("k"), F.col("end"))).alias("more"))
     )
-    apart = F.filter("more", lambda m: ~F.exists("base", lambda s: (s["start"] < m["end"]) & (s["end"] > m["start"])))
-    everything = F.array_sort(F.concat("base", F.coalesce(apart, F.array().cast(SPAN))))
+    everything = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", clear_of(F.col("base"), F.col("more")))))
     return scanned.join(more, "row", "left").select("own", "base", everything.alias("spans"))
 
 
@@ -228,30 +317,43 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """text with <EMAIL>, <IP>, <CARD> or <PHONE> in place of every span; spans that overlap count as one."""
+def redacted(text: Column, spans: Column, block: int = 256) -> Column:
+    """text with <EMAIL>, <IP>, <CARD> or <PHONE> in place of every span; spans that overlap count as one.
+
+    The text is cut into the reaches of blocks of spans, and each of these at its own spans, so that no
+    piece is sought from the start of a long text.
+    """
     tags = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
 
-    def pieces(s: Column) -> Column:
-        # how far the spans before each one reach
-        reach = F.aggregate(
-            s, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), x["end"])))
-        )
+    def cut(of: Column, start: Column, end: Column) -> Column:
+        return F.substring(of, (start + 1).cast("int"), (end - start).cast("int"))
 
+    def pieces(s: Column) -> Column:
         def with_reach(r: Column) -> Column:
-            parts = F.transform(
-                s,
-                lambda x, i: F.when(
-                    (x["start"] >= F.get(r, i)),
-                    F.concat(
-                        F.substring(text, (F.get(r, i) + 1).cast("int"), (x["start"] - F.get(r, i)).cast("int")), F.get(tags, x["k"])
-                    ),
-                ).otherwise(F.lit("")),
-            )
-            rest = F.substring(text, (F.element_at(r, -1) + 1).cast("int"), F.length(text))
-            return F.concat(F.array_join(parts, ""), rest)
+            blocks = F.sequence(F.lit(0), F.floor((F.size(s) - 1) / block).cast("int"))
+
+            def of_block(b: Column) -> Column:
+                base = F.get(r, b * block)
+                until = F.get(r, F.least((b + 1) * block, F.size(s)))
+
+                def parts(t: Column) -> Column:
+                    own = F.transform(
+                        F.slice(s, b * block + 1, F.lit(block)),
+                        lambda x, i: F.when(
+                            x["start"] >= F.get(r, b * block + i),
+                            F.concat(cut(t, F.get(r, b * block + i) - base, x["start"] - base), F.get(tags, x["k"])),
+                        ).otherwise(F.lit("")),
+                    )
+                    return F.array_join(own, "")
+
+                return bind(cut(text, base, until), parts)
+
+            rest = F.substring(text, (F.get(r, F.size(s)) + 1).cast("int"), F.length(text))
+            return F.concat(F.array_join(F.transform(blocks, of_block), ""), rest)
 
-        return bind(reach, with_reach)
+        # how far the spans before each one reach, and all of them
+        ends = F.concat(F.transform(s, lambda x: x["end"]), F.array(F.lit(0).cast("long")))
+        return bind(F.transform(running_most(ends), lambda x: F.greatest(x, F.lit(0).cast("long"))), with_reach)
 
     return F.when(F.size(spans) == 0, text).otherwise(bind(spans, pieces))
 
@@ -260,5 +362,5 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with every span replaced in text; the same rows and columns (null texts become empty)."""
     found = extract(docs, docs.columns)
     text = redacted(F.coalesce(F.col("own.text"), F.lit("")), F.col("spans"))
-    columns = [text.alias("text") if c == "text" else F.col(f"own.`{c}`").alias(c) for c in docs.columns]
+    columns = [text.alias("text") if c == "text" else F.col("own")[c].alias(c) for c in docs.columns]
     return found.select(*columns)

@@ -66,6 +66,64 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert all(got[i].n_found == 0 for i in range(12))
 
 
+def test_a_chain_of_rounds_is_followed_to_its_end(spark):
+    """Seven kinds of writing, the first known; each stands after words that the one before it stands after."""
+    styles = ["+1 017 555 {}", "017.555.{}", "(017)555{}", "017-555-{}", "017555{}", "0175-55-{}", "01-7555-{}"]
+    rows = []
+    for k, (style, size) in enumerate(zip(styles, (40, 28, 20, 14, 10, 7, 4), strict=True)):
+        for i in range(size):
+            for level in {k, max(0, k - 1)}:
+                rows += [f"{word}{'abcdefgh'[level]}: {style.format(1000 + 100 * k + i)} end" for word in ("one", "two", "six")]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = pii.report(docs).collect()
+    assert all(r.spans.startswith("phone:6:") for r in got)
+    assert sum(r.n_found for r in got) == len(rows) - 120
+
+
+def test_the_query_finds_more_than_the_base_patterns(spark, sf):
+    """At sf0.01 the method adds spans, on top of all base ones, and finds hidden seeds again under their own kind."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    rows = queries.op1_pii(spark, "/root/testdata/sf0.01").collect()
+    added = 0
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in rows:
+        spans = {tuple(x.split(":")) for x in r.spans.split(",") if x}
+        own = {tuple(x.split(":")) for x in text_of(base(texts[r.doc_id])).split(",") if x}
+        assert own <= spans
+        for kind, start, end in spans - own:
+            added += 1
+            assert re.match(pii.SHAPES[kind], texts[r.doc_id][int(start) : int(end)].lower())
+            assert all(int(end) <= int(a) or int(b) <= int(start) for _, a, b in own)
+    assert added == sum(r.n_found for r in rows) > 0
+    hidden = pii.held_back(docs)
+    assert hidden["returned"] >= 0.3 * hidden["hidden"] > 0 and hidden["wrong"] == 0
+
+
+def test_spans_clear_of_others_equal_a_plain_check(spark):
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(40):
+        own = sorted({(int(a), int(k), int(a + n)) for a, k, n in zip(rng.integers(0, 300, 30), rng.integers(0, 4, 30), rng.integers(1, 12, 30))})
+        more = [(int(a), int(k), int(a + n)) for a, k, n in zip(rng.integers(0, 300, 20), rng.integers(0, 4, 20), rng.integers(1, 12, 20))]
+        sets.append((own, more))
+    df = spark.createDataFrame([(i, *s) for i, s in enumerate(sets)], f"i int, base {pii.SPAN}, more {pii.SPAN}")
+    for r in df.select("i", pii.clear_of(F.col("base"), F.col("more")).alias("c")).collect():
+        own, more = sets[r.i]
+        assert sorted(map(tuple, r.c)) == sorted(m for m in more if not any(b[0] < m[2] and b[2] > m[0] for b in own))
+
+
+def test_a_text_of_many_spans_is_redacted_in_linear_time(spark):
+    import time
+
+    took = []
+    for n in (1000, 40_000):
+        df = spark.createDataFrame([(1, " ".join(f"w a{i}@b.c" for i in range(n)))], "doc_id long, text string")
+        began = time.perf_counter()
+        assert pii.redact(df).first().text == " ".join(["w <EMAIL>"] * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 15
+
+
 def test_redaction_and_odd_rows(spark, odd_docs, no_docs):
     out = {r.doc_id: r.text for r in pii.redact(odd_docs).collect()}
     assert out[8].endswith(" <EMAIL><IP>") or out[8].endswith("<EMAIL> <IP>") or "<EMAIL>" in out[8]
