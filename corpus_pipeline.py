@@ -21,9 +21,7 @@ from quillstream.llm.queries import tokenizer_file
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more; without any positive label all stay."""
-    scorer = puclass.train(docs, table(spark, sf_dir, "labels"))
-    scored = puclass.with_score(docs, scorer, name="quality_score")
-    return scored.where("quality_score >= 0.5").select(*docs.columns)
+    return puclass.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
