@@ -184,8 +184,10 @@ def train(rows: DataFrame, labels: DataFrame) -> Scorer | None:
     trusted = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id").distinct()
 
     def sample(of: DataFrame, size: int) -> np.ndarray:
-        one = of.groupBy("doc_id").agg(F.min("x").alias("x"))
-        picked = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size).select("x").toPandas()  # bounded by size
+        """About size of the ids at most: those whose hash lies below a bound, so no task gathers a list of its own."""
+        n = of.count()
+        below = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, size / max(1, n)))
+        picked = of.where(below).groupBy("doc_id").agg(F.min("x").alias("x")).toPandas().sort_values("doc_id")
         return np.array(picked["x"].tolist()).reshape(-1, N_FEATURES)
 
     positive, unlabelled = sample(fold.join(trusted, "doc_id", "left_semi"), SAMPLE_POSITIVE), sample(fold, SAMPLE_UNLABELLED)
