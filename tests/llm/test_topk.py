@@ -47,3 +47,30 @@ def test_beyond_doubles(spark):
     rows = [(i, [float(2**30 + i), float(2**29 - 7 * i)]) for i in range(20)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert got(topk.top_k(df, lambda i: i % 5 == 0, scale=1)) == brute(rows, 5, 5, 1)
+
+
+def test_clustered_vectors_are_mostly_not_scored(spark):
+    """Well apart clusters: the same rows as brute force from under a tenth of all local scores."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 1, (40, 16)) * 3
+    rows = [(i, [float(x) for x in centres[i % 40] + rng.normal(0, 0.05, 16)]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    formed = spark.sparkContext.accumulator(0)
+    out = got(topk.top_k(df, lambda i: i % 50 == 0, counter=formed))
+    v = np.floor(256 * np.array([r[1] for r in rows]))
+    want = []
+    for q in range(0, 4000, 50):
+        score = v @ v[q]
+        score[q] = -np.inf
+        order = np.lexsort((np.arange(4000), -score))[:5]
+        want += [(q, r + 1, int(i), int(score[i])) for r, i in enumerate(order)]
+    assert out == sorted(want)
+    assert 0 < formed.value < 0.1 * 80 * 4000 * 2
+
+
+def test_a_frequent_vector_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 8)
+    rng = np.random.default_rng(6)
+    rows = [(i, [1.0, 2.0, 3.0] if i % 3 else [float(x) for x in rng.normal(0, 1, 3)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert got(topk.top_k(df, lambda i: i % 50 == 0)) == brute(rows, 5)
