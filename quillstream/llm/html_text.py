@@ -1,19 +1,25 @@
 """Layout-aware text of HTML pages.
 
 A tree builder turns tags into elements, supplying the end tags that HTML lets authors leave out;
-visibility rules (elements that never render, hidden attributes, inline styles, and simple rules of
-the page's own style sheets) hide subtrees; a renderer then emits all visible text: inline text
-flows with collapsed white space, blocks stand on lines of their own, paragraphs and headings keep a
-blank line around them, lists get bullets or numbers, and tables are aligned cell by cell.
-
-Defined results: a null or empty page has an empty text; a null id keeps its row; unclosed tags,
-comments and quotes end with the page; repeated rows get a row each; an empty table gives no rows.
+visibility rules (elements that never render, hidden attributes, inline styles, and the page's own style
+sheets as a screen of SCREEN pixels applies them: tags, classes, ids, descendants and children, by
+specificity) hide subtrees, or texts where only their visibility is taken; a renderer then emits all visible
+text: inline text flows with collapsed white space, blocks stand on lines of their own, paragraphs and headings
+keep a blank line around them, lists get bullets or numbers, and tables are aligned cell by cell, cells over
+several rows or columns included.
+
+Selectors of other kinds (attributes, states, siblings) hide nothing. Elements nest to any depth.
+
+Defined results: a null or empty page has an empty text; a page of any length is rendered whole; a null id keeps
+its row; unclosed tags, comments and quotes end with the page; repeated rows get a row each; an empty table
+gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -21,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm._support import ship
+from quillstream.llm._support import named, ship
 
 
 def _names(text: str) -> frozenset[str]:
@@ -32,8 +38,8 @@ def _names(text: str) -> frozenset[str]:
 VOID = _names("area base br col embed hr img input link meta param source track wbr")
 RAW = _names("script style textarea title xmp iframe noembed noframes")
 UNSEEN = _names(
-    "head script style template noscript iframe noembed noframes object audio video canvas svg math map "
-    "datalist select title meta link base input textarea param source track dialog"
+    "head script style template noscript iframe noembed noframes object audio video canvas "
+    "datalist select title meta link base input param source track dialog desc metadata defs"
 )
 BLOCK = _names(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -62,21 +68,24 @@ PARENT = {"td": "tr", "th": "tr", "tr": "table"}
 PARENT_OK = {"td": _names("tr"), "th": _names("tr"), "tr": _names("table thead tbody tfoot")}
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)"
     r"|<([A-Za-z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)",
     re.S,
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
+COMPOUND = re.compile(r"(\*|[a-z][\w-]*)?((?:[.#][\w-]+)*)")
+WIDTH = re.compile(r"\(\s*(min|max)-width\s*:\s*([0-9.]+)px\s*\)")
+#: Width in pixels for which media rules are decided.
+SCREEN = 1280
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "parent")
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+    def __init__(self, tag: str, attrs: dict[str, str], parent: "Element | None" = None):
+        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -86,10 +95,10 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def build(page: str) -> tuple[Element, list[str]]:
-    """The tree of a page and the texts of its style sheets."""
+def build(page: str) -> tuple[Element, list[str], int]:
+    """The tree of a page, the texts of its style sheets, and how deep elements nest."""
     root = Element("html", {})
-    stack, styles, at = [root], [], 0
+    stack, styles, at, deepest = [root], [], 0, 1
 
     def text(piece: str) -> None:
         if piece:
@@ -143,46 +152,152 @@ def build(page: str) -> tuple[Element, list[str]]:
             close_p()
         if tag in PARENT and stack[-1].tag not in PARENT_OK[tag]:
             for missing in ([PARENT[tag]] if PARENT[tag] != "tr" or stack[-1].tag in PARENT_OK["tr"] else ["table", "tr"]):
-                extra = Element(missing, {})
+                extra = Element(missing, {}, stack[-1])
                 stack[-1].children.append(extra)
                 stack.append(extra)
-        element = Element(tag, attrs)
+        element = Element(tag, attrs, stack[-1])
         stack[-1].children.append(element)
+        deepest = max(deepest, len(stack) + 1)
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             body = page[at : close.start()] if close else page[at:]
             at = close.end() if close else end
             if tag == "style":
                 styles.append(body)
+            elif tag == "textarea":
+                element.children.append(html.unescape(body))
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
             stack.append(element)
         elif tag not in VOID:
             stack.append(element)  # a slash does not close an HTML element
-    return root, styles
+    return root, styles, deepest
 
 
-def hidden_selectors(styles: list[str]) -> set[str]:
-    """Simple selectors (tag, .class, #id, tag.class) that a style sheet hides."""
-    out = set()
-    for sheet in styles:
-        for selectors, body in RULE.findall(re.sub(r"/\*.*?(?:\*/|\Z)", "", sheet, flags=re.S)):
-            if HIDING.search(body):
-                out |= {s.strip().lower() for s in selectors.split(",") if re.fullmatch(r"\s*[\w-]*[.#]?[\w-]+\s*", s)}
-    return out
+def on_screen(query: str) -> bool:
+    """Whether a media query list holds on a screen of SCREEN pixels."""
 
+    def holds(one: str) -> bool:
+        words = one.split()
+        if not words or words[0] == "not":
+            return not words
+        kind = words[1] if words[0] == "only" and len(words) > 1 else words[0]
+        if not kind.startswith("(") and kind not in ("all", "screen"):
+            return False
+        return all(SCREEN >= float(x) if side == "min" else SCREEN <= float(x) for side, x in WIDTH.findall(one))
 
-def is_hidden(e: Element, selectors: set[str]) -> bool:
-    if e.tag in UNSEEN and not (e.tag == "dialog" and "open" in e.attrs):
+    return any(holds(one.strip()) for one in query.lower().split(","))
+
+
+def rules_of(sheet: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of a style sheet that hold on a screen, rules inside @media and @supports among them."""
+    sheet = re.sub(r"/\*.*?(?:\*/|\Z)", "", sheet, flags=re.S)
+    at, open_ = 0, []  # open_: whether each enclosing block's rules hold
+    for m in re.finditer(r"[{}]", sheet):
+        if m[0] == "}":
+            if open_:
+                open_.pop()
+            at = m.end()
+            continue
+        head = sheet[at : m.start()].rpartition(";")[2].strip()
+        at = m.end()
+        if head.startswith("@"):
+            name, _, query = head.partition(" ")
+            open_.append(name.lower() == "@supports" or name.lower() in ("@media", "@layer", "@container") and (name.lower() != "@media" or on_screen(query)))
+            continue
+        end = re.compile(r"[{}]|\Z").search(sheet, at)
+        if all(open_):
+            yield head, sheet[at : end.start()]
+        open_.append(False)
+
+
+def declared(style: str) -> dict[str, str]:
+    return {name.lower(): value.lower() for name, value in DECLARED.findall(style)}
+
+
+class Styles:
+    """What the page's style sheets declare of display and visibility, by the last part of each selector."""
+
+    def __init__(self, sheets: list[str]):
+        self.by_key: dict[str, list[tuple]] = {}
+        order = 0
+        for sheet in sheets:
+            for selectors, body in rules_of(sheet):
+                found = declared(body)
+                if not found:
+                    continue
+                for selector in selectors.split(","):
+                    parts = re.sub(r"\s*>\s*", " >", selector.strip().lower()).split()
+                    chain = [self.compound(x.lstrip(">")) for x in parts]
+                    if chain and all(chain):
+                        weight = tuple(sum(c[k] for c in (self.weight(x) for x in chain)) for k in range(3))
+                        tag, classes, ids = chain[-1]
+                        key = "#" + min(ids) if ids else "." + min(classes) if classes else tag
+                        steps = [(c, x.startswith(">")) for c, x in zip(chain, parts, strict=True)]
+                        order += 1
+                        self.by_key.setdefault(key, []).append((weight, order, steps, found))
+
+    @staticmethod
+    def compound(text: str) -> tuple[str, frozenset, frozenset] | None:
+        m = COMPOUND.fullmatch(text)
+        if not m or not text:
+            return None
+        names = re.findall(r"[.#][\w-]+", m[2])
+        return (m[1] or "*", frozenset(n[1:] for n in names if n[0] == "."), frozenset(n[1:] for n in names if n[0] == "#"))
+
+    @staticmethod
+    def weight(c: tuple[str, frozenset, frozenset]) -> tuple[int, int, int]:
+        return len(c[2]), len(c[1]), int(c[0] != "*")
+
+    @staticmethod
+    def fits(e: "Element", c: tuple[str, frozenset, frozenset]) -> bool:
+        tag, classes, ids = c
+        if tag not in ("*", e.tag):
+            return False
+        if classes and not classes <= {x.lower() for x in e.attrs.get("class", "").split()}:
+            return False
+        return not ids or ids == {e.attrs.get("id", "").lower()}
+
+    def reaches(self, e: "Element", steps: list) -> bool:
+        """Whether the selector's parts fit e and elements above it; a part after > asks for the parent itself."""
+        if not self.fits(e, steps[-1][0]):
+            return False
+        if len(steps) == 1:
+            return True
+        path = [e]
+        while path[-1].parent is not None:
+            path.append(path[-1].parent)
+        met = {0}  # how far up the path the part before may lie
+        for (c, _), (_, child) in zip(reversed(steps[:-1]), reversed(steps), strict=False):
+            within = {i + 1 for i in met} if child else set(range(min(met) + 1, len(path)))
+            met = {i for i in within if i < len(path) and self.fits(path[i], c)}
+            if not met:
+                return False
         return True
-    if "hidden" in e.attrs or (style := e.attrs.get("style")) and HIDING.search(style):
+
+    def of(self, e: "Element") -> dict[str, str]:
+        """The winning values for e: inline style over specificity over order."""
+        found: dict[str, str] = {}
+        if self.by_key:
+            keys = ["*", e.tag, *{"." + x.lower() for x in e.attrs.get("class", "").split()}, *(["#" + e.attrs["id"].lower()] if "id" in e.attrs else [])]
+            met = [r for k in keys for r in self.by_key.get(k, ()) if self.reaches(e, r[2])]
+            for _, _, _, values in sorted(met, key=lambda r: r[:2]):
+                found |= values
+        if style := e.attrs.get("style"):
+            found |= declared(style)
+        return found
+
+
+def is_hidden(e: Element, styles: Styles) -> bool:
+    if e.tag in UNSEEN and not (e.tag == "dialog" and "open" in e.attrs):
         return True
-    if selectors:
-        names = [e.tag] + [f".{c.lower()}" for c in e.attrs.get("class", "").split()]
-        names += [f"{e.tag}{c}" for c in names[1:]]
-        if "id" in e.attrs:
-            names += [f"#{e.attrs['id'].lower()}", f"{e.tag}#{e.attrs['id'].lower()}"]
-        return any(n in selectors for n in names)
-    return False
+    display = styles.of(e).get("display")
+    return display == "none" or display is None and "hidden" in e.attrs
+
+
+def is_seen(e: Element, styles: Styles, above: bool) -> bool:
+    """Visibility, which elements inside may take back."""
+    value = styles.of(e).get("visibility")
+    return above if value in (None, "inherit") else value not in ("hidden", "collapse")
 
 
 def width(text: str) -> int:
@@ -228,51 +343,46 @@ class Lines:
         self.blank = True
 
 
-#: Deeper elements than this add their text to the element at this depth.
-DEEPEST = 150
-
-
-def _render(e: Element, out: Lines, selectors: set[str], depth: int) -> None:
+def _render(e: Element, out: Lines, styles: Styles, seen: bool, item: bool = False) -> None:
+    """e's children into out; seen: whether texts are visible; item: whether e is an entry of a list."""
     for child in e.children:
         if isinstance(child, str):
-            out.add(child)
+            out.add(child if seen else " ")
             continue
         tag = child.tag
+        if is_hidden(child, styles):
+            continue
+        own = is_seen(child, styles, seen)
         if tag == "br":
             out.end_line() if out.run else out.put([""])
         elif tag == "hr":
             out.end_line()
             out.put(["---"])
-        elif is_hidden(child, selectors):
-            continue
-        elif depth >= DEEPEST:
-            out.add(" " + " ".join(_flat(child, selectors)) + " ")
         elif tag == "table":
-            _spaced(out, _table(child, selectors, depth + 1))
+            _spaced(out, _table(child, styles, own))
         elif tag in ("ul", "ol", "menu", "dir"):
-            inside = depth > 0 and e.tag == "li"
-            lines = _list(child, selectors, depth + 1)
-            if inside:
+            lines = _list(child, styles, own)
+            if item:
                 out.end_line()
                 out.blank = False
                 out.put(lines)
             else:
                 _spaced(out, lines)
-        elif tag == "pre":
-            raw = "".join(_flat(child, selectors)).strip("\n").split("\n")
-            _spaced(out, [x.rstrip() for x in raw])
+        elif tag in ("pre", "textarea"):
+            raw = "".join(_flat(child, styles, own)).strip("\n").split("\n")
+            _spaced(out, [x.rstrip() for x in raw] if any(raw) else [])
         elif tag == "blockquote":
-            _spaced(out, [("> " + x).rstrip() for x in _block(child, selectors, depth + 1)])
+            _spaced(out, [("> " + x).rstrip() for x in _block(child, styles, own)])
         elif tag in BLOCK:
             spaced = tag in SPACED
             out.want_blank() if spaced else out.end_line()
             if tag == "dd":
-                out.put(["  " + x if x else x for x in _block(child, selectors, depth + 1)])
+                out.put(["  " + x if x else x for x in _block(child, styles, own)])
             else:
-                _render(child, out, selectors, depth + 1)
+                _render(child, out, styles, own, tag == "li")
             out.want_blank() if spaced else out.end_line()
         else:
-            _render(child, out, selectors, depth + 1)
+            _render(child, out, styles, own)
 
 
 def _spaced(out: Lines, lines: list[str]) -> None:
@@ -282,96 +392,130 @@ def _spaced(out: Lines, lines: list[str]) -> None:
     out.blank = True
 
 
-def _flat(e: Element, selectors: set[str]) -> list[str]:
-    """All visible texts below e, without recursion."""
-    found, todo = [], list(reversed(e.children))
+def _flat(e: Element, styles: Styles, seen: bool) -> list[str]:
+    """All visible texts below e."""
+    found, todo = [], [(c, seen) for c in reversed(e.children)]
     while todo:
-        child = todo.pop()
+        child, seen = todo.pop()
         if isinstance(child, str):
-            found.append(child)
+            found.append(child if seen else "")
         elif child.tag == "br":
             found.append("\n")
-        elif not is_hidden(child, selectors):
-            todo.extend(reversed(child.children))
+        elif not is_hidden(child, styles):
+            own = is_seen(child, styles, seen)
+            todo.extend((c, own) for c in reversed(child.children))
     return found
 
 
-def _block(e: Element, selectors: set[str], depth: int) -> list[str]:
+def _block(e: Element, styles: Styles, seen: bool) -> list[str]:
     out = Lines()
-    _render(e, out, selectors, depth)
+    _render(e, out, styles, seen, e.tag == "li")
     out.end_line()
     return out.lines
 
 
-def _list(e: Element, selectors: set[str], depth: int) -> list[str]:
+def _alone(child: Element | str, styles: Styles, seen: bool) -> list[str]:
+    """A child that stands outside the entries or cells where it should be."""
+    around = Element("div", {})
+    around.children = [child]
+    return _block(around, styles, seen)
+
+
+def _list(e: Element, styles: Styles, seen: bool) -> list[str]:
     lines: list[str] = []
-    start = e.attrs.get("start", "")
-    number = int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1
-    loose = Element("div", {})
+    number = _whole(e.attrs.get("start"), 1)
     for child in e.children:
         if isinstance(child, Element) and child.tag == "li":
-            if is_hidden(child, selectors):
+            if is_hidden(child, styles):
                 continue
+            number = _whole(child.attrs.get("value"), number)
             mark = f"{number}. " if e.tag == "ol" else "- "
             number += 1
-            own = _block(child, selectors, depth)
+            own = _block(child, styles, is_seen(child, styles, seen))
             lines += [(mark if k == 0 else " " * len(mark)) + x if x else x for k, x in enumerate(own)] or [mark.rstrip()]
         elif isinstance(child, Element) or child.strip():
-            loose.children = [child]
-            lines += ["  " + x if x else x for x in _block(loose, selectors, depth)]
+            lines += ["  " + x if x else x for x in _alone(child, styles, seen)]
     return lines
 
 
-def _table(e: Element, selectors: set[str], depth: int) -> list[str]:
+def _whole(text: str | None, otherwise: int) -> int:
+    return int(text) if text and re.fullmatch(r"\s*-?[0-9]{1,9}\s*", text) else otherwise
+
+
+def _table(e: Element, styles: Styles, seen: bool) -> list[str]:
     before: list[str] = []
-    rows: list[list[list[str]]] = []
+    rows: list[dict[int, list[str]]] = []
+    taken: dict[int, int] = {}  # columns into which a cell of a row above reaches, and for how many rows more
 
-    def take(group: Element) -> None:
+    def take(group: Element, seen: bool) -> None:
         for child in group.children:
             if isinstance(child, str):
-                if child.strip():
+                if child.strip() and seen:
                     before.append(SPACES.sub(" ", child).strip())
-            elif is_hidden(child, selectors):
+            elif is_hidden(child, styles):
                 continue
             elif child.tag == "tr":
-                cells = []
-                for cell in child.children:
-                    if isinstance(cell, str) or cell.tag not in ("td", "th"):
-                        if isinstance(cell, str) and not cell.strip():
-                            continue
-                        loose = Element("div", {})
-                        loose.children = [cell]
-                        cells.append(_block(loose, selectors, depth))
-                    elif not is_hidden(cell, selectors):
-                        cells.append(_block(cell, selectors, depth))
-                        span = cell.attrs.get("colspan", "1")
-                        cells += [[]] * (min(int(span), 1000) - 1 if re.fullmatch(r"[1-9][0-9]{0,3}", span) else 0)
-                rows.append(cells)
+                take_row(child, is_seen(child, styles, seen))
             elif child.tag in ("thead", "tbody", "tfoot"):
-                take(child)
+                take(child, is_seen(child, styles, seen))
+                taken.clear()  # no cell reaches out of its group
             else:
-                loose = Element("div", {})
-                loose.children = [child]
-                before.extend(_block(loose, selectors, depth))
-
-    take(e)
-    columns = max((len(r) for r in rows), default=0)
-    wide = [max((width(x) for r in rows if len(r) > c for x in r[c]), default=0) for c in range(columns)]
+                before.extend(_alone(child, styles, seen))
+
+    def take_row(tr: Element, seen: bool) -> None:
+        cells: dict[int, list[str]] = {}
+        reach: dict[int, int] = {}
+        at = 0
+        for cell in tr.children:
+            wide, high = 1, 1
+            if isinstance(cell, str) or cell.tag not in ("td", "th"):
+                if isinstance(cell, str) and not cell.strip():
+                    continue
+                lines = _alone(cell, styles, seen)
+            elif is_hidden(cell, styles):
+                continue
+            else:
+                lines = _block(cell, styles, is_seen(cell, styles, seen))
+                wide, high = (min(max(1, _whole(cell.attrs.get(name), 1)), most) for name, most in (("colspan", 1000), ("rowspan", 65534)))
+                if _whole(cell.attrs.get("rowspan"), 1) == 0:
+                    high = 65534  # to the end of its group
+            while at in taken:
+                at += 1
+            cells[at] = lines
+            for c in range(at, at + wide):
+                reach[c] = high - 1
+            at += wide
+        for c in [c for c, left in taken.items() if left == 1]:
+            del taken[c]
+        for c in taken:
+            taken[c] -= 1
+        taken.update({c: left for c, left in reach.items() if left > 0})
+        rows.append(cells)
+
+    take(e, seen)
+    used = sorted({c for r in rows for c in r})
+    wide = {c: max(width(x) for r in rows if c in r for x in [*r[c], ""]) for c in used}
+    last = max(used, default=-1)
     lines = before
     for r in rows:
-        for k in range(max((len(c) for c in r), default=0)):
+        for k in range(max((len(c) for c in r.values()), default=0)):
             line = ""
-            for c, cell in enumerate(r):
-                piece = cell[k] if k < len(cell) else ""
-                line += piece + " " * (wide[c] - width(piece) + 2)
+            for c in range(last + 1) if last < 4096 else used:
+                piece = r[c][k] if c in r and k < len(r[c]) else ""
+                line += piece + " " * (wide.get(c, 0) - width(piece) + 2)
             lines.append(line.rstrip())
     return lines
 
 
 def page_text(page: str | None) -> str:
     """The visible text of one page."""
-    root, styles = build(page or "")
-    lines = _block(root, hidden_selectors(styles), 0)
+    root, sheets, deepest = build(page or "")
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, 1000 + 6 * deepest))  # a level of elements is a few calls, all in Python
+    try:
+        lines = _block(root, Styles(sheets), True)
+    finally:
+        sys.setrecursionlimit(before)
     return "\n".join(lines).strip("\n")
 
 
@@ -392,5 +536,5 @@ def render(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
                 names=["page_id", "text", "n_chars", "n_lines"],
             )
 
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html"))
+    rows = pages.select(named(pages, id_col).cast("long").alias("page_id"), named(pages, html_col).alias("html"))
     return rows.mapInArrow(run, "page_id long, text string, n_chars long, n_lines long")
