@@ -1,22 +1,26 @@
 """Quality rules: base rules and robust multivariate outliers, with DataFrame functions only.
 
-Each document has a vector of transformed statistics. For every language and source the minimum
-covariance determinant estimate of centre and scatter is sought by concentration steps: from a
-start of medians and quartile spreads, the share COVERAGE of documents with the smallest
-distances gives the next mean and covariance, until no group's share changes (CONCENTRATIONS times
-at most); then the estimate is reweighted over the documents within the usual bound. Documents whose
-squared Mahalanobis distance exceeds CUTOFF are rejected. At a coverage of about half, junk may make
-up nearly half of a group.
+Each document has a vector of transformed statistics. For every language and source, every language, and all
+documents the minimum covariance determinant estimate of centre and scatter is sought by concentration steps:
+the share COVERAGE of documents with the smallest distances gives the next mean and covariance. Steps begin
+from several STARTS, centres at the medians or the quartiles of all statistics; after two steps the start whose
+scatter has the smallest determinant goes on, until no group's share changes (CONCENTRATIONS times at most).
+The estimate is then reweighted over the documents within the usual bound, with its consistency factor.
+Documents whose squared Mahalanobis distance exceeds CUTOFF are rejected. At a coverage of about half, junk may
+make up nearly half of a group.
+
+A document is judged by the estimate of its language and source, shrunk towards that of its language, and that
+towards the estimate of all documents: an estimate from n documents has weight n / (n + SHRINK). So small
+groups lean on wider ones without a size at which the rule changes.
 
 Medians and the smallest distances are found from counts in fixed, fine bins, summed before any
 shuffle: exact for the bins, the same however rows are dealt, and without a group ever meeting in
-one task. Documents of a language and source with fewer than LEAST_GROUP are judged by the estimate
-over all documents of the language, those of a language with fewer by the estimate over all documents;
-only a table with fewer has no estimate, and its documents pass.
+one task.
 
-Defined results: a null or blank text has no words and fails the base rules; null language or
-source is a value of its own; a null doc_id keeps its row; repeated rows each count; an empty table
-gives no rows; other columns are ignored.
+Defined results: a null or blank text has no words and fails the base rules; a text of any length is measured
+whole; null language or source is a value of its own; documents that tie at the edge of a share are all within
+it; a null doc_id keeps its row; repeated rows each count; an empty table gives no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,17 +31,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.llm._support import bind, stored
+from quillstream.llm._support import bind, named, stored
 
 SPACE = r"[\x20\x09-\x0D]"
 FEATURES = ("f0", "f1", "f2", "f3", "f4")
 #: Width of the bins in which medians and quartiles are found, and least spread of each feature.
 BIN_WIDTH = (0.02, 0.005, 0.005, 0.005, 0.005)
 LEAST_SPREAD = (0.30, 0.05, 0.06, 0.15, 0.10)
-COVERAGE, CONCENTRATIONS, LEAST_GROUP = 0.52, 20, 50
+COVERAGE, CONCENTRATIONS, SHRINK = 0.52, 20, 50
+#: Quantiles of all statistics at which the starts have their centres.
+STARTS = (0.5, 0.25, 0.75)
 #: Fixed values for five features: consistency factor at that coverage, bound of the reweighting
-#: (0.975 quantile of chi square), bound of the verdict (0.99999 quantile).
-CONSISTENCY, REWEIGHT, CUTOFF = 1.863, 12.83, 30.86
+#: (0.975 quantile of chi square) and its consistency factor, bound of the verdict (0.99999 quantile).
+CONSISTENCY, REWEIGHT, REWEIGHT_CONSISTENCY, CUTOFF = 1.863, 12.83, 1.056, 30.86
+#: Estimates up to this number are sent to every task; more are joined by their group.
+SENT_GROUPS = 20_000
 
 
 def _total(values: Column) -> Column:
@@ -81,7 +89,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     trimmed = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE + "+", -1))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", text.alias("text"), words.alias("words"), lines.alias("lines"))
+    rows = docs.select(named(docs, "doc_id").cast("long").alias("doc_id"), "lang", "source", text.alias("text"), words.alias("words"), lines.alias("lines"))
     counted = rows.select(
         "doc_id", "lang", "source",
         F.size("words").cast("long").alias("n_words"),
@@ -105,19 +113,22 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def _starts(rows: DataFrame) -> DataFrame:
-    """(g, m0.., s0..): medians and quartile spreads of every group, from counts in bins."""
+    """(g, m0.., s0.., and the like for the other starts): centres at STARTS and quartile spreads of every group, from counts in bins; g#k is start k of g."""
     bins = F.array(*[F.floor(F.col(f) / w).cast("int") for f, w in zip(FEATURES, BIN_WIDTH, strict=True)])
     counts = rows.select("g", F.posexplode(bins).alias("k", "bin")).groupBy("g", "k", "bin").agg(F.count("*").alias("n"))
     by = Window.partitionBy("g", "k")
     running = counts.withColumns({"upto": F.sum("n").over(by.orderBy("bin")), "all": F.sum("n").over(by)})
     at = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("bin")))
-    found = running.groupBy("g").pivot("k", list(range(len(FEATURES)))).agg(at(0.5).alias("m"), at(0.25).alias("a"), at(0.75).alias("b"))
-    out = ["g"]
-    for k, w in enumerate(BIN_WIDTH):
-        out.append(((F.col(f"{k}_m") + 0.5) * w).alias(f"m{k}"))
-        spread = (F.col(f"{k}_b") - F.col(f"{k}_a")) * w / 1.349
-        out.append(F.greatest(spread, F.lit(LEAST_SPREAD[k])).alias(f"s{k}"))
-    return found.select(*out)
+    found = running.groupBy("g").pivot("k", list(range(len(FEATURES)))).agg(*[at(q).alias(f"q{i}") for i, q in enumerate(STARTS)], at(0.25).alias("a"), at(0.75).alias("b"))
+    starts = []
+    for i in range(len(STARTS)):
+        out = [F.concat("g", F.lit(f"#{i}")).alias("g")]
+        for k, w in enumerate(BIN_WIDTH):
+            out.append(((F.col(f"{k}_q{i}") + 0.5) * w).alias(f"m{k}"))
+            spread = (F.col(f"{k}_b") - F.col(f"{k}_a")) * w / 1.349
+            out.append(F.greatest(spread, F.lit(LEAST_SPREAD[k])).alias(f"s{k}"))
+        starts.append(F.struct(*out))
+    return found.select(F.explode(F.array(*starts)).alias("s")).select("s.*")
 
 
 def _lower(p: int) -> list[tuple[int, int]]:
@@ -172,16 +183,28 @@ def _core(measured: DataFrame) -> DataFrame:
     return binned.join(edge, "g").where(F.col("bin") <= F.col("edge"))
 
 
+def _with_estimate(rows: DataFrame, now: DataFrame, few: bool) -> DataFrame:
+    """rows with their group's estimate and squared distance; few: whether the estimates are at most SENT_GROUPS."""
+    return rows.join(F.broadcast(now) if few else now, "g").withColumn("d2", _distance(len(FEATURES)))
+
+
 def estimates(rows: DataFrame) -> DataFrame:
-    """(g, m*, g*): centre and inverse root of scatter of every group of rows (g, f*)."""
+    """(g, core, m*, c*): size of the core, centre and scatter of every group of rows (g, f*)."""
     p = len(FEATURES)
-    start = _starts(rows)
+    start = stored(_starts(rows), "mcd-centres")
     root = [(F.lit(0.0) if i != j else 1 / F.col(f"s{i}")).alias(f"g{i}{j}") for i, j in _lower(p)]
     now = stored(start.select("g", *[f"m{i}" for i in range(p)], *root), "mcd-start")
+    few = now.count() <= SENT_GROUPS  # all starts counted
+    each = rows.withColumn("g", F.explode(F.array(*[F.concat("g", F.lit(f"#{k}")) for k in range(len(STARTS))])))
+    for _ in range(2):
+        now = stored(_inverse_root(_moments(_core(_with_estimate(each, now, few)), p), p, CONSISTENCY).drop("core"), "mcd-try")
+    determinant = -2 * reduce(lambda a, b: a + b, [F.log(f"g{i}{i}") for i in range(p)])
+    of = F.expr("substring(g, 1, length(g) - 2)")
+    least = now.withColumn("nth", F.row_number().over(Window.partitionBy(of).orderBy(determinant, "g"))).where("nth = 1").drop("nth")
+    now = stored(least.withColumn("g", of), "mcd-best")
     seen = set()
     for _ in range(CONCENTRATIONS):
-        core = _core(rows.join(now, "g").withColumn("d2", _distance(p)))
-        step = stored(_inverse_root(_moments(core, p), p, CONSISTENCY), "mcd-step")
+        step = stored(_inverse_root(_moments(_core(_with_estimate(rows, now, few)), p), p, CONSISTENCY), "mcd-step")
         now = step.drop("core")
         cores = step.agg(F.sum(F.xxhash64("g", "core").cast("decimal(38,0)"))).first()[0]
         if cores in seen:  # no core changes, or they come round in a cycle
@@ -189,33 +212,42 @@ def estimates(rows: DataFrame) -> DataFrame:
         seen.add(cores)
     else:
         warnings.warn(f"the cores of some groups still change after {CONCENTRATIONS} steps", stacklevel=2)
-    core = rows.join(now, "g").withColumn("d2", _distance(p)).where(F.col("d2") <= REWEIGHT)
-    return stored(_inverse_root(_moments(core, p), p, 1.0).drop("core"), "mcd")
+    within = _moments(_with_estimate(rows, now, few).where(F.col("d2") <= REWEIGHT), p)
+    # a group none of whose documents is within the bound of its own estimate keeps what the steps found
+    return stored(within.withColumn("core", F.col("core")[within.schema["core"].dataType.names[0]]), "mcd")
+
+
+def shrunk(found: DataFrame, names: DataFrame) -> DataFrame:
+    """(g, m*, g*) for every group of names (g, rest): its estimate, shrunk towards that of rest, and that towards all documents'."""
+    p = len(FEATURES)
+    values = [f"m{i}" for i in range(p)] + [f"c{i}{j}" for i, j in _lower(p)]
+
+    def of(prefix: str) -> DataFrame:
+        return found.select(F.col("g").alias(f"{prefix}g"), F.col("core").alias(f"{prefix}n"), *[F.col(v).alias(f"{prefix}{v}") for v in values])
+
+    rows = names.join(of("o_"), F.col("g") == F.col("o_g"), "left").join(of("l_"), F.col("rest") == F.col("l_g"), "left")
+    rows = rows.withColumn("whole", F.lit("all")).join(of("a_"), F.col("whole") == F.col("a_g"), "left")
+    weight = lambda prefix: F.coalesce(F.col(f"{prefix}n") / (F.col(f"{prefix}n") + SHRINK), F.lit(0.0))
+
+    def mean(v: str) -> Column:
+        wide = weight("l_") * F.coalesce(f"l_{v}", F.lit(0.0)) + (1 - weight("l_")) * F.col(f"a_{v}")
+        return weight("o_") * F.coalesce(f"o_{v}", F.lit(0.0)) + (1 - weight("o_")) * wide
+
+    made = stored(rows.select("g", F.lit(0).alias("core"), *[mean(v).alias(v) for v in values]), "shrunk")
+    return stored(_inverse_root(made, p, REWEIGHT_CONSISTENCY).drop("core"), "judges")
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance)."""
     rows = stored(statistics(docs), "statistics")
-    sizes = rows.where("n_words > 0").groupBy("lang", "source").agg(F.count("*").alias("n"))
-    everything = sizes.agg(F.sum("n")).first()[0] or 0
-    own, rest, whole = F.concat(F.lit("own"), F.to_json(F.struct("lang", "source"))), F.concat(F.lit("lang"), F.to_json(F.struct("lang"))), F.lit("all")
-    wide = sizes.withColumn("m", F.sum("n").over(Window.partitionBy("lang")))
-    named = wide.select(
-        F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), rest.alias("rest"),
-        F.when(F.col("n") >= LEAST_GROUP, own).when(F.col("m") >= LEAST_GROUP, rest)
-        .when(F.lit(everything >= LEAST_GROUP), whole).alias("g"),
-    )
-    named = stored(named, "groups")
-    everyone = F.lit(not named.where(F.col("g") == whole).isEmpty())
-    # a group's documents also count for the wider groups that small ones are judged by
-    pooled = F.max(F.col("g") == F.col("rest")).over(Window.partitionBy("of_lang"))
-    parts = F.array(F.when(~F.col("g").isin("all") & (F.col("g") != F.col("rest")), F.col("g")), F.when(pooled, F.col("rest")), F.when(everyone, whole))
-    named = stored(named.select("of_lang", "of_source", "g", F.array_compact(parts).alias("parts")), "parts")
-    same = F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source"))
-    rows = rows.join(named, same, "left").drop("of_lang", "of_source")
-    found = estimates(rows.where("n_words > 0 AND g IS NOT NULL").select(F.explode("parts").alias("g"), *FEATURES))
+    own, rest = F.concat(F.lit("own"), F.to_json(F.struct("lang", "source"))), F.concat(F.lit("lang"), F.to_json(F.struct("lang")))
+    rows = rows.withColumns({"g": own, "rest": rest})
+    worded = rows.where("n_words > 0")
+    found = estimates(worded.select(F.explode(F.array("g", "rest", F.lit("all"))).alias("g"), *FEATURES))
+    judges = shrunk(found, worded.select("g", "rest").distinct())
+    few = judges.count() <= SENT_GROUPS
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    measured = rows.join(found, "g", "left").withColumn("distance", _distance(len(FEATURES)))
+    measured = rows.join(F.broadcast(judges) if few else judges, "g", "left").withColumn("distance", _distance(len(FEATURES)))
     return measured.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
