@@ -3,14 +3,16 @@
 Documents are tokenized once and kept as packed ids. Whole windows of long documents stand alone;
 the lengths of what remains are counted over all documents in bins. Shallow combinations of bins
 that fill the window (up to three) form the columns of a matrix, and non-negative least squares
-finds how often each combination should be used to meet the histogram. Each task rounds its share
+finds how often each combination should be used to meet the histogram; a combination is cut to what the
+histogram has of its lengths, and what that leaves is planned again (PLAN_ROUNDS). Each task rounds its share
 of these counts, fills windows with its own documents accordingly, and packs the residual greedily:
 residual documents, cut where needed, fill the small gaps that binning leaves and then windows of
 their own. What is left at the end of a task's chunk is cut into runs of powers of two, which need
 no padding.
 
-Defined results: a null text is an empty one, so a document of the end id alone; a null doc_id is
-kept; repeated rows are packed each; an empty table gives no pieces; other columns are ignored.
+Defined results: a null text is an empty one, so a document of the end id alone; a text of any length is packed
+whole; a null doc_id is kept; repeated rows are packed each, and documents of equal length are taken in the order
+in which they lie; an empty table gives no pieces; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm._support import ship, stored
+from quillstream.llm._support import named, ship, stored
 from quillstream.llm.tokens import crc_of, encoder, load_definition
 
-BIN = 64
+BIN, PLAN_ROUNDS = 64, 8
 #: A task packs chunks of so many ids, so that memory is bounded; only a chunk's last ids lie in short runs.
 CHUNK_IDS = 8_000_000
 
@@ -85,7 +87,17 @@ def plan_rates(histogram: dict[int, int], window: int, bin_width: int = BIN) ->
     h = np.array([histogram.get(b, 0) for b in range(1, bins + 1)], dtype=float)
     scale = max(1.0, h.max(initial=0))
     a = combinations(bins)
-    x = nnls(a, h / scale) * scale
+    x, left = np.zeros(a.shape[1]), h.copy()
+    for _ in range(PLAN_ROUNDS):
+        more = nnls(a, left / scale) * scale
+        # least squares may ask for more of a length than there are: each combination is cut to what all its lengths allow
+        used = a @ more
+        allowed = np.where(used > left, left / np.maximum(used, 1e-300), 1.0)
+        more *= np.where(a > 0, allowed[:, None], 1.0).min(axis=0)
+        x += more
+        left = np.maximum(left - a @ more, 0)
+        if more.sum() < 0.5:
+            break
     out = []
     for j in np.flatnonzero(x > 1e-9):
         sizes = [b + 1 for b in range(bins) for _ in range(int(a[b, j]))]
@@ -177,7 +189,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                 names=["doc_id", "n", "ids"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(named(docs, "doc_id").cast("long").alias("doc_id"), named(docs, "text").alias("text"))
     return stored(rows.mapInArrow(run, "doc_id long, n long, ids binary"), "encoded")
 
 
