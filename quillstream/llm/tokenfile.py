@@ -5,14 +5,19 @@ one segment: document ids and a payload of bytes laid out as below. Segments fol
 ascending document order, so the payloads side by side are one concatenated id array.
 
 Payload, little-endian:
-  4s magic "QSEF", u2 version, u2 bytes of an id, u4 documents n, u8 ids u, u1 low bits l, 7 bytes zero
-  samples: u4 position of every SAMPLE-th set bit of the upper part, ceil(n / SAMPLE) of them
-  lower part: n numbers of l bits;  upper part: n + (u >> l) + 1 bits;  ids
-The boundaries are the running totals of document lengths: about 2 + log2(u / n) bits a document.
-
-Defined results: a null text is an empty one; a null doc_id sorts first and is kept; rows that
-repeat a doc_id stand in the order of their texts; an empty table gives no segments; other columns
-are ignored.
+  4s magic "QSEF", u2 version, u2 bytes of an id, u4 documents n, u4 documents without a doc_id (they come first),
+  u8 ids u, i8 first doc_id, u8 last doc_id less the first, 8 bytes zero
+  boundaries, then doc_ids less the first (of the documents that have one), each an Elias-Fano sequence of n
+  numbers up to u with l = max(0, floor(log2(u / n))) low bits:
+    samples: u4 position of every SAMPLE-th set bit of the upper part, ceil(n / SAMPLE) of them
+    lower part: n numbers of l bits;  upper part: n + (u >> l) + 1 bits
+  ids
+The boundaries are the running totals of document lengths: about 2 + log2(u / n) bits a document, and so are
+the doc_ids; starts and doc_ids are read by select.
+
+Defined results: a null text is an empty one; texts of any length are encoded whole; a null doc_id sorts first
+and is kept; rows that repeat a doc_id stand in the order of a hash of their texts, equal texts in any; an
+empty table gives no segments; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm._support import fresh_path, ship
+from quillstream.llm._support import fresh_path, named, ship
 from quillstream.llm.tokens import crc_of, encoder, load_definition
 
-MAGIC, VERSION, SAMPLE = b"QSEF", 1, 256
-HEADER = struct.Struct("<4sHHIQB7x")
+MAGIC, VERSION, SAMPLE = b"QSEF", 2, 256
+HEADER = struct.Struct("<4sHHIIQqQ8x")
 #: A segment ends with the document that fills it.
 SEGMENT_IDS = 1 << 20
-SEGMENT_SCHEMA = "part int, seq int, base long, n_docs int, n_ids long, doc_ids array<bigint>, payload binary"
+SEGMENT_SCHEMA = "part int, seq int, base long, n_docs int, n_ids long, payload binary"
 
 
 def _padded(bits: np.ndarray) -> bytes:
@@ -48,7 +53,7 @@ class EliasFano:
     @classmethod
     def of(cls, values: np.ndarray, u: int) -> "EliasFano":
         n = len(values)
-        low_bits = max(0, int(u // n).bit_length() - 1) if n else 0
+        low_bits = cls.low_bits_of(n, u)
         values = values.astype(np.uint64)
         lower = b""
         if low_bits:
@@ -59,6 +64,21 @@ class EliasFano:
         upper[ones] = 1
         return cls(n, u, low_bits, ones[::SAMPLE].astype("<u4"), lower, _padded(upper))
 
+    @staticmethod
+    def low_bits_of(n: int, u: int) -> int:
+        return max(0, int(u // n).bit_length() - 1) if n else 0
+
+    @classmethod
+    def read(cls, raw: bytes, at: int, n: int, u: int) -> "tuple[EliasFano, int]":
+        """The sequence at a place in raw, and where it ends."""
+        low_bits = cls.low_bits_of(n, u)
+        a, b, c = cls.sizes(n, u, low_bits)
+        samples = np.frombuffer(raw, "<u4", a // 4, at)
+        return cls(n, u, low_bits, samples, raw[at + a : at + a + b], raw[at + a + b : at + a + b + c]), at + a + b + c
+
+    def tobytes(self) -> bytes:
+        return self.samples.tobytes() + self.lower + self.upper
+
     @staticmethod
     def sizes(n: int, u: int, low_bits: int) -> tuple[int, int, int]:
         """Bytes of samples, lower part and upper part."""
@@ -100,30 +120,37 @@ class Segment:
     """A payload read back: boundaries by select, ids without a copy."""
 
     def __init__(self, payload: bytes):
-        magic, version, width, n, u, low_bits = HEADER.unpack_from(payload)
+        magic, version, width, n, self.nulls, u, self.first, reach = HEADER.unpack_from(payload)
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a token segment")
-        a, b, c = EliasFano.sizes(n, u, low_bits)
-        at = HEADER.size
-        samples = np.frombuffer(payload, "<u4", a // 4, at)
-        self.ends = EliasFano(n, u, low_bits, samples, payload[at + a : at + a + b], payload[at + a + b : at + a + b + c])
+        self.ends, at = EliasFano.read(payload, HEADER.size, n, u)
+        self.numbers, at = EliasFano.read(payload, at, n - self.nulls, reach)
         self.dtype = np.dtype(f"<u{width}")
-        self.ids = np.frombuffer(payload, self.dtype, u, at + a + b + c)
+        self.ids = np.frombuffer(payload, self.dtype, u, at)
 
     def __len__(self) -> int:
         return self.ends.n
 
+    def start(self, i: int) -> int:
+        return self.ends.select(i - 1) if i else 0
+
     def document(self, i: int) -> np.ndarray:
-        start = self.ends.select(i - 1) if i else 0
-        return self.ids[start : self.ends.select(i)]
+        return self.ids[self.start(i) : self.ends.select(i)]
+
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self.nulls else self.first + self.numbers.select(i - self.nulls)
 
 
-def encode_segment(lengths: np.ndarray, packed: list[bytes], width: int) -> bytes:
+def encode_segment(lengths: np.ndarray, packed: list[bytes], width: int, doc_ids: list[int | None]) -> bytes:
+    """doc_ids ascend, nulls first."""
     ends = np.cumsum(lengths)
     u = int(ends[-1]) if len(ends) else 0
-    ef = EliasFano.of(ends, u)
-    head = HEADER.pack(MAGIC, VERSION, width, ef.n, u, ef.low_bits)
-    return b"".join([head, ef.samples.tobytes(), ef.lower, ef.upper, *packed])
+    known = [d for d in doc_ids if d is not None]
+    first = known[0] if known else 0
+    reach = known[-1] - first if known else 0
+    numbers = EliasFano.of(np.array([d - first for d in known], dtype=np.uint64), reach)
+    head = HEADER.pack(MAGIC, VERSION, width, len(doc_ids), len(doc_ids) - len(known), u, first, reach)
+    return b"".join([head, EliasFano.of(ends, u).tobytes(), numbers.tobytes(), *packed])
 
 
 def write_token_file(
@@ -150,9 +177,9 @@ def write_token_file(
         held = 0
 
         def flush() -> pa.RecordBatch:
-            cells = [[part], [seq], [base], [len(ids)], [held], [ids], [encode_segment(np.array(lengths), packed, width)]]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-            names = ["part", "seq", "base", "n_docs", "n_ids", "doc_ids", "payload"]
+            cells = [[part], [seq], [base], [len(ids)], [held], [encode_segment(np.array(lengths), packed, width, ids)]]
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+            names = ["part", "seq", "base", "n_docs", "n_ids", "payload"]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types, strict=True)], names=names)
 
         for batch in batches:
@@ -168,8 +195,9 @@ def write_token_file(
         if ids:
             yield flush()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(named(docs, id_col).cast("long").alias("doc_id"), named(docs, text_col).alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("text"))  # deals out the rows of a repeated id
+    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
     ordered.mapInArrow(run, SEGMENT_SCHEMA).write.parquet(path)
 
 
@@ -186,22 +214,21 @@ def read_token_file(spark, path: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 segment = Segment(row["payload"])
-                ends = segment.ends.all()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 raw = memoryview(segment.ids).cast("B")
                 w = segment.dtype.itemsize
-                crc = [crc_of(raw[s * w : e * w], segment.dtype) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                bounds = np.array([segment.start(i) for i in range(len(segment) + 1)])
+                crc = [crc_of(raw[s * w : e * w], segment.dtype) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(row["doc_ids"], pa.int64()),
-                        pa.array(starts + base_of[row["part"]] + row["base"]),
-                        pa.array(ends - starts),
+                        pa.array([segment.doc_id(i) for i in range(len(segment))], pa.int64()),
+                        pa.array(bounds[:-1] + base_of[row["part"]] + row["base"]),
+                        pa.array(np.diff(bounds)),
                         pa.array(crc, pa.int64()),
                     ],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return segments.select("part", "base", "doc_ids", "payload").mapInArrow(
+    return segments.select("part", "base", "payload").mapInArrow(
         run, "doc_id long, start long, n_tokens long, ids_crc32 long"
     )
 
