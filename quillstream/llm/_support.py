@@ -183,3 +183,27 @@ def running_most(values: Column, block: int = 64) -> Column:
         )
 
     return bind(values, with_values)
+
+
+def cut_at(text: Column, spans: Column, block: int = 256) -> Column:
+    """array of the texts of spans (start, end), which ascend without overlaps.
+
+    The text is cut into the reaches of blocks of spans first, so that no piece is sought from the start of a long text.
+    """
+
+    def cut(of: Column, start: Column, end: Column) -> Column:
+        return F.substring(of, (start + 1).cast("int"), (end - start).cast("int"))
+
+    def with_spans(s: Column) -> Column:
+        def of_block(own: Column) -> Column:
+            base = F.get(own, F.lit(0))["start"]
+            return bind(
+                cut(text, base, F.element_at(own, -1)["end"]),
+                lambda t: F.transform(own, lambda x: cut(t, x["start"] - base, x["end"] - base)),
+            )
+
+        blocks = F.sequence(F.lit(0), F.floor((F.size(s) - 1) / block).cast("int"))
+        each = F.transform(blocks, lambda b: bind(F.slice(s, b * block + 1, F.lit(block)), of_block))
+        return F.when(F.size(s) == 0, F.array().cast("array<string>")).otherwise(F.flatten(each))
+
+    return bind(spans, with_spans)

@@ -10,8 +10,9 @@ Template: each turn is  <|role|>text</s> . In texts a backslash follows every "<
 inside one; removing those backslashes gives the text back exactly.
 
 Defined results: a null text or role is empty; a null conversation id is a conversation of its own;
-rows that repeat a turn follow each other in order of role and text; a null turn comes first; an
-empty table gives no conversations; other columns are ignored.
+rows that repeat a turn follow each other in order of role and text; a null turn comes first; branches that
+tie in score rank by leaf; texts and conversations of any length are formatted whole, in time about linear in
+their length; an empty table gives no conversations; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstream.llm._support import bind, prefix_sums, stored
+from quillstream.llm._support import bind, cut_at, prefix_sums, stored
 
 END, OPEN, CLOSE = "</s>", "<|", "|>"
 
@@ -147,12 +148,8 @@ def digest(formatted: DataFrame) -> DataFrame:
     turns = parse_turns(F.col("text"))
     joined = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
 
-    def under_mask(text: Column) -> Column:
-        return F.array_join(
-            F.transform("loss", lambda s: unescaped(F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), ""
-        )
-
-    read = formatted.select("tree", "text", F.size(turns).cast("long").alias("n_turns"), joined.alias("joined"), under_mask(F.col("text")).alias("learned"))
+    learned = F.array_join(F.transform(cut_at(F.col("text"), F.col("loss")), unescaped), "")
+    read = formatted.select("tree", "text", F.size(turns).cast("long").alias("n_turns"), joined.alias("joined"), learned.alias("learned"))
     return read.select(
         F.when(F.col("tree") != "", F.col("tree").cast("long")).alias("conv_id"),
         "n_turns",
@@ -180,8 +177,8 @@ WITH c AS (
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), g AS (
   SELECT conv_id, count(*) AS n_turns,
-    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS joined,
-    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS learned,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS joined,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS learned,
     sum(length(role) + length(text) + 8
         + length(role) - length(replace(replace(replace(role, '<', ''), '[', ''), '|', ''))
         + length(text) - length(replace(replace(text, '<', ''), '[', ''))) AS formatted

@@ -72,7 +72,7 @@ def test_segment_gives_single_documents(spark, sf):
     want = dict(expected([(r.doc_id, r.text) for r in docs.collect()], 1))
     for row in spark.read.parquet(path).collect():
         segment = tokenfile.Segment(bytes(row.payload))
-        for i, d in enumerate(row.doc_ids):
+        for i, d in enumerate(segment.doc_id(k) for k in range(len(segment))):
             assert segment.document(i).tolist() == want[d]
 
 
@@ -130,3 +130,26 @@ def test_combinations_fill_the_window():
     a = packing.combinations(64)
     assert (a.T @ np.arange(1, 65) == 64).all() and a.sum(0).max() == 3
     assert a.shape[1] == 1 + 32 + 341
+
+
+def test_the_plan_asks_for_no_more_than_there_is():
+    rng = np.random.default_rng(8)
+    for histogram in ({b: int(n) for b, n in enumerate(rng.integers(0, 400, 64), 1)}, {1: 5000, 2: 10, 60: 3}, {32: 7}, {5: 1}, {}):
+        used = np.zeros(65)
+        for sizes, times in packing.plan_rates(histogram, 4096):
+            assert sum(sizes) == 64 and times > 0
+            for s in sizes:
+                used[s] += times
+        assert all(used[b] <= histogram.get(b, 0) * (1 + 1e-9) + 1e-6 for b in range(1, 65))
+    full = {b: 100 for b in range(1, 65)}
+    planned = sum(len(sizes) * times for sizes, times in packing.plan_rates(full, 4096))
+    assert planned > 0.9 * 6400
+
+
+def test_doc_ids_of_any_kind_come_back_by_select():
+    ids = [None, None, -(2**63), -5, -5, 0, 7, 2**62, 2**63 - 1]
+    lengths = np.arange(1, len(ids) + 1)
+    packed = [np.full(n, n, dtype="<u2").tobytes() for n in lengths]
+    segment = tokenfile.Segment(tokenfile.encode_segment(lengths, packed, 2, ids))
+    assert [segment.doc_id(i) for i in range(len(ids))] == ids
+    assert [segment.document(i).tolist() for i in range(len(ids))] == [[n] * n for n in lengths.tolist()]
