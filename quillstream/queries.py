@@ -6,6 +6,7 @@ of transactions differs from that of positions.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,10 +14,17 @@ from pyspark.sql import functions as F
 
 from quillstream.functions.serde import merge_by_schema
 from quillstream.functions.upcast import Registry, Upcaster, dropped, query_events, renamed
-from quillstream.model import EventFilter, EventQuery, EventReference, FilterItem, StreamId, Tags
+from quillstream.model import (
+    AppendCriteria, EphemeralEvent, EventFilter, EventQuery, EventReference, FilterItem, OptimisticLockingError, StreamId, Tags,
+)
 from quillstream.operators import analytics as A
 from quillstream.plans import predicates as P
 from quillstream.plans import reader as R
+from quillstream.sources import jsonio
+from quillstream.sources.store import EventLedger
+from quillstream.streaming.projector import Projection, Projector
+from quillstream.streaming.source import into_table, project, read_stream, read_table
+from quillstream.workspace import fresh_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -339,21 +347,170 @@ add(
 )
 
 
-def page_boundaries(s: SparkSession, d: str, size: int = 500, pages: int = 4) -> DataFrame:
-    """The first keyset pages of a query: each page's top-k after the last row of the one before."""
-    log, query, cursor, out = log_view(s, d), Q.for_events(["click"]), None, []
-    for page in range(1, pages + 1):
-        rows_of = R.query_log(log, query.limited(size), cursor=cursor)
-        last = rows_of.agg(F.count("*").alias("n"), F.max(F.struct("tx", "position")).alias("r")).first()
-        if not last["n"]:
-            break
-        out.append((page, last["n"], last["r"]["tx"], last["r"]["position"]))
-        cursor = ref(last["r"]["tx"], last["r"]["position"])
-    return s.createDataFrame(out, "page long, n long, tx long, position long")
+def page_boundaries(s: SparkSession, d: str, size: int = 500, rows_of_a_range: int = 100_000) -> DataFrame:
+    """Every keyset page of a query: its rows, and the reference after which the next one begins.
+
+    Rows are numbered inside ranges of tx and shifted by the sizes of the ranges before, so no task sees them all.
+    """
+    clicks = R.select_events(log_view(s, d), Q.for_events(["click"]), StreamId.any(), None).select("tx", "position")
+    low, high, n = clicks.agg(F.min("tx"), F.max("tx"), F.count("*")).first()
+    wide = max(1, (high - low + 1) * rows_of_a_range // n) if n else 1
+    ranged = clicks.withColumn("range", F.floor((F.col("tx") - (low or 0)) / wide))
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("own"))
+    before = sizes.select("range", (F.sum("own").over(Window.orderBy("range")) - F.col("own")).alias("before"))  # a row a range
+    nth = F.row_number().over(Window.partitionBy("range").orderBy("tx", "position")) + F.col("before")
+    paged = ranged.join(before, "range").select(F.floor((nth - 1) / size + 1).alias("page"), "tx", "position")
+    pages = paged.groupBy("page").agg(F.count("*").alias("n"), F.max(F.struct("tx", "position")).alias("r"))
+    return pages.select("page", "n", "r.tx", "r.position")
 
 
 add(
     "page_boundaries", page_boundaries,
     """, c AS (SELECT tx, position, (row_number() OVER (ORDER BY tx, position) - 1) // 500 + 1 AS page FROM log WHERE event_type = 'click')
-SELECT page, count(*) AS n, max(tx * 1000000000 + position) // 1000000000 AS tx, max(tx * 1000000000 + position) % 1000000000 AS position FROM c WHERE page <= 4 GROUP BY 1""",
+SELECT page, count(*) AS n, max(tx * 1000000000 + position) // 1000000000 AS tx, max(tx * 1000000000 + position) % 1000000000 AS position FROM c GROUP BY 1""",
+)
+
+
+# ---- through the store: what is written is read back ----------------------------------------
+
+TYPES = ("click", "error", "purchase", "signup", "view")
+STORED = "position, 1 AS tx, event_type, stream_context || '#' || stream_purpose AS stream, array_to_string(event_tags, ',') AS tags"
+
+
+def ledger_of(spark: SparkSession, sf: str) -> EventLedger:
+    """A new ledger in the shared folder that holds the whole events table as its first version."""
+    ledger = EventLedger(spark, fresh_folder(spark, "ledger"))
+    ledger.import_events(log_view(spark, sf).drop("value"))
+    return ledger
+
+
+def written(name: str, query: Callable[[EventLedger], DataFrame], sql: str) -> None:
+    add(name, lambda spark, sf: query(ledger_of(spark, sf)), sql)
+
+
+written("ledger_import", lambda ledger: rows(ledger.snapshot()), f"SELECT {STORED} FROM log")
+
+
+def _compacted(ledger: EventLedger) -> DataFrame:
+    ledger.stream(StreamId(SHOP, "u1"), Registry().event("click")).append(EphemeralEvent("click", {"k": 1}, Tags.of("user:0")))
+    ledger.compact()
+    return rows(ledger.snapshot().withColumn("event_type", F.when(F.col("tx") > 1, "appended").otherwise(F.col("event_type"))))
+
+
+written(
+    "ledger_append_compact", _compacted,
+    f"SELECT {STORED} FROM log UNION ALL SELECT (SELECT max(position) FROM log) + 1, 2, 'appended', 'shop#u1', 'user:0'",
 )
+
+
+def _erased(ledger: EventLedger) -> DataFrame:
+    ledger.erase(F.array_contains("event_tags", "big"), None)
+    return ledger.snapshot().select("position", F.get_json_object("event_erasable_data", "$.note").alias("note"))
+
+
+written("ledger_erase", _erased, "SELECT position, CASE WHEN NOT list_contains(event_tags, 'big') THEN note END AS note FROM log")
+
+
+def _conflicts(ledger: EventLedger) -> DataFrame:
+    """For each type: whether an append that expects nothing newer than the log's middle is refused, and whether one that knows all is."""
+    log = ledger.snapshot()
+    half = log.agg((F.max("position") / 2).cast("long")).first()[0]
+    last = {r["event_type"]: r["p"] for r in log.groupBy("event_type").agg(F.max("position").alias("p")).collect()}  # a row a type
+    out = []
+    for kind, position in sorted(last.items()):
+        refused = []
+        for known in (half, position):
+            watched = AppendCriteria.of(EventFilter.for_events([kind]), EventReference("x", known, 1))
+            try:
+                ledger.append(watched, StreamId.any(), [])
+                refused.append(False)
+            except OptimisticLockingError:
+                refused.append(True)
+        out.append((kind, *refused))
+    return ledger.spark.createDataFrame(out, "event_type string, behind boolean, up_to_date boolean")
+
+
+written(
+    "ledger_conflicts", _conflicts,
+    """SELECT event_type, max(position) > (SELECT CAST(floor(max(position) / 2) AS BIGINT) FROM log) AS behind, false AS up_to_date FROM log GROUP BY 1""",
+)
+
+
+def _bookmarked(ledger: EventLedger) -> DataFrame:
+    """A bookmark for each stream at its newest event, one of them moved back to the oldest and one taken away."""
+    ends = ledger.snapshot().groupBy("stream_context", "stream_purpose").agg(
+        F.min(F.struct("position", "event_id")).alias("low"), F.max(F.struct("position", "event_id")).alias("high")
+    )
+    for r in sorted(ends.collect()):  # a row a stream
+        reader = f"{r['stream_context']}#{r['stream_purpose']}"
+        ledger.place_bookmark(reader, EventReference(r["high"]["event_id"], r["high"]["position"], 1), Tags.of("kind:newest"))
+        if reader == "shop#u0":
+            ledger.place_bookmark(reader, EventReference(r["low"]["event_id"], r["low"]["position"], 1), Tags.of("kind:oldest"))
+        if reader == "shop#u1":
+            ledger.remove_bookmark(reader)
+    return ledger.bookmarks_table().select("reader", "position", "event_id", F.array_join("tags", ",").alias("tags"))
+
+
+written(
+    "ledger_bookmarks", _bookmarked,
+    """, b AS (SELECT stream_context || '#' || stream_purpose AS reader, min(position) AS low, max(position) AS high FROM log GROUP BY 1)
+SELECT reader, CASE WHEN reader = 'shop#u0' THEN low ELSE high END AS position, CAST(CASE WHEN reader = 'shop#u0' THEN low ELSE high END - 1 AS VARCHAR) AS event_id,
+  CASE WHEN reader = 'shop#u0' THEN 'kind:oldest' ELSE 'kind:newest' END AS tags FROM b WHERE reader <> 'shop#u1'""",
+)
+
+
+class _Totals(Projection):
+    def __init__(self, kinds: tuple[str, ...]):
+        self.kinds, self.n, self.last = kinds, Counter(), {}
+
+    def query(self) -> EventQuery:
+        return Q.for_events(list(self.kinds))
+
+    def when(self, event) -> None:
+        self.n[event.type] += 1
+        self.last[event.type] = event.reference.position
+
+
+def _projected(ledger: EventLedger) -> DataFrame:
+    """A bookmarked projection run twice: the second run finds nothing new."""
+    registry = Registry()
+    for kind in TYPES:
+        registry.event(kind)
+    stream, totals = ledger.stream(StreamId.any(), registry), _Totals(("purchase", "error"))
+    for _ in range(2):
+        Projector(stream, totals, batch_size=20_000, bookmark="totals").run()
+    reached = ledger.bookmark("totals").position
+    found = [(k, n, totals.last[k], reached) for k, n in sorted(totals.n.items())]
+    return ledger.spark.createDataFrame(found, "event_type string, n long, last long, bookmark long")
+
+
+written(
+    "ledger_projection", _projected,
+    """, p AS (SELECT * FROM log WHERE event_type IN ('purchase', 'error'))
+SELECT event_type, count(*) AS n, max(position) AS last, (SELECT max(position) FROM p) AS bookmark FROM p GROUP BY 1""",
+)
+
+
+def _streamed(ledger: EventLedger) -> DataFrame:
+    """Structured Streaming over the ledger into a table; the erasure before it has replaced the files of the first version."""
+    ledger.erase(F.lit(False))
+    out = fresh_folder(ledger.spark, "streamed")
+    project(read_stream(ledger), fresh_folder(ledger.spark, "offsets"), into_table(out)).awaitTermination()
+    return rows(read_table(ledger.spark, out))
+
+
+written("ledger_stream", _streamed, f"SELECT {STORED} FROM log")
+
+
+def exported(spark: SparkSession, sf: str) -> DataFrame:
+    """JSON documents written by the executors and read back."""
+    folder = fresh_folder(spark, "documents")
+    jsonio.write_events(ledger_of(spark, sf).snapshot(), folder)
+    back = jsonio.read_events_lines(spark, folder)
+    return back.select(
+        "position", "tx", "event_type", F.concat_ws("#", "stream_context", "stream_purpose").alias("stream"),
+        F.array_join("event_tags", ",").alias("tags"), F.get_json_object("event_erasable_data", "$.note").alias("note"),
+    )
+
+
+add("json_round_trip", exported, f"SELECT {STORED}, note FROM log")

@@ -34,16 +34,13 @@ def _tag_objects(texts: Column) -> Column:
     return F.transform(texts, one)
 
 
-def read_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of the log from a folder of event documents; payloads stay JSON text, order is not kept.
-
-    Sort by (tx, position, index) where order matters.
-    """
+def read_events(spark: SparkSession, folder: str, ordered: bool = True) -> DataFrame:
+    """Rows of the log from a folder of event documents, in the log's order unless that is not asked for; payloads stay JSON text."""
     raw = spark.read.text(f"{folder.rstrip('/')}/*.json", wholetext=True)
     field = lambda path: F.get_json_object("value", path)
     reference = F.from_json(field("$.reference"), REFERENCE)
     rows = raw.select(reference.alias("r"), "value")
-    return rows.select(
+    rows = rows.select(
         F.col("r.position").alias("position"), F.col("r.tx").alias("tx"), F.col("r.id").alias("event_id"),
         field("$.idempotencyKey").alias("idempotency_key"),
         field("$.stream.context").alias("stream_context"), field("$.stream.purpose").alias("stream_purpose"),
@@ -52,6 +49,7 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
         _tag_texts(F.from_json(field("$.tags"), TAGS)).alias("event_tags"),
         F.coalesce("r.index", F.lit(0)).alias("index"),
     )
+    return rows.orderBy("tx", "position", "index") if ordered else rows
 
 
 def event_json(index: Column | None = None) -> Column:
@@ -74,10 +72,16 @@ def event_json(index: Column | None = None) -> Column:
     return F.concat(F.substring(head, F.lit(1), F.length(head) - 1), body, erasable, F.lit("}"))
 
 
+def _padded(number: str, size: int) -> Column:
+    """A number's digits, with zeros in front up to a size; longer ones stay whole."""
+    digits = F.col(number).cast("string")
+    return F.when(F.length(digits) >= size, digits).otherwise(F.lpad(digits, size, "0"))
+
+
 def file_name() -> Column:
     """tx(10)-position(5)-index-timestamp.json"""
     return F.concat_ws(
-        "-", F.lpad(F.col("tx").cast("string"), 10, "0"), F.lpad(F.col("position").cast("string"), 5, "0"), F.lit("0"),
+        "-", _padded("tx", 10), _padded("position", 5), F.lit("0"),
         F.date_format("event_timestamp", "yyyy-MM-dd-HH-mm-ss-SSSS"),
     )
 
@@ -88,11 +92,11 @@ def write_events(events: DataFrame, folder: str) -> None:
 
 
 def write_event_files(events: DataFrame, folder: str) -> int:
-    """Export of a small log to a local folder, one file an event, as the file-based store keeps it."""
+    """Export of a small log to a local folder, one file an event, as the file-based store keeps it; a file that exists is an error."""
     os.makedirs(folder, exist_ok=True)
     n = 0
     for row in events.select(file_name().alias("name"), event_json().alias("value")).toLocalIterator():
-        with open(os.path.join(folder, f"{row['name']}.json"), "w", encoding="utf-8") as file:
+        with open(os.path.join(folder, f"{row['name']}.json"), "x", encoding="utf-8") as file:
             file.write(row["value"])
         n += 1
     return n

@@ -15,14 +15,29 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from quillstream import schema as S
 from quillstream.sources.commit_log import CommitLog, LocalFiles, files_of
-from quillstream.sources.store import EventLedger
+from quillstream.model import LedgerError
+from quillstream.sources.store import ARROW_EVENTS, EventLedger
+from quillstream.workspace import ship_package
 
 FORMAT = "quillstream"
 
 
 class Files(InputPartition):
-    def __init__(self, names: list[str]):
-        self.names = names
+    """Files to read; where only some versions of a rewritten file are asked for, their range."""
+
+    def __init__(self, names: list[str], after: int | None = None, to: int | None = None):
+        self.names, self.after, self.to = names, after, to
+
+
+def _runs(numbers: list[int]) -> list[tuple[int, int]]:
+    """Ascending numbers as ranges without gaps."""
+    out: list[tuple[int, int]] = []
+    for n in numbers:
+        if out and n == out[-1][1] + 1:
+            out[-1] = (out[-1][0], n)
+        else:
+            out.append((n, n))
+    return out
 
 
 class LogReader(DataSourceStreamReader):
@@ -48,15 +63,27 @@ class LogReader(DataSourceStreamReader):
         return {"version": self._given}
 
     def partitions(self, start: dict, end: dict) -> list[Files]:
-        added = [c for c in self._commits().commits(start["version"], end["version"]) if not c.replaces]
-        names = [self._log.files.path(n) for c in added for n in c.files]
+        log = self._commits()
+        added = [c for c in log.commits(start["version"], end["version"]) if not c.replaces]
+        kept = [c for c in added if all(log.files.exists(n) for n in c.files)]
+        names = [log.files.path(n) for c in kept for n in c.files]
         size = max(1, -(-len(names) // 64))
-        return [Files(names[i : i + size]) for i in range(0, len(names), size)] or [Files([])]
+        parts = [Files(names[i : i + size]) for i in range(0, len(names), size)]
+        gone = [c.version for c in added if c not in kept]
+        # erasure has put other files in place of these: their rows are read from the present snapshot, version by version
+        live = [log.files.path(n) for n in log.live_files()]
+        for first, last in _runs(gone):
+            parts.append(Files(live, first - 1, last))
+        return parts or [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         if partition.names:
-            for batch in ds.dataset(partition.names, format="parquet").to_batches():
-                yield batch
+            tx = ds.field("tx")
+            rows = None if partition.after is None else (tx > partition.after) & (tx <= partition.to)
+            for name in partition.names:
+                for batch in ds.dataset(name, format="parquet").to_batches(filter=rows):
+                    if batch.num_rows:  # files that Spark wrote have times in nanoseconds
+                        yield from pa.Table.from_batches([batch]).select(ARROW_EVENTS.names).cast(ARROW_EVENTS, safe=False).to_batches()
 
     def __getstate__(self):
         return {"base": self.base, "start": self.start, "max_commits": self.max_commits, "_log": None, "_given": self._given}
@@ -77,9 +104,11 @@ class LogSource(DataSource):
 
 
 def read_stream(store: EventLedger, start_version: int = 0, max_commits: int = 0) -> DataFrame:
-    """An unbounded DataFrame of a local store's log; other stores stream with Spark's own file source."""
+    """An unbounded DataFrame of a store's log, on a folder that driver and executors share."""
     if not isinstance(store.files, LocalFiles):
-        return store.spark.readStream.schema(S.EVENTS).parquet(store.files.path("data"))
+        # the raw data folder would also give uncommitted files, and rows again after a compaction
+        raise LedgerError(f"{store.base} cannot be streamed: its commit entries are out of reach of the source")
+    ship_package(store.spark)
     store.spark.dataSource.register(LogSource)
     reader = store.spark.readStream.format(FORMAT).option("path", store.base)
     return reader.option("startversion", str(start_version)).option("maxcommits", str(max_commits)).load()

@@ -1,10 +1,12 @@
 import json
 import threading
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstream import schema as S
 from quillstream.functions.serde import erasable, merge
 from quillstream.functions.upcast import PythonUpcaster, RegistrationError, Registry, Upcaster, dropped, renamed
 from quillstream.model import (
@@ -486,3 +488,107 @@ def test_json_bookmarks(spark, store, tmp_path):
     assert rows["my reader/1"].tags == [":x", "k:v", "y"] and rows["old"].tags == [] and rows["old"].updated_at.year == 1970
     jsonio.delete_bookmark(str(tmp_path / "b"), "old")
     assert jsonio.read_bookmarks(spark, str(tmp_path / "b")).count() == 1
+
+
+def test_a_stream_survives_erasure_and_compaction(spark, tmp_path):
+    """Versions whose files are gone come from the snapshot, each once, whether a stream has seen some of them or not."""
+    from quillstream.streaming.source import into_table, project, read_stream, read_table
+
+    ledger = EventLedger(spark, str(tmp_path / "log"))
+    stream = ledger.stream(StreamId("app", "domain"), Registry().event("First"))
+    out, offsets = str(tmp_path / "out"), str(tmp_path / "offsets")
+
+    def go():
+        project(read_stream(ledger), offsets, into_table(out)).awaitTermination()
+        return sorted(r.position for r in read_table(spark, out).collect())
+
+    for i in range(4):
+        stream.append(EphemeralEvent("First", {"n": i}))
+    assert go() == [1, 2, 3, 4]
+    stream.append(EphemeralEvent("First", {"n": 4}))
+    ledger.compact()
+    stream.append(EphemeralEvent("First", {"n": 5}))
+    ledger.erase(F.lit(True))
+    stream.append(EphemeralEvent("First", {"n": 6}))
+    assert go() == [1, 2, 3, 4, 5, 6, 7]
+    fresh = str(tmp_path / "fresh")
+    project(read_stream(ledger), str(tmp_path / "fresh-offsets"), into_table(fresh)).awaitTermination()
+    assert sorted(r.position for r in read_table(spark, fresh).collect()) == [1, 2, 3, 4, 5, 6, 7]
+
+
+def test_long_numbers_keep_files_apart(spark, tmp_path):
+    import os
+
+    from quillstream.sources import jsonio
+
+    rows = [(p, t, f"e{p}", None, "a", "b", "First", datetime(2024, 1, 1, tzinfo=timezone.utc), "{}", None, []) for p, t in
+            [(99_999, 1), (100_000, 1), (100_001, 1), (1_000_010, 1), (1, 12_345_678_901), (2, 12_345_678_902)]]
+    events = spark.createDataFrame(rows, S.EVENTS)
+    folder = str(tmp_path / "files")
+    assert jsonio.write_event_files(events, folder) == len(os.listdir(folder)) == 6
+    back = jsonio.read_events(spark, folder)
+    assert [(r.tx, r.position) for r in back.collect()] == sorted((r[1], r[0]) for r in rows)
+    with pytest.raises(FileExistsError):
+        jsonio.write_event_files(events, folder)
+
+
+def test_another_process_is_heard(spark, tmp_path):
+    """Two ledgers over one folder: what one commits, the other's listeners are told once; its own commits are not told twice."""
+    import time
+
+    one, two = (EventLedger(spark, str(tmp_path / "log")) for _ in range(2))
+    told = []
+    near = one.stream(StreamId("app", "domain"), Registry().event("First"))
+    near.on_append_eventually(lambda r: told.append(r.position))
+    one.watch(0.05)
+    far = two.stream(StreamId("app", "domain"), Registry().event("First"))
+    two.stream(StreamId("other", "x"), Registry().event("First")).append(EphemeralEvent("First", {}))
+    far.append([EphemeralEvent("First", {}), EphemeralEvent("First", {})])
+    until = time.time() + 10
+    while told != [3] and time.time() < until:
+        time.sleep(0.05)
+    near.append(EphemeralEvent("First", {}))
+    time.sleep(0.3)
+    one.close()
+    assert told == [3, 4]
+
+
+def test_strict_bookmarks_point_into_the_log(spark, tmp_path):
+    ledger = EventLedger(spark, str(tmp_path / "log"), strict_bookmarks=True)
+    (event,) = ledger.stream(StreamId("a", "b"), Registry().event("First")).append(EphemeralEvent("First", {}))
+    ledger.place_bookmark("r", event.reference)
+    with pytest.raises(LedgerError):
+        ledger.place_bookmark("r", EventReference("x", 2, 2))
+    assert ledger.bookmark("r") == event.reference
+    other = EventLedger(spark, str(tmp_path / "log"))
+    other.place_bookmark("s", event.reference)
+    assert {b.reader for b in ledger.bookmarks()} == {"r", "s"}
+
+
+def test_pages_by_cursor_end_where_the_query_says(spark, sf):
+    from quillstream import queries as Q
+    from quillstream.model import EventQuery
+    from quillstream.plans import reader as R
+
+    for ranges in (7, 100_000):
+        pages = sorted(tuple(r) for r in Q.page_boundaries(spark, sf, size=40, rows_of_a_range=ranges).collect())
+        log, query, cursor, want = Q.log_view(spark, sf), EventQuery.for_events(["click"]), None, []
+        while True:
+            rows = sorted((r.tx, r.position) for r in R.query_log(log, query.limited(40), cursor=cursor).collect())
+            if rows:
+                want.append((len(want) + 1, len(rows), *rows[-1]))
+                cursor = EventReference("x", rows[-1][1], rows[-1][0])
+            if len(rows) < 40:
+                break
+        assert pages == want and len(want) > 2
+
+
+def test_keys_of_imported_events_are_known(spark, tmp_path):
+    ledger = EventLedger(spark, str(tmp_path / "log"))
+    row = (1, 1, "e1", "once", "a", "b", "First", datetime(2024, 1, 1, tzinfo=timezone.utc), "{}", None, [])
+    ledger.import_events(spark.createDataFrame([row], S.EVENTS))
+    stream = ledger.stream(StreamId("a", "b"), Registry().event("First"))
+    for _ in range(2):
+        assert stream.append(EphemeralEvent("First", {}, idempotency_key="once")) == []
+        ledger.compact()
+    assert len(stream.append(EphemeralEvent("First", {}, idempotency_key="new"))) == 1
