@@ -6,9 +6,13 @@ counts (the radii plus one sum to distance + 1, so no pair within distance can e
 meet the index on (partition, value), are verified by Hamming distance, and connected components
 of the verified links are labelled.
 
+The number of partitions follows from the number of fingerprints (partitions_for); value counts and radii costs
+of each partition, at most 2 ** 22 values, are held on the driver and broadcast.
+
 Defined results: a null text is an empty one; texts without words have fingerprint zero and link
-to each other; a null id keeps its row, never names a component unless nothing else is in it;
-repeated rows each get a row; an empty table gives no rows; other columns are ignored.
+to each other; a text of any length is taken whole; a null id keeps its row, never names a component unless
+nothing else is in it; repeated rows each get a row, and texts that tie in their fingerprint are one node; an
+empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm._support import ship, stored
+from quillstream.llm._support import named, ship, stored
 
 BITS = 64
 #: Index rows of one (partition, value) that a task may hold; a more frequent value is dealt out in tiles.
@@ -67,7 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
                 [batch.column(0), pa.array(prints.view(np.int64))], names=["doc", "fp"]
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    rows = docs.select(named(docs, id_col).cast("long").alias("doc"), named(docs, text_col).alias("text"))
     return rows.mapInArrow(run, "doc long, fp long")
 
 
@@ -221,14 +225,30 @@ def spanning_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return nodes[label[moved]], nodes[moved]
 
 
-def links(uniq: DataFrame, distance: int, partitions: int = 4) -> DataFrame:
+def partitions_for(total: int, distance: int) -> int:
+    """The number of partitions of least expected cost for so many evenly spread fingerprints: the more there are, the wider the keys."""
+    found = {}
+    for parts in (3, 4, 5, 6):
+        widths = [BITS // parts + (g < BITS % parts) for g in range(parts)]
+        most = max(min(distance, 2), -(-(distance + 1) // parts) - 1)
+        costs = [np.array([[len(_masks(w, r)) * (PROBE_COST + total / 2**w)] for r in range(most + 1)], dtype=np.float32) for w in widths]
+        if (most + 1) * parts >= distance + 1:
+            chosen = radii([np.zeros(1, dtype=np.int64)] * parts, costs, distance)[:, 0]
+            found[parts] = sum(float(costs[g][r, 0]) for g, r in enumerate(chosen) if r >= 0)
+    return min(found, key=lambda parts: (found[parts], parts)) if found else 4
+
+
+def links(uniq: DataFrame, distance: int, partitions: int | None = None) -> DataFrame:
     """(a, b): links between distinct fingerprints whose components are those of all pairs within distance.
 
+    partitions: by default as many as their number makes cheapest.
+
     Every partition's index row and probe rows meet on (partition, value). A value held by more
     than TILE_ROWS fingerprints is dealt to several tiles, and its probes go to each tile.
     """
     spark = uniq.sparkSession
     total = uniq.count()
+    partitions = partitions or partitions_for(total, distance)
     groups = group_bits(bit_counts(uniq), total, partitions)
     widths = [len(g) for g in groups]
     if max(widths) > 22:
@@ -344,7 +364,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, partitions: int = 4
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, partitions: int | None = None
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per row of docs.
 

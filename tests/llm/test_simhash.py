@@ -99,3 +99,8 @@ def test_key_filter_misses_no_key(spark, monkeypatch):
         real = {-7, *range(0, 30000, 3)}
         assert out.columns == ["id", "__may"] and real <= may and None not in may
         assert len(may) < len(real) + (100 if bits > 1 << 20 else 10000)
+
+
+def test_more_fingerprints_take_wider_keys():
+    chosen = [simhash.partitions_for(n, 4) for n in (1000, 300_000, 10**8, 10**10)]
+    assert chosen == sorted(chosen, reverse=True) and chosen[-1] == 3 and chosen[1] >= 4
