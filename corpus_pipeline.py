@@ -15,29 +15,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstream.llm import mixing, neardup, packing, pii, puclass
-from quillstream.llm._support import stored, table
+from quillstream.llm._support import stored, table, tidy
 from quillstream.llm.queries import tokenizer_file
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more; without any positive label all stay."""
+    tidy(spark)
     return puclass.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each near-duplicate group; rows without a doc_id stay."""
+    tidy(spark)
     return neardup.representatives(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    tidy(spark)
     return pii.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    tidy(spark)
     return mixing.sample(docs, kept=mixing.KEPT)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    tidy(spark)
     return packing.pack(docs, tokenizer_file(), end_id=2)
 
 

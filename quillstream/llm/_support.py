@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -72,6 +73,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of what finished plans hold: Spark drops shuffles and broadcasts only when the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Bits of a key filter, in bitmaps of 32,768: at most 2 MB, whatever the number of keys. More bits pay off above ten million keys.
 FILTER_BITS = 1 << 24
 
