@@ -29,14 +29,14 @@ class Files(InputPartition):
         self.names, self.after, self.to = names, after, to
 
 
-def _runs(numbers: list[int]) -> list[tuple[int, int]]:
-    """Ascending numbers as ranges without gaps."""
+def _runs(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ascending ranges, those without a gap between them joined."""
     out: list[tuple[int, int]] = []
-    for n in numbers:
-        if out and n == out[-1][1] + 1:
-            out[-1] = (out[-1][0], n)
+    for first, last in ranges:
+        if out and first == out[-1][1] + 1:
+            out[-1] = (out[-1][0], last)
         else:
-            out.append((n, n))
+            out.append((first, last))
     return out
 
 
@@ -58,21 +58,27 @@ class LogReader(DataSourceStreamReader):
         return {"version": self.start}
 
     def latestOffset(self) -> dict:
-        newest = self._commits().refresh()
-        self._given = min(newest, max(self._given, self.start) + self.max_commits) if self.max_commits else newest
+        log = self._commits()
+        newest = log.refresh()
+        if self.max_commits:
+            ahead = log.commits(max(self._given, self.start), newest)[: self.max_commits]
+            newest = ahead[-1].upto if ahead else max(self._given, self.start)
+        self._given = newest
         return {"version": self._given}
 
     def partitions(self, start: dict, end: dict) -> list[Files]:
         log = self._commits()
-        added = [c for c in log.commits(start["version"], end["version"]) if not c.replaces]
+        begin = start["version"]
+        added = [c for c in log.commits(begin, end["version"]) if not c.replaces]
         kept = [c for c in added if all(log.files.exists(n) for n in c.files)]
-        names = [log.files.path(n) for c in kept for n in c.files]
+        names = [log.files.path(n) for c in kept for n in c.files if c.version > begin]
         size = max(1, -(-len(names) // 64))
         parts = [Files(names[i : i + size]) for i in range(0, len(names), size)]
-        gone = [c.version for c in added if c not in kept]
+        # of an import that begins earlier, the transactions that are asked for
+        parts += [Files([log.files.path(n) for n in c.files], begin, c.upto) for c in kept if c.version <= begin]
         # erasure has put other files in place of these: their rows are read from the present snapshot, version by version
         live = [log.files.path(n) for n in log.live_files()]
-        for first, last in _runs(gone):
+        for first, last in _runs([(max(c.version, begin + 1), c.upto) for c in added if c not in kept]):
             parts.append(Files(live, first - 1, last))
         return parts or [Files([])]
 
@@ -104,7 +110,11 @@ class LogSource(DataSource):
 
 
 def read_stream(store: EventLedger, start_version: int = 0, max_commits: int = 0) -> DataFrame:
-    """An unbounded DataFrame of a store's log, on a folder that driver and executors share."""
+    """An unbounded DataFrame of a store's log, on a folder that driver and executors share.
+
+    A batch takes at most max_commits commits (0: all). Spark asks Python sources for one offset when a
+    trigger takes what is available now, so with a limit such a run ends after one batch; run it again for the next.
+    """
     if not isinstance(store.files, LocalFiles):
         # the raw data folder would also give uncommitted files, and rows again after a compaction
         raise LedgerError(f"{store.base} cannot be streamed: its commit entries are out of reach of the source")

@@ -1,4 +1,5 @@
 import json
+import os
 import threading
 from datetime import datetime, timezone
 
@@ -592,3 +593,86 @@ def test_keys_of_imported_events_are_known(spark, tmp_path):
         assert stream.append(EphemeralEvent("First", {}, idempotency_key="once")) == []
         ledger.compact()
     assert len(stream.append(EphemeralEvent("First", {}, idempotency_key="new"))) == 1
+
+
+def test_checkpoints_hold_what_entries_held(spark, tmp_path):
+    """A store opened from a checkpoint reads few entries and answers as one that has read them all."""
+    base = str(tmp_path / "log")
+    one = EventLedger(spark, base)
+    one.log.every = 5
+    stream = one.stream(StreamId("app", "domain"), registry())
+    refs = [stream.append(ev("First", {"v": i}, f"n:{i}", key=f"k{i}"))[0].reference for i in range(23)]
+    assert one.files.exists("_checkpoint.json") and len(one.log._seen) <= 10
+    two = EventLedger(spark, base)
+    again = two.stream(StreamId("app", "domain"), registry())
+    assert two.log.refresh() == 23 and 15 <= two.log.floor and len(two.log._seen) <= 8 and two.log.last_position() == 23
+    assert two.log.live_files() == one.log.live_files() and two.snapshot().count() == 23
+    assert two.snapshot(7).count() == 7 and [c.version for c in two.log.commits(3, 9)] == [4, 5, 6, 7, 8, 9]
+    assert [again.append(ev("First", key=f"k{i}")) for i in (0, 9, 22)] == [[], [], []]
+    for known, refused in ((refs[2], True), (refs[21], True), (refs[22], False)):  # below the checkpoint, above it, the newest
+        criteria = AppendCriteria.of(EventFilter.for_events(["First"]), known)
+        if refused:
+            with pytest.raises(OptimisticLockingError):
+                again.append(ev("Second"), criteria)
+        else:
+            assert again.append(ev("Second"), criteria)[0].reference.position == 24
+    for i in range(12):  # the first process hears of the other's versions and sets its own checkpoint
+        again.append(ev("Third", key=f"t{i}"))
+    assert stream.append(ev("Third", key="t0")) == [] and one.snapshot().count() == 36
+    assert sorted(r.position for r in one.snapshot().collect()) == list(range(1, 37))
+
+
+def test_bookmarks_from_a_checkpoint(spark, tmp_path):
+    one = EventLedger(spark, str(tmp_path / "log"))
+    one.log.every = 4
+    refs = [one.stream(StreamId("app"), registry()).append(ev("First"))[0].reference for _ in range(3)]
+    for i in range(9):
+        one.place_bookmark(f"r{i % 2}", refs[i % 3])
+    one.remove_bookmark("r1")
+    two = EventLedger(spark, str(tmp_path / "log"))
+    assert two.files.exists("_bookmarks.json") and two.bookmarks() == one.bookmarks()
+    assert two.bookmark("r0") == refs[2] and two.bookmark("r1") is None and two._bookmark_files == 10
+    two.place_bookmark("r1", refs[0])
+    assert one.bookmark("r1") == refs[0]
+    assert {(r.reader, r.position, r.event_id) for r in one.bookmarks_table().collect()} == {("r0", 3, refs[2].id), ("r1", 1, refs[0].id)}
+
+
+def test_an_import_may_keep_transactions(spark, tmp_path, sf):
+    from quillstream.queries import log_view
+    from quillstream.streaming.source import into_table, project, read_stream, read_table
+
+    rows = log_view(spark, sf).drop("value")
+    top, n = rows.agg(F.max("tx"), F.count("*")).first()
+    ledger = EventLedger(spark, str(tmp_path / "log"))
+    ledger.log.every = 3
+    mark = EventReference("0", 1, 3)
+    from quillstream.model import Bookmark
+
+    assert ledger.import_events(rows, keep_tx=True, bookmarks=[Bookmark("seeded", mark, Tags.of("a:b"), datetime.now(timezone.utc))]) == n
+    assert ledger.bookmark("seeded") == mark and ledger.log.refresh() == top
+    key = lambda r: (r.position, r.tx)
+    assert sorted(map(key, ledger.snapshot().collect())) == sorted(map(key, rows.collect()))
+    stream = ledger.stream(StreamId("shop", "u1"), Registry().event("view").event("click"))
+    middle = EventReference("x", n // 2, top // 2)
+    with pytest.raises(OptimisticLockingError):
+        stream.append(ev("view"), AppendCriteria.of(EventFilter.for_events(["view"]), middle))
+    for i in range(7):
+        got = stream.append(ev("view"))[0].reference
+        assert (got.tx, got.position) == (top + 1 + i, n + 1 + i)
+    fresh = EventLedger(spark, ledger.base)
+    assert fresh.log.refresh() == top + 7 and fresh.snapshot().count() == n + 7
+    assert [c.version for c in fresh.log.commits(top // 2, top + 2)] == [1, top + 1, top + 2]
+    out = str(tmp_path / "out")
+    running = project(read_stream(fresh, max_commits=2), str(tmp_path / "offsets"), into_table(out), available_now=False, interval="0 seconds")
+    running.processAllAvailable()
+    running.stop()
+    assert sorted(r.position for r in read_table(spark, out).collect()) == list(range(1, n + 8))
+    assert len(os.listdir(out)) >= 4  # two commits a batch, the import being one commit
+    part = str(tmp_path / "part")
+    project(read_stream(fresh, start_version=top // 2), str(tmp_path / "offsets2"), into_table(part)).awaitTermination()
+    assert read_table(spark, part).count() == rows.where(F.col("tx") > top // 2).count() + 7
+    with pytest.raises(LedgerError):
+        EventLedger(spark, str(tmp_path / "low")).import_events(rows.withColumn("tx", F.lit(0).cast("long")), keep_tx=True)
+    empty = EventLedger(spark, str(tmp_path / "none"))
+    assert empty.import_events(rows.limit(0), keep_tx=True) == 0
+    assert empty.stream(StreamId("shop", "u1"), Registry().event("view")).append(ev("view"))[0].reference.position == 1
