@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 from quillstream.functions.serde import merge_by_schema
 from quillstream.functions.upcast import Registry, Upcaster, dropped, query_events, renamed
 from quillstream.model import (
-    AppendCriteria, EphemeralEvent, EventFilter, EventQuery, EventReference, FilterItem, OptimisticLockingError, StreamId, Tags,
+    AppendCriteria, EphemeralEvent, EventFilter, EventQuery, EventReference, FilterItem, LimitExceeded, OptimisticLockingError, StreamId, Tags,
 )
 from quillstream.operators import analytics as A
 from quillstream.plans import predicates as P
 from quillstream.plans import reader as R
 from quillstream.sources import jsonio
 from quillstream.sources.store import EventLedger
-from quillstream.streaming.projector import Projection, Projector
+from quillstream.streaming.projector import Projection, ProjectionError, Projector, TableProjector, add_up, newest
 from quillstream.streaming.source import into_table, project, read_stream, read_table
 from quillstream.workspace import fresh_folder
 
@@ -374,7 +374,7 @@ SELECT page, count(*) AS n, max(tx * 1000000000 + position) // 1000000000 AS tx,
 # ---- through the store: what is written is read back ----------------------------------------
 
 TYPES = ("click", "error", "purchase", "signup", "view")
-STORED = "position, 1 AS tx, event_type, stream_context || '#' || stream_purpose AS stream, array_to_string(event_tags, ',') AS tags"
+STORED = "position, CAST(1 AS BIGINT) AS tx, event_type, stream_context || '#' || stream_purpose AS stream, array_to_string(event_tags, ',') AS tags"
 
 
 def ledger_of(spark: SparkSession, sf: str) -> EventLedger:
@@ -514,3 +514,234 @@ def exported(spark: SparkSession, sf: str) -> DataFrame:
 
 
 add("json_round_trip", exported, f"SELECT {STORED}, note FROM log")
+
+
+def every_type() -> Registry:
+    registry = Registry()
+    for kind in TYPES:
+        registry.event(kind)
+    return registry
+
+
+def _seeded(spark: SparkSession, sf: str) -> DataFrame:
+    """An import that keeps its transactions; the next append follows the largest of them."""
+    ledger = EventLedger(spark, fresh_folder(spark, "ledger"))
+    ledger.import_events(log_view(spark, sf).drop("value"), keep_tx=True)
+    ledger.stream(StreamId(SHOP, "u1"), every_type()).append(EphemeralEvent("signup", {}, Tags.of("user:0")))
+    return rows(EventLedger(spark, ledger.base).snapshot())
+
+
+add(
+    "ledger_seeded", _seeded,
+    f"SELECT {ROW} FROM log UNION ALL SELECT max(position) + 1, max(tx) + 1, 'signup', 'shop#u1', 'user:0' FROM log",
+)
+
+
+def _type_counts(ledger: EventLedger) -> list[tuple[str, int]]:
+    """A row a type."""
+    return sorted(tuple(r) for r in ledger.snapshot().groupBy("event_type").agg(F.count("*")).collect())
+
+
+def _one_transaction(ledger: EventLedger) -> DataFrame:
+    """An event a type, with that type's count, appended as one transaction: contiguous positions, one number."""
+    stream = ledger.stream(StreamId(OPS, "totals"), every_type())
+    stream.append([EphemeralEvent(kind, {"n": n}, Tags.of("total", f"of:{kind}")) for kind, n in _type_counts(ledger)])
+    back = stream.events(Q.for_events(tags=["total"]))
+    return back.select("position", "tx", "event_type", F.get_json_object("data", "$.n").cast("long").alias("n"), F.array_join("event_tags", ",").alias("tags"))
+
+
+written(
+    "ledger_append_transaction", _one_transaction,
+    """, t AS (SELECT event_type, count(*) AS n FROM log GROUP BY 1)
+SELECT (SELECT max(position) FROM log) + row_number() OVER (ORDER BY event_type) AS position, CAST(2 AS BIGINT) AS tx, event_type, n, 'of:' || event_type || ',total' AS tags FROM t""",
+)
+
+
+def _versions(ledger: EventLedger) -> DataFrame:
+    """The log as it was before appends and a compaction."""
+    stream = ledger.stream(StreamId(OPS, "totals"), every_type())
+    for kind in TYPES:
+        stream.append(EphemeralEvent(kind, {}))
+    ledger.compact()
+    return rows(ledger.snapshot(1))
+
+
+written("ledger_earlier_version", _versions, f"SELECT {STORED} FROM log")
+
+
+def _keys(ledger: EventLedger) -> DataFrame:
+    """How many events an idempotency key lets in: at first, again, and through a ledger opened anew."""
+    first, later = (EventLedger(ledger.spark, ledger.base).stream(StreamId(OPS, "keys"), every_type()) for _ in range(2))
+    found = []
+    for kind, n in _type_counts(ledger):
+        event = EphemeralEvent(kind, {"n": n}, Tags(), f"key of {kind}")
+        found.append((kind, *[len(s.append(event)) for s in (first, first, later)]))
+    return ledger.spark.createDataFrame(found, "event_type string, first long, again long, reopened long")
+
+
+written("ledger_idempotency", _keys, 'SELECT event_type, CAST(1 AS BIGINT) AS "first", CAST(0 AS BIGINT) AS again, CAST(0 AS BIGINT) AS reopened FROM log GROUP BY 1')
+
+
+def _legacy_conflicts(ledger: EventLedger) -> DataFrame:
+    """Whether an append that watches a current type and knows half the log is refused: stored legacy rows that become that type count."""
+    half = ledger.snapshot().agg((F.max("position") / 2).cast("long")).first()[0]
+    registry, found = history(), []
+    for kind in ("order_placed", "payment_made", "signup", "tap", "view"):
+        watched = AppendCriteria(registry.widened(EventFilter.for_events([kind])), EventReference("x", half, 1))
+        try:
+            ledger.append(watched, StreamId.any(), [])
+            found.append((kind, False))
+        except OptimisticLockingError:
+            found.append((kind, True))
+    return ledger.spark.createDataFrame(found, "event_type string, refused boolean")
+
+
+written(
+    "ledger_legacy_conflicts", _legacy_conflicts,
+    """, m AS (SELECT unnest([('order_placed', 'purchase'), ('payment_made', 'purchase'), ('signup', 'signup'), ('tap', 'click'), ('view', 'view')]) AS pair)
+SELECT pair[1] AS event_type, EXISTS (SELECT 1 FROM log WHERE event_type = pair[2] AND position > (SELECT CAST(floor(max(position) / 2) AS BIGINT) FROM log)) AS refused FROM m""",
+)
+
+
+def _upcast_stream(ledger: EventLedger) -> DataFrame:
+    """A stream of every purpose of one context, read with today's types and bounded by the earlier of two references."""
+    middle = ledger.snapshot().agg((F.max("position") / 2).cast("long")).first()[0]
+    stream = ledger.stream(StreamId(SHOP, None), history())
+    query = Q.match_all().until(EventReference("x", middle, 1, 9)).until_if_earlier(EventReference("x", middle + 100, 1))
+    return stream.events(query).select("position", F.col("index").cast("long").alias("index"), "event_type", "stored_type")
+
+
+written(
+    "ledger_stream_upcast_until", _upcast_stream,
+    """, s AS (SELECT * FROM log WHERE stream_context = 'shop' AND position <= (SELECT CAST(floor(max(position) / 2) AS BIGINT) FROM log))
+SELECT position, CAST(0 AS BIGINT) AS index, CASE event_type WHEN 'click' THEN 'tap' WHEN 'purchase' THEN 'order_placed' ELSE event_type END AS event_type, event_type AS stored_type FROM s WHERE event_type <> 'error'
+UNION ALL SELECT position, 1, 'payment_made', event_type FROM s WHERE event_type = 'purchase'""",
+)
+
+
+def _hard_limit(ledger: EventLedger) -> DataFrame:
+    """For each type, whether a store limited to a fifth of the log refuses to read it whole."""
+    fifth = ledger.snapshot().count() // 5
+    stream = EventLedger(ledger.spark, ledger.base, hard_limit=fifth).stream(StreamId.any(), every_type())
+    found = []
+    for kind in TYPES:
+        try:
+            stream.events(Q.for_events([kind]))
+            found.append((kind, False))
+        except LimitExceeded:
+            found.append((kind, True))
+    return ledger.spark.createDataFrame(found, "event_type string, refused boolean")
+
+
+written("ledger_hard_limit", _hard_limit, "SELECT event_type, count(*) > (SELECT count(*) // 5 FROM log) AS refused FROM log GROUP BY 1")
+
+
+def _bookmark_files(ledger: EventLedger) -> DataFrame:
+    """Bookmarks as one document each, one of them deleted, read back."""
+    folder = fresh_folder(ledger.spark, "bookmark-files")
+    ends = ledger.snapshot().groupBy("event_type").agg(F.max(F.struct("position", "event_id")).alias("r"))
+    for row in ends.collect():  # a row a type
+        ledger.place_bookmark(f"reader/{row['event_type']}", EventReference(row["r"]["event_id"], row["r"]["position"], 1), Tags.of(f"of:{row['event_type']}"))
+    for mark in ledger.bookmarks():
+        jsonio.write_bookmark(folder, mark)
+    jsonio.delete_bookmark(folder, "reader/error")
+    return jsonio.read_bookmarks(ledger.spark, folder).select("reader", "position", "tx", "event_id", F.array_join("tags", ",").alias("tags"))
+
+
+written(
+    "ledger_bookmark_files", _bookmark_files,
+    """SELECT 'reader/' || event_type AS reader, max(position) AS position, CAST(1 AS BIGINT) AS tx, CAST(max(position) - 1 AS VARCHAR) AS event_id, 'of:' || event_type AS tags
+FROM log WHERE event_type <> 'error' GROUP BY event_type""",
+)
+
+
+def _resumed(ledger: EventLedger) -> DataFrame:
+    """A fold up to the log's middle, then the rest, in pages of 10,000: what each run handled and asked, and where it ended."""
+    middle = ledger.snapshot().agg((F.max("position") / 2).cast("long")).first()[0]
+    projector = Projector(ledger.stream(StreamId.any(), every_type()), _Totals(("purchase", "error")), batch_size=10_000)
+    runs = [projector.run_until(EventReference("x", middle, 1)), projector.run()]
+    found = [(i + 1, m.handled, m.queries, m.last.position) for i, m in enumerate(runs)]
+    return ledger.spark.createDataFrame(found, "run long, handled long, queries long, last long")
+
+
+written(
+    "ledger_projector_resumed", _resumed,
+    """, p AS (SELECT position, CASE WHEN position <= (SELECT CAST(floor(max(position) / 2) AS BIGINT) FROM log) THEN 1::BIGINT ELSE 2 END AS run FROM log WHERE event_type IN ('purchase', 'error'))
+SELECT run, count(*) AS handled, count(*) // 10000 + 1 AS queries, max(position) AS last FROM p GROUP BY 1""",
+)
+
+
+class _Poisoned(_Totals):
+    def __init__(self, kinds: tuple[str, ...], poison: int):
+        super().__init__(kinds)
+        self.poison = poison
+
+    def when(self, event) -> None:
+        if event.reference.position >= self.poison:
+            raise ValueError("poison")
+        super().when(event)
+
+
+def _poison(ledger: EventLedger) -> DataFrame:
+    """A projection that fails in the log's second half: which event it names, and the bookmark, which is the end of the last whole page."""
+    middle = ledger.snapshot().agg((F.max("position") / 2).cast("long")).first()[0]
+    projector = Projector(ledger.stream(StreamId.any(), every_type()), _Poisoned(("view",), middle), batch_size=1_000, bookmark="poisoned")
+    try:
+        projector.run()
+        failed = None
+    except ProjectionError as e:
+        failed = e.reference.position
+    reached = ledger.bookmark("poisoned")
+    return ledger.spark.createDataFrame([(failed, reached.position if reached else None)], "failed long, bookmark long")
+
+
+written(
+    "ledger_poison", _poison,
+    """, v AS (SELECT position, row_number() OVER (ORDER BY position) AS nth FROM log WHERE event_type = 'view'),
+f AS (SELECT min(nth) AS nth, min(position) AS position FROM v WHERE position >= (SELECT CAST(floor(max(position) / 2) AS BIGINT) FROM log))
+SELECT f.position AS failed, (SELECT max(position) FROM v WHERE v.nth <= (f.nth - 1) // 1000 * 1000) AS bookmark FROM f""",
+)
+
+
+def _table(ledger: EventLedger) -> DataFrame:
+    """A read model in a table, made from the import and brought up to date after appends, by jobs over what is new."""
+    stream = ledger.stream(StreamId.any(), every_type())
+
+    def delta(events: DataFrame) -> DataFrame:
+        return events.groupBy(R.tag_value("user").alias("user")).agg(F.count("*").alias("n"), F.max("position").alias("last"))
+
+    projector = TableProjector(
+        stream, Q.for_events(["click", "view"]), ["user"], delta, {"n": add_up, "last": newest}, fresh_folder(ledger.spark, "read-model"), "per user",
+    )
+    projector.run()
+    shop = ledger.stream(StreamId(SHOP, "u0"), every_type())
+    shop.append([EphemeralEvent("click", {}, Tags.of("user:8")), EphemeralEvent("view", {}, Tags.of("user:new")), EphemeralEvent("error", {}, Tags.of("user:8"))])
+    projector.run()
+    projector.run()
+    return projector.table()
+
+
+written(
+    "ledger_table_projection", _table,
+    """, seen AS (SELECT substr(list_filter(event_tags, lambda t: starts_with(t, 'user:'))[1], 6) AS "user", position FROM log WHERE event_type IN ('click', 'view')
+  UNION ALL SELECT '8', max(position) + 1 FROM log UNION ALL SELECT 'new', max(position) + 2 FROM log)
+SELECT "user", count(*) AS n, max(position) AS last FROM seen GROUP BY 1""",
+)
+
+
+def _told(ledger: EventLedger) -> DataFrame:
+    """What listeners hear of: each append's reference, where their stream can read it."""
+    heard: list[tuple[str, int]] = []
+    for name, stream in (("every", StreamId.any()), ("shop", StreamId(SHOP, None)), ("u1", StreamId(None, "u1"))):
+        ledger.stream(stream).on_append_eventually(lambda r, name=name: heard.append((name, r.position)))
+    for context, purpose in ((SHOP, "u1"), (SHOP, "u2"), (OPS, "u1"), (OPS, "u2")):
+        ledger.stream(StreamId(context, purpose), every_type()).append([EphemeralEvent("view", {}), EphemeralEvent("view", {})])
+    ledger.close()
+    return ledger.spark.createDataFrame(sorted(heard), "listener string, position long")
+
+
+written(
+    "ledger_listeners", _told,
+    """, top AS (SELECT max(position) AS p FROM log), h AS (SELECT unnest([('every', 2), ('every', 4), ('every', 6), ('every', 8), ('shop', 2), ('shop', 4), ('u1', 2), ('u1', 6)]) AS pair)
+SELECT pair[1] AS listener, p + pair[2] AS position FROM h, top""",
+)
