@@ -52,16 +52,16 @@ def unprocessed(log: DataFrame, read_model: DataFrame) -> DataFrame:
     return log.join(read_model, log["position"] == read_model["event_position"], "left_anti")
 
 
-def out_of_order(log: DataFrame, ranges: int = 64) -> DataFrame:
+def out_of_order(log: DataFrame, rows_of_a_range: int = 100_000) -> DataFrame:
     """Events whose tx is smaller than that of the event one position before.
 
     Instead of one window over the whole log, positions are cut into ranges: a window in each, and
     the last row of every range (a small table) stitched to the first of the next.
     """
-    low, high = log.agg(F.min("position"), F.max("position")).first()
+    low, high, n = log.agg(F.min("position"), F.max("position"), F.count("*")).first()
     if low is None:
         return log.select("position", "tx", F.lit(None).cast("long").alias("prev_position"), F.lit(None).cast("long").alias("prev_tx")).where(F.lit(False))
-    size = max(1, -(-(high - low + 1) // ranges))
+    size = max(1, (high - low + 1) * rows_of_a_range // n)
     rows = log.select("position", "tx", ((F.col("position") - low) / size).cast("long").alias("range"))
     w = Window.partitionBy("range").orderBy("position")
     inside = rows.withColumns({"prev_tx": F.lag("tx").over(w), "prev_position": F.lag("position").over(w)})

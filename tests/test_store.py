@@ -676,3 +676,68 @@ def test_an_import_may_keep_transactions(spark, tmp_path, sf):
     empty = EventLedger(spark, str(tmp_path / "none"))
     assert empty.import_events(rows.limit(0), keep_tx=True) == 0
     assert empty.stream(StreamId("shop", "u1"), Registry().event("view")).append(ev("view"))[0].reference.position == 1
+
+
+def test_a_projector_reads_ahead(six):
+    """Pages are the same whatever is read ahead; the log is asked rarely."""
+    refs = {e.reference.position: e.reference for e in six.query(Q.match_all())}
+    for ahead, asked in ((1, 5), (3, 3), (4, 2), (100, 2)):  # the last query of each finds nothing
+        p = Count(BOTH)
+        projector = Projector(six, p, batch_size=1, read_ahead=ahead)
+        calls, fetch = [], projector._fetch
+        projector._fetch = lambda *a: calls.append(a) or fetch(*a)  # noqa: B023
+        m = projector.run()
+        assert (m.queries, m.handled, p.seen, p.calls.count("after")) == (5, 4, ["1", "3", "4", "6"], 4), ahead
+        assert len(calls) == asked and projector.cursor.position == 6
+    limited = Projector(six, Count(BOTH.backwards().limited(3)), batch_size=2, read_ahead=100)
+    assert limited.run().handled == 3
+    assert Projector(six, Count(BOTH), batch_size=2, read_ahead=3).run_until(refs[4]).handled == 3
+    single = Projector(six, Count(BOTH), batch_size=2, read_ahead=100)
+    assert single.run_single_batch().handled == 2 and single.cursor.position == 3 and single.run().handled == 2
+
+
+def test_a_table_follows_the_log(spark, tmp_path):
+    """Upcast events, null keys, runs that die before their bookmark, runs without anything new, two projectors of one table."""
+    from quillstream.plans.reader import tag_value
+    from quillstream.streaming.projector import TableProjector, add_up, newest
+
+    s = customers(spark, str(tmp_path / "log"))
+
+    def delta(events):
+        return events.groupBy(tag_value("customer").alias("who.is"), "event_type").agg(F.count("*").alias("n"), F.max("position").alias("last"))
+
+    def projector(folder="table"):
+        return TableProjector(s, Q.for_events(["Customer", "AddressRecorded"]), ["who.is", "event_type"], delta, {"n": add_up, "last": newest}, str(tmp_path / folder), "table")
+
+    one = projector()
+    assert one.table() is None
+    assert one.run().position == 4
+    first = {("1", "CustomerRegistered"): (1, 1), ("1", "AddressRecorded"): (1, 1), ("1", "CustomerRenamed"): (1, 3), ("1", "CustomerChurned"): (1, 4)}
+    table = lambda p: {(r[0], r.event_type): (r.n, r.last) for r in p.table().collect()}
+    assert table(one) == first and one.run().position == 4
+    s.append([ev("CustomerChurned", {}), ev("CustomerChurned", {}, "customer:1")])
+    dying = projector()
+    dying.stream = type("Dying", (), {"store": s.store, "registry": s.registry, "id": s.id, "place_bookmark": lambda *a: 1 / 0})()
+    with pytest.raises(ZeroDivisionError):
+        dying.run()
+    assert table(one) == first and s.bookmark("table").position == 4
+    second = first | {(None, "CustomerChurned"): (1, 5), ("1", "CustomerChurned"): (2, 6)}
+    assert projector().run().position == 6 and table(one) == second
+    s.append(ev("CustomerChurned", {}))
+    one.run()
+    assert table(one) == second | {(None, "CustomerChurned"): (2, 7)}
+    with pytest.raises(ValueError):
+        TableProjector(s, Q.match_all().limited(3), ["k"], delta, {}, "x", "y")
+
+
+def test_out_of_order_in_ranges_of_any_size(spark, sf):
+    from quillstream.operators.analytics import out_of_order
+    from quillstream.queries import log_view
+
+    log = log_view(spark, sf)
+    want = None
+    for size in (7, 100, 100_000):
+        got = sorted(map(tuple, out_of_order(log, size).collect()))
+        want = want or got
+        assert got == want and got
+    assert out_of_order(log.limit(0)).count() == 0
