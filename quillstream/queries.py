@@ -745,3 +745,17 @@ written(
     """, top AS (SELECT max(position) AS p FROM log), h AS (SELECT unnest([('every', 2), ('every', 4), ('every', 6), ('every', 8), ('shop', 2), ('shop', 4), ('u1', 2), ('u1', 6)]) AS pair)
 SELECT pair[1] AS listener, p + pair[2] AS position FROM h, top""",
 )
+
+
+def _indexed(ledger: EventLedger) -> DataFrame:
+    """Events with both tags, from the files that the tag index names and those written since."""
+    ledger.index_tags()
+    stream = ledger.stream(StreamId(SHOP, "u0"), every_type())
+    stream.append([EphemeralEvent("view", {}, Tags.of("user:8", "big")), EphemeralEvent("view", {}, Tags.of("user:8"))])
+    return rows(ledger.stream(StreamId.any(), every_type()).events(Q.for_events(tags=["user:8", "big"])))
+
+
+written(
+    "ledger_tag_index", _indexed,
+    f"SELECT {STORED} FROM log WHERE {has('user:8', 'big')} UNION ALL SELECT max(position) + 1, 2, 'view', 'shop#u0', 'big,user:8' FROM log",
+)

@@ -11,7 +11,8 @@ from quillstream import schema as S
 from quillstream.functions.serde import erasable, merge
 from quillstream.functions.upcast import PythonUpcaster, RegistrationError, Registry, Upcaster, dropped, renamed
 from quillstream.model import (
-    AppendCriteria, EphemeralEvent, EventFilter, EventQuery, EventReference, LedgerError, LimitExceeded, OptimisticLockingError, StreamId, Tags,
+    AppendCriteria, EphemeralEvent, EventFilter, EventQuery, EventReference, FilterItem, LedgerError, LimitExceeded,
+    OptimisticLockingError, StreamId, Tags,
 )
 from quillstream.sources import jsonio
 from quillstream.sources.store import EventLedger, InitMode
@@ -741,3 +742,29 @@ def test_out_of_order_in_ranges_of_any_size(spark, sf):
         want = want or got
         assert got == want and got
     assert out_of_order(log.limit(0)).count() == 0
+
+
+def test_the_tag_index_leaves_files_out_and_no_rows(spark, tmp_path):
+    """Files without the tags are not read; what came after the index, an erasure or a compaction is."""
+    ledger = EventLedger(spark, str(tmp_path / "data" / "it's 100%"))
+    s = ledger.stream(StreamId("app"), registry())
+    for i in range(8):
+        s.append([ev("First", {"v": i}, f"n:{i}", "all", "a'b"), ev("Second", {}, f"n:{i % 2}")])
+    found = lambda *tags, kinds=(): [e.reference.position for e in s.query(Q.for_events(list(kinds), list(tags)))]
+    read = lambda *items: len(ledger._paths(ledger.log.live_files(), EventFilter(items)))
+    want = {t: found(*t) for t in (("n:5",), ("n:1",), ("all",), ("n:1", "all"), ("a'b", "n:6"), ("none",))}
+    assert len(want["n:1",]) == 5 and ledger.index_tags() == 8
+    item = lambda *tags: FilterItem(frozenset(), Tags.of(*tags))
+    assert [read(item("n:5")), read(item("n:1")), read(item("n:1", "all")), read(item("none")), read(item())] == [1, 4, 4, 0, 8]
+    assert read(item("n:5"), item("n:6", "a'b")) == 2 and read(item("n:5"), FilterItem(frozenset({"First"}), Tags())) == 8
+    assert {t: found(*t) for t in want} == want and found() == list(range(1, 17))
+    s.append(ev("Third", {}, "n:5"))
+    assert read(item("n:5")) == 2 and found("n:5") == want["n:5",] + [17]
+    with pytest.raises(OptimisticLockingError):
+        ledger.log._floor = 9  # as after a checkpoint: the files decide
+        s.append(ev("Third"), AppendCriteria.of(EventFilter.for_events(tags=["n:3"]), None))
+    ledger.erase(F.col("position") == 1, "{}")
+    assert {t: found(*t) for t in want} == want | {("n:5",): want["n:5",] + [17]}
+    ledger.compact()
+    ledger.index_tags()
+    assert found("n:5") == want["n:5",] + [17] and found("none") == []
