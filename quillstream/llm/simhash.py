@@ -6,8 +6,9 @@ counts (the radii plus one sum to distance + 1, so no pair within distance can e
 meet the index on (partition, value), are verified by Hamming distance, and connected components
 of the verified links are labelled.
 
-The number of partitions follows from the number of fingerprints (partitions_for); value counts and radii costs
-of each partition, at most 2 ** 22 values, are held on the driver and broadcast.
+The number of partitions follows from the number of fingerprints (partitions_for). The driver holds and broadcasts of
+each partition the radii costs of at most 2 ** CELL_BITS cells of values, one bit for each of at most 2 ** 22 values,
+and the values that need several tiles. Counts of single values stay in a table.
 
 Defined results: a null text is an empty one; texts without words have fingerprint zero and link
 to each other; a text of any length is taken whole; a null id keeps its row, never names a component unless
@@ -29,6 +30,8 @@ from quillstream.llm._support import named, ship, stored
 BITS = 64
 #: Index rows of one (partition, value) that a task may hold; a more frequent value is dealt out in tiles.
 TILE_ROWS = 8192
+#: Bits of a partition by whose values costs are told apart; values of a wider partition that agree in these share their cell's.
+CELL_BITS = 16
 #: Candidate pairs compared at a time.
 PAIRS_AT_ONCE = 1 << 20
 #: What a probe row costs against a comparison, for the dynamic program.
@@ -131,8 +134,8 @@ def group_bits(together: np.ndarray, total: int, parts: int) -> list[list[int]]:
     return groups
 
 
-def value_counts(uniq: DataFrame, groups: list[list[int]]) -> list[np.ndarray]:
-    """How many distinct fingerprints have each value of each partition: at most 2 ** width entries."""
+def value_counts(uniq: DataFrame, groups: list[list[int]]) -> DataFrame:
+    """(part, value, n): how many distinct fingerprints have each value of each partition, a table in the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,30 +150,73 @@ def value_counts(uniq: DataFrame, groups: list[list[int]]) -> list[np.ndarray]:
                 [pa.array(np.concatenate(x)) for x in (part, value, n)], names=["part", "value", "n"]
             )
 
-    counts = [np.zeros(1 << len(bits)) for bits in groups]
-    summed = (
-        uniq.select("fp").mapInArrow(run, "part int, value long, n long")
-        .groupBy("part", "value").agg(F.sum("n").alias("n")).toPandas()
-    )
-    for g in range(len(groups)):
-        own = summed[summed["part"] == g]
-        counts[g][own["value"].to_numpy()] = own["n"].to_numpy()
-    return counts
+    rows = uniq.select("fp").mapInArrow(run, "part int, value long, n long")
+    return stored(rows.groupBy("part", "value").agg(F.sum("n").alias("n")), "value-counts")
+
+
+class Partition:
+    """What the driver holds of one partition's values: counts by cell, which values occur, which need several tiles.
+
+    A cell is the values that agree in all but the lowest `fine` bits; up to CELL_BITS bits, a cell is one value.
+    """
+
+    def __init__(self, width: int):
+        self.width, self.fine = width, max(0, width - CELL_BITS)
+        self.counts = np.zeros(1 << (width - self.fine))
+        self.own = np.zeros(1 << (width - self.fine))  # fingerprints that share the value of one in the cell, on the mean
+        self.occurs = np.zeros(-(-(1 << width) // 8), dtype=np.uint8)
+        self.wide, self.dealt = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+
+    def tiles(self, values: np.ndarray) -> np.ndarray:
+        """In how many tiles each value is dealt; none if no fingerprint has it."""
+        out = (self.occurs[values >> 3] >> (values & 7).astype(np.uint8) & 1).astype(np.int64)
+        if len(self.wide):
+            at = np.minimum(np.searchsorted(self.wide, values), len(self.wide) - 1)
+            hit = self.wide[at] == values
+            out[hit] = self.dealt[at[hit]]
+        return out
+
+
+def partitions_of(counted: DataFrame, widths: list[int]) -> list[Partition]:
+    """The partitions' summaries, aggregated before they come to the driver.
+
+    counted: (part, value, n). Rows sent: a cell each, a bitmap of 32,768 values each, a value of over TILE_ROWS fingerprints each.
+    """
+    found = [Partition(w) for w in widths]
+    fine = F.element_at(F.array(*[F.lit(p.fine) for p in found]), F.col("part") + 1)
+    cell = F.floor(F.col("value") / F.pow(F.lit(2), fine)).cast("int")
+    cells = counted.groupBy("part", cell.alias("cell")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("square")).toArrow()
+    part, cell, n, square = (c.to_numpy() for c in cells.columns)
+    for g, p in enumerate(found):
+        at = cell[part == g]
+        p.counts[at] = n[part == g]
+        p.own[at] = square[part == g] / n[part == g]
+    bits = F.bitmap_construct_agg(F.col("value").bitwiseAND(32767)).alias("bits")
+    for row in counted.groupBy("part", F.shiftright("value", 15).alias("at")).agg(bits).collect():
+        own = found[row["part"]].occurs
+        begin = row["at"] << 12
+        own[begin : begin + 4096] = np.frombuffer(row["bits"], np.uint8)[: len(own) - begin]
+    wide = counted.where(F.col("n") > TILE_ROWS).toArrow().sort_by("value")
+    part, value, n = (c.to_numpy() for c in wide.columns)
+    for g, p in enumerate(found):
+        p.wide, p.dealt = value[part == g], (-(-n[part == g] // TILE_ROWS)).astype(np.int32)
+    return found
 
 
 def within_radius(counts: np.ndarray, width: int, most: int) -> np.ndarray:
-    """Row r: how many fingerprints lie within r flipped bits of each value."""
-    exact = [counts.astype(np.float64)] + [np.zeros_like(counts, dtype=np.float64) for _ in range(most)]
+    """Row r: how many fingerprints lie within r flipped bits of each value; with counts of cells, of a value of the cell on the mean."""
+    fine = width - (len(counts).bit_length() - 1)
+    exact = [counts / 2.0**fine] + [np.zeros_like(counts, dtype=np.float64) for _ in range(most)]
     at = np.arange(len(counts))
-    for b in range(width):
+    for b in range(-fine, width - fine):  # the lowest bits do not leave the cell
         for r in range(most, 0, -1):
-            exact[r] = exact[r] + exact[r - 1][at ^ (1 << b)]
+            exact[r] = exact[r] + (exact[r - 1][at ^ (1 << b)] if b >= 0 else exact[r - 1])
     return np.cumsum(exact, axis=0)
 
 
 def radii(values: list[np.ndarray], costs: list[np.ndarray], distance: int) -> np.ndarray:
     """For each fingerprint the radii (-1: not probed) of least estimated cost whose sum of
-    (radius + 1) is distance + 1. costs[g][r, value]: cost of radius r in partition g."""
+    (radius + 1) is distance + 1. values: in each partition its value, or its cell; costs[g][r, value]: cost of radius r in partition g."""
     n, need = len(values[0]), distance + 1
     best = np.full((need + 1, n), np.inf)
     best[0] = 0
@@ -252,35 +298,34 @@ def links(uniq: DataFrame, distance: int, partitions: int | None = None) -> Data
     groups = group_bits(bit_counts(uniq), total, partitions)
     widths = [len(g) for g in groups]
     if max(widths) > 22:
-        raise ValueError("at least 3 partitions are needed: value counts are held on the driver")
-    counts = value_counts(uniq, groups)
+        raise ValueError("at least 3 partitions are needed: a bit for each value is held on the driver")
+    held = partitions_of(value_counts(uniq, groups), widths)
     most = min(distance, 2)
     if (most + 1) * partitions < distance + 1:
         most = -(-(distance + 1) // partitions) - 1
     masks = [[_masks(w, r) for r in range(most + 1)] for w in widths]
     costs = [
-        (within_radius(c, w, most) + PROBE_COST * np.array([[len(m)] for m in masks[g]])).astype(np.float32)
-        for g, (c, w) in enumerate(zip(counts, widths, strict=True))
+        (within_radius(p.counts, p.width, most) + (p.own - p.counts / 2.0**p.fine) + PROBE_COST * np.array([[len(m)] for m in masks[g]])).astype(np.float32)
+        for g, p in enumerate(held)
     ]
-    tiles = [np.maximum(1, -(-c // TILE_ROWS)).astype(np.int32) for c in counts]
-    for g, c in enumerate(counts):
-        tiles[g][c == 0] = 0  # a value that no fingerprint has needs no probe
-    plan = spark.sparkContext.broadcast((groups, costs, tiles, masks))  # (most + 2) * sum(2 ** width) numbers
+    for p in held:
+        p.counts = p.own = None  # only the costs are asked from here on
+    plan = spark.sparkContext.broadcast((groups, costs, held, masks))  # (most + 1) * parts * 2 ** CELL_BITS numbers and the bitmaps
 
     def keys(g: int, value: np.ndarray, tile: np.ndarray) -> np.ndarray:
         return (np.int64(g) << np.int64(56)) | (value << np.int64(32)) | tile
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, costs, tiles, masks = plan.value
+        groups, costs, held, masks = plan.value
         for batch in batches:
             signed = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             prints = signed.view(np.uint64)
             values = _values(prints, groups)
-            chosen = radii(values, costs, distance)
+            chosen = radii([v >> p.fine for v, p in zip(values, held, strict=True)], costs, distance)
             mix = ((prints * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
             key, fp, probe = [], [], []
             for g, v in enumerate(values):
-                key.append(keys(g, v, mix % tiles[g][v]))
+                key.append(keys(g, v, mix % held[g].tiles(v)))
                 fp.append(signed)
                 probe.append(np.zeros(len(v), dtype=bool))
                 for r in range(len(masks[g])):
@@ -289,7 +334,7 @@ def links(uniq: DataFrame, distance: int, partitions: int | None = None) -> Data
                         continue
                     met = (v[own][:, None] ^ masks[g][r][None, :]).ravel()
                     who = np.repeat(signed[own], len(masks[g][r]))
-                    k = tiles[g][met].astype(np.int64)
+                    k = held[g].tiles(met)
                     met, who, k = met[k > 0], who[k > 0], k[k > 0]
                     tile = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
                     key.append(keys(g, np.repeat(met, k), tile))
