@@ -79,6 +79,17 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Share of the driver's largest heap beyond which the heap is collected and given back between two plans.
+GROWN = 0.5
+
+
+def tidy_if_grown(spark: SparkSession) -> None:
+    """Tidy once the heap has grown: planning leaves garbage, for which the heap would rather grow than be collected."""
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > GROWN * runtime.maxMemory():
+        tidy(spark)
+
+
 #: Bits of a key filter, in bitmaps of 32,768: at most 2 MB, whatever the number of keys. More bits pay off above ten million keys.
 FILTER_BITS = 1 << 24
 

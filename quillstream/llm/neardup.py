@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm._support import key_filter, may_be_in, named, ship, stored
+from quillstream.llm._support import key_filter, may_be_in, named, ship, stored, tidy_if_grown
 from quillstream.llm.simhash import BITS, TILE_ROWS, components, links, spanning_edges
 
 #: Differing bits of 64 within which SimHash groups documents before their sets are compared.
@@ -414,7 +414,9 @@ def near_groups(rows: DataFrame, shingle: int = 5) -> tuple[DataFrame, DataFrame
     uniq = stored(first.groupBy("fp").agg(F.min("doc").alias("first"), F.count("*").alias("n")), "set-fingerprints")
     near = components(links(uniq, CLOSE_BITS))
     grouped = rooted(first.select("doc", "size", "fp"), "fp", "grp", near).select("doc", "grp", F.col("doc").alias("top"), "size")
+    tidy_if_grown(spark)
     roots = stored(components(decided(rows, grouped, shingle)), "close-roots")
+    tidy_if_grown(spark)
     # prefix filter: every other pair that can be similar
     sampled = found.where("grams IS NOT NULL").dropDuplicates(["low", "high", "size"])
     ranked = spark.sparkContext.broadcast(frequent(sampled))
@@ -424,9 +426,12 @@ def near_groups(rows: DataFrame, shingle: int = 5) -> tuple[DataFrame, DataFrame
     placed = rooted(under.where("__may").select("doc", "text"), "doc", "top", roots).select("doc", "top", "text")
     paired = components(stored(candidates(keyed(alone.union(placed), shingle, ranked)), "candidates"))
     grouped = stored(rooted(with_group(first.select("doc", "size"), paired), "doc", "top", roots), "candidate-groups")
+    tidy_if_grown(spark)
     left = components(stored(sifted(grouped, first.select("doc", "counts")), "sifted"))
     grouped = with_group(grouped.drop("grp"), left)
+    tidy_if_grown(spark)
     more = stored(components(decided(rows, grouped, shingle)), "higher-roots")
+    tidy_if_grown(spark)
     tops = rooted(rooted(first.select("doc"), "doc", "mid", roots), "mid", "top", more).select("doc", "top")
     return found, stored(tops, "tops")
 
