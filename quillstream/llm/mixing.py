@@ -34,7 +34,7 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.llm._support import bind, named, stored
+from quillstream.llm._support import PLAN_CHARS, bind, named, setting, stored, tidy_if_grown
 
 MARGINS = ("source", "lang", "topic")
 #: Proportions of values that the query and the pipeline ask for.
@@ -88,34 +88,39 @@ class Topics:
 
     def of(self, measured: DataFrame) -> DataFrame:
         """measured with a column topic in place of the buckets."""
-        at = measured.join(self.means, F.col("__lang").eqNullSafe(F.col("__of_lang")), "left")
-        return at.withColumn("__topic", nearest(self.centres)).drop("__of_lang", *[f"__t{k}" for k in range(TERMS)], *[f"__m{k}" for k in range(TERMS)])
+        at = placed_at(measured.join(self.means, F.col("__lang").eqNullSafe(F.col("__of_lang")), "left"))
+        return at.withColumn("__topic", nearest(self.centres)).drop("__of_lang", *[f"__p{k}" for k in range(TERMS)])
 
 
-def _place(k: int) -> Column:
-    return F.col(f"__t{k}").cast("double") - F.coalesce(F.col(f"__m{k}"), F.lit(0.0))
+def placed_at(rows: DataFrame) -> DataFrame:
+    """rows with their places __p0.. in place of buckets and means; columns of their own, so that plans of many distances stay short."""
+    gone = [f"__{x}{k}" for x in "tm" for k in range(TERMS)]
+    places = [(F.col(f"__t{k}").cast("double") - F.coalesce(F.col(f"__m{k}"), F.lit(0.0))).alias(f"__p{k}") for k in range(TERMS)]
+    return rows.select("*", *places).drop(*gone)
 
 
 def nearest(centres: list[list[float]]) -> Column:
-    """Name of the nearest centre."""
-    distances = [reduce(lambda a, b: a + b, [_place(k) * (-2 * c[k]) for k in range(TERMS)], F.lit(sum(x * x for x in c))) for c in centres]
-    found = F.array(*distances)
-    return F.concat(F.lit("topic"), F.array_position(found, F.array_min(found)) - 1)
+    """Name of the nearest centre, each distance named once."""
+    distances = [reduce(lambda a, b: a + b, [F.col(f"__p{k}") * (-2 * c[k]) for k in range(TERMS)], F.lit(sum(x * x for x in c))) for c in centres]
+    found = [F.struct(d.alias("d"), F.lit(i).alias("i")) for i, d in enumerate(distances)]
+    return F.concat(F.lit("topic"), (F.least(*found) if len(found) > 1 else found[0])["i"])
 
 
 def topics(measured: DataFrame) -> Topics:
     """Topics of a stored table of measures with a column __lang; every round is one aggregation over all its rows."""
     lengths = [F.avg(f"__t{k}").alias(f"__m{k}") for k in range(TERMS)]
     means = stored(measured.where("__tokens > 0").groupBy(F.col("__lang").alias("__of_lang")).agg(*lengths), "language-means")
-    placed = measured.where("__tokens > 0").join(means, F.col("__lang").eqNullSafe(F.col("__of_lang")))
-    spread = placed.agg(*[F.stddev_pop(_place(k)).alias(f"s{k}") for k in range(TERMS)]).first()
+    placed = placed_at(measured.where("__tokens > 0").join(means, F.col("__lang").eqNullSafe(F.col("__of_lang"))))
+    spread = placed.agg(*[F.stddev_pop(f"__p{k}").alias(f"s{k}") for k in range(TERMS)]).first()
     if spread[0] is None:
         return Topics(means, [[0.0] * TERMS])
     widest = sorted(range(TERMS), key=lambda k: (-spread[k], k))[:TOPICS]
     centres = [[spread[k] if k == w else 0.0 for k in range(TERMS)] for w in widest]
     for _ in range(TOPIC_ROUNDS):
-        own = placed.withColumn("topic", nearest(centres)).groupBy("topic").agg(*[F.avg(_place(k)).alias(f"c{k}") for k in range(TERMS)])
-        moved = {r["topic"]: [float(r[f"c{k}"]) for k in range(TERMS)] for r in own.collect()}  # at most TOPICS rows
+        tidy_if_grown(placed.sparkSession)
+        own = placed.withColumn("topic", nearest(centres)).groupBy("topic").agg(*[F.avg(f"__p{k}").alias(f"c{k}") for k in range(TERMS)])
+        with setting(placed.sparkSession, spark_sql_maxPlanStringLength=PLAN_CHARS):
+            moved = {r["topic"]: [float(r[f"c{k}"]) for k in range(TERMS)] for r in own.collect()}  # at most TOPICS rows
         centres = [moved.get(f"topic{i}", c) for i, c in enumerate(centres)]
     return Topics(means, centres)
 
@@ -171,7 +176,9 @@ def fitted(cells: DataFrame, powers: dict[str, float], targets: dict[str, dict[s
             F.transform(F.array_sort(placed), lambda p: p["v"]).alias(f"at_{m}"),
         ]
     row = stored(row.select(*out), "cells-in-a-row")
-    return scaled_fit(stored(raked(row), "raked-row"), kept)
+    raked_row = stored(raked(row), "raked-row")
+    tidy_if_grown(cells.sparkSession)
+    return scaled_fit(raked_row, kept)
 
 
 def raked(row: DataFrame) -> DataFrame:
@@ -309,12 +316,14 @@ def calibrated(
 ) -> DataFrame:
     """(cell, weight, probability) from rows (source, lang, topic, tokens)."""
     cells = stored(measured.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")).where("tokens > 0"), "cells")
+    tidy_if_grown(measured.sparkSession)
     n = cells.count()
     if not n:
         return cells.select(_cell().alias("cell"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("probability"))
     if n <= CELLS_AT_ONCE:
         fit = stored(fitted(cells, powers, targets, kept), "raked")
         _warn(fit.select("gap").first()[0])
+        tidy_if_grown(measured.sparkSession)
         return fit.select(F.explode("fit").alias("f")).select("f.*")
     to = {m: wanted(cells, m, powers[m], targets.get(m, {})) for m in MARGINS}
     return probabilities(rake(cells, to), kept).select(_cell().alias("cell"), "weight", "probability")

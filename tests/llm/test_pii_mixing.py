@@ -265,3 +265,17 @@ def test_one_stray_row_does_not_shrink_the_rest(spark, monkeypatch):
     assert out.probability[out.doc_id == -1].item() == 1
     left = corpus_pipeline.mix(spark, both, "").count()
     assert left == out.selected.sum() and left > 0.6 * len(out)
+
+
+def test_plans_of_topics_name_each_distance_once(spark):
+    """The driver plans these again in every round: a mean is named once, not once for each centre and use."""
+    row = {"__lang": "en", "__tokens": 1} | {f"__t{k}": float(k) for k in range(mixing.TERMS)}
+    means = spark.createDataFrame([{"__of_lang": "en"} | {f"__m{k}": 0.5 for k in range(mixing.TERMS)}])
+    centres = [[float(i + k % 3) for k in range(mixing.TERMS)] for i in range(mixing.TOPICS)]
+    placed = mixing.Topics(means, centres).of(spark.createDataFrame([row]))
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("coalesce(") <= mixing.TERMS
+    away = [sum((k - 0.5 - c[k]) ** 2 for k in range(mixing.TERMS)) for c in centres]
+    assert placed.first()["__topic"] == f"topic{away.index(min(away))}" and placed.columns == ["__lang", "__tokens", "__topic"]
+    tied = mixing.Topics(means, [centres[2], centres[2], centres[0]]).of(spark.createDataFrame([row]))
+    assert tied.first()["__topic"] in ("topic0", "topic2")
