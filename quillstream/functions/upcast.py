@@ -144,8 +144,11 @@ class Registry:
         )
 
 
-def enrich(stored: DataFrame, registry: Registry, merge_erasable: bool = True) -> DataFrame:
-    """Stored rows as current events: stored_type, index and data beside the row's own columns."""
+def enrich(stored: DataFrame, registry: Registry, merge_erasable: bool = True, keep_vanished: bool = False) -> DataFrame:
+    """Stored rows as current events: stored_type, index and data beside the row's own columns.
+
+    With keep_vanished a row that stands for no event stays, with a null index.
+    """
     text = deep_merge(F.col("event_data"), F.col("event_erasable_data")) if merge_erasable else F.col("event_data")
     own = F.array(F.struct(F.col("stored_type").alias("type"), F.col("payload").alias("data"))).cast(PARTS)
     parts = own
@@ -153,7 +156,8 @@ def enrich(stored: DataFrame, registry: Registry, merge_erasable: bool = True) -
         of_type = F.col("stored_type") == name
         parts = F.when(of_type, upcaster.parts(F.when(of_type, F.col("payload")))).otherwise(parts)
     rows = stored.withColumnRenamed("event_type", "stored_type").withColumn("payload", text)
-    exploded = rows.select("*", F.posexplode(parts).alias("index", "part")).drop("payload")
+    explode = F.posexplode_outer if keep_vanished else F.posexplode
+    exploded = rows.select("*", explode(parts).alias("index", "part")).drop("payload")
     return exploded.withColumns({"event_type": F.col("part.type"), "data": F.col("part.data")}).drop("part")
 
 

@@ -6,6 +6,7 @@ of transactions differs from that of positions.
 
 from __future__ import annotations
 
+import copy
 from collections import Counter
 from collections.abc import Callable
 
@@ -22,7 +23,7 @@ from quillstream.plans import predicates as P
 from quillstream.plans import reader as R
 from quillstream.sources import jsonio
 from quillstream.sources.store import EventLedger
-from quillstream.streaming.projector import Projection, ProjectionError, Projector, TableProjector, add_up, newest
+from quillstream.streaming.projector import PiecewiseProjection, ProjectionError, Projector, TableProjector, add_up, newest
 from quillstream.streaming.source import into_table, project, read_stream, read_table
 from quillstream.workspace import fresh_folder
 
@@ -459,7 +460,7 @@ SELECT reader, CASE WHEN reader = 'shop#u0' THEN low ELSE high END AS position,
 )
 
 
-class _Totals(Projection):
+class _Totals(PiecewiseProjection):
     def __init__(self, kinds: tuple[str, ...]):
         self.kinds, self.n, self.last = kinds, Counter(), {}
 
@@ -470,6 +471,18 @@ class _Totals(Projection):
         self.n[event.type] += 1
         self.last[event.type] = event.reference.position
 
+    def piece(self) -> "_Totals":
+        made = copy.copy(self)
+        made.n, made.last = Counter(), {}
+        return made
+
+    def found(self) -> tuple[dict[str, int], dict[str, int]]:
+        return dict(self.n), self.last
+
+    def merge(self, found: tuple[dict[str, int], dict[str, int]]) -> None:
+        self.n.update(found[0])
+        self.last.update(found[1])
+
 
 def _projected(ledger: EventLedger) -> DataFrame:
     """A bookmarked projection run twice: the second run finds nothing new."""

@@ -768,3 +768,138 @@ def test_the_tag_index_leaves_files_out_and_no_rows(spark, tmp_path):
     ledger.compact()
     ledger.index_tags()
     assert found("n:5") == want["n:5",] + [17] and found("none") == []
+
+
+# ---- what the driver is sent ----
+
+
+def sent_to_driver(spark, run):
+    """What run returns, and the bytes of results that its tasks sent to the driver."""
+    context = spark.sparkContext._jsc.sc()
+
+    def total():
+        context.listenerBus().waitUntilEmpty(60_000)
+        stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.resultSize() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = total()
+    got = run()
+    return got, sum(n for stage, n in total().items() if stage not in before)
+
+
+def test_a_projector_gets_each_row_once(spark, tmp_path):
+    """A page was once a top-k whose every task sent a whole page; rows then crossed twice more to be upcast."""
+    from quillstream.streaming import projector as module
+
+    log = spark.range(16_000).select(
+        (F.col("id") + 1).alias("position"), F.col("id").cast("string").alias("event_id"), F.lit("app").alias("stream_context"), F.lit("").alias("stream_purpose"),
+        F.lit("First").alias("event_type"), F.current_timestamp().alias("event_timestamp"),
+        F.concat(F.lit('{"value":"'), *[F.sha2(F.concat("id", F.lit(f":{i}")), 256) for i in range(4)], F.lit('"}')).alias("event_data"), F.array().cast("array<string>").alias("event_tags"),
+    )
+    store = EventLedger(spark, str(tmp_path / "store"))
+    store.import_events(log.orderBy(F.sha2(F.col("event_id"), 256)).repartition(8))
+    stream = store.stream(StreamId.any(), registry())
+    rows, once = sent_to_driver(spark, lambda: store.snapshot().collect())
+    p = Count(Q.match_all())
+    done, sent = sent_to_driver(spark, lambda: Projector(stream, p, batch_size=500, read_ahead=1_000).run())
+    want = [json.loads(r.event_data)["value"] for r in sorted(rows, key=lambda r: r.position)]
+    assert p.seen == want and (done.queries, done.last.position) == (33, 16_000) and module.PART_HELD == 5_000
+    assert sent < 2 * once, (sent, once)
+    page, sent = sent_to_driver(spark, lambda: Projector(stream, Count(Q.match_all()), batch_size=500).run_single_batch())
+    assert page.handled == 500 and sent < once / 8, (sent, once)
+
+
+def test_events_that_come_during_a_run_are_folded(store):
+    s = store.stream(StreamId("app"), registry())
+    s.append([ev("First", {"value": str(i)}) for i in range(4)])
+
+    class Appending(Count):
+        def when(self, event):
+            super().when(event)
+            if event.data["value"] == "0":
+                s.append([ev("First", {"value": f"later {i}"}) for i in range(3)])
+
+    p = Appending(Q.match_all())
+    Projector(s, p, batch_size=2, read_ahead=2).run()
+    assert p.seen == ["0", "1", "2", "3", "later 0", "later 1", "later 2"]
+
+
+@pytest.mark.parametrize("name", ["ledger_projection"])
+def test_piecewise_queries_build_no_event_on_the_driver(spark, monkeypatch, name):
+    import duckdb
+
+    from quillstream.queries import QUERIES, SQL
+    from quillstream.streaming import projector as module
+
+    def refuse(row):
+        raise AssertionError("an event was sent to the driver")
+
+    monkeypatch.setattr(module, "event_of", refuse)
+    monkeypatch.setattr(module, "RANGE_ROWS", 300)
+    got = QUERIES[name](spark, "/root/testdata/sf0.01")
+    duckdb.sql("CREATE OR REPLACE VIEW events AS SELECT * FROM '/root/testdata/sf0.01/events.parquet'")
+    want = duckdb.sql(SQL[name])
+    assert sorted(tuple(r) for r in got.select(want.columns).collect()) == sorted(want.fetchall())
+
+
+def test_pieces_make_the_same_pages(spark, tmp_path, monkeypatch):
+    """Pages that span ranges, rows that upcast to two events or none, both directions, bounds, failures: as on the driver."""
+    from quillstream.queries import history, log_view
+    from quillstream.streaming import projector as module
+    from quillstream.streaming.projector import PiecewiseProjection
+
+    monkeypatch.setattr(module, "RANGE_ROWS", 40)
+    store = EventLedger(spark, str(tmp_path / "store"))
+    store.import_events(log_view(spark, "/root/testdata/sf0.001").drop("value").repartition(3), keep_tx=True)
+
+    class Driver(Projection):
+        def __init__(self, q, fail_at=None):
+            self.q, self.fail_at, self.seen, self.calls = q, fail_at, [], []
+
+        def query(self):
+            return self.q
+
+        def when(self, event):
+            r = event.reference
+            if r.position == self.fail_at:
+                raise ValueError("poison")
+            self.seen.append((r.tx, r.position, r.index, event.type, event.stored_type, str(event.data), str(event.stream), event.tags.texts(), event.timestamp))
+
+        def before_batch(self):
+            self.calls.append("before")
+
+        def after_batch(self, last):
+            self.calls.append(("after", last, len(self.seen)))
+
+        def cancel_batch(self):
+            self.calls.append("cancel")
+
+    class Pieces(Driver, PiecewiseProjection):
+        def piece(self):
+            return Pieces(self.q, self.fail_at)
+
+        def found(self):
+            return self.seen
+
+        def merge(self, found):
+            self.seen += found
+
+    stream = store.stream(StreamId.any(), history())
+    middle = EventReference("x", 31, 11)
+    for q in (Q.match_all(), Q.match_all().backwards(), Q.for_events(["payment_made", "view"]), Q.match_all().until(middle), Q.match_none(), Q.match_all().limited(7)):
+        for size in (7, 20, 50):
+            made = []
+            for kind in (Driver, Pieces):
+                p = kind(q)
+                projector = Projector(stream, p, batch_size=size)
+                m = projector.run()
+                made.append((p.seen, p.calls, m, projector.cursor))
+            assert made[0] == made[1], (q, size)
+    kept, views = [], [e.reference.position for e in stream.query(Q.for_events(["view"]))]
+    for kind in (Driver, Pieces):
+        p = kind(Q.for_events(["tap", "view"]), fail_at=views[-5])
+        projector = Projector(stream, p, batch_size=2)
+        with pytest.raises(ProjectionError, match="poison") as e:
+            projector.run()
+        kept.append((e.value.reference, str(e.value), type(e.value.__cause__), projector.cursor, p.calls, projector.metrics))
+    assert kept[0] == kept[1]
