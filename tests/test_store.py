@@ -824,7 +824,7 @@ def test_events_that_come_during_a_run_are_folded(store):
     assert p.seen == ["0", "1", "2", "3", "later 0", "later 1", "later 2"]
 
 
-@pytest.mark.parametrize("name", ["ledger_projection", "ledger_projector_resumed"])
+@pytest.mark.parametrize("name", ["ledger_projection", "ledger_projector_resumed", "ledger_poison"])
 def test_piecewise_queries_build_no_event_on_the_driver(spark, monkeypatch, name):
     import duckdb
 
