@@ -6,10 +6,12 @@ is never skipped; checkpoints hold versions, so a restart delivers exactly what
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-import pyarrow.dataset as ds
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
@@ -20,6 +22,8 @@ from quillstream.sources.store import ARROW_EVENTS, EventLedger
 from quillstream.workspace import ship_package
 
 FORMAT = "quillstream"
+#: Tasks that read the small files of a batch, rows read at a time, and bytes of a column that are read at a time.
+SMALL_FILE_TASKS, ROWS, BUFFER = 64, 5_000, 1 << 18
 
 
 class Files(InputPartition):
@@ -29,6 +33,24 @@ class Files(InputPartition):
         self.names, self.after, self.to = names, after, to
 
 
+def _tasks(names: list[str], after: int | None = None, to: int | None = None) -> list[Files]:
+    """A task for each file in a folder, which Spark has written; files of single appends share some."""
+    folders = [n for n in names if os.path.isdir(n)]
+    written = [os.path.join(n, f) for n in folders for f in sorted(os.listdir(n)) if not f.startswith(("_", "."))]
+    small = sorted(set(names) - set(folders))
+    size = max(1, -(-len(small) // SMALL_FILE_TASKS))
+    return [Files([f], after, to) for f in written] + [Files(small[i : i + size], after, to) for i in range(0, len(small), size)]
+
+
+def _may_have(group: pq.RowGroupMetaData, after: int, to: int) -> bool:
+    """Whether a row group can have a version of a range, by its statistics where it has them."""
+    for i in range(group.num_columns):
+        column = group.column(i)
+        if column.path_in_schema == "tx" and column.is_stats_set and column.statistics.has_min_max:
+            return column.statistics.max > after and column.statistics.min <= to
+    return True
+
+
 def _runs(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Ascending ranges, those without a gap between them joined."""
     out: list[tuple[int, int]] = []
@@ -71,25 +93,30 @@ class LogReader(DataSourceStreamReader):
         begin = start["version"]
         added = [c for c in log.commits(begin, end["version"]) if not c.replaces]
         kept = [c for c in added if all(log.files.exists(n) for n in c.files)]
-        names = [log.files.path(n) for c in kept for n in c.files if c.version > begin]
-        size = max(1, -(-len(names) // 64))
-        parts = [Files(names[i : i + size]) for i in range(0, len(names), size)]
+        parts = _tasks([log.files.path(n) for c in kept for n in c.files if c.version > begin])
         # of an import that begins earlier, the transactions that are asked for
-        parts += [Files([log.files.path(n) for n in c.files], begin, c.upto) for c in kept if c.version <= begin]
+        for c in kept:
+            if c.version <= begin:
+                parts += _tasks([log.files.path(n) for n in c.files], begin, c.upto)
         # erasure has put other files in place of these: their rows are read from the present snapshot, version by version
         live = [log.files.path(n) for n in log.live_files()]
         for first, last in _runs([(max(c.version, begin + 1), c.upto) for c in added if c not in kept]):
-            parts.append(Files(live, first - 1, last))
+            parts += _tasks(live, first - 1, last)
         return parts or [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        if partition.names:
-            tx = ds.field("tx")
-            rows = None if partition.after is None else (tx > partition.after) & (tx <= partition.to)
-            for name in partition.names:
-                for batch in ds.dataset(name, format="parquet").to_batches(filter=rows):
-                    if batch.num_rows:  # files that Spark wrote have times in nanoseconds
-                        yield from pa.Table.from_batches([batch]).select(ARROW_EVENTS.names).cast(ARROW_EVENTS, safe=False).to_batches()
+        """Rows a few thousand at a time, so memory does not grow with the files."""
+        for name in partition.names:
+            with pq.ParquetFile(name, buffer_size=BUFFER, pre_buffer=False) as file:
+                for group in range(file.num_row_groups):
+                    if partition.after is not None and not _may_have(file.metadata.row_group(group), partition.after, partition.to):
+                        continue
+                    for batch in file.iter_batches(ROWS, row_groups=[group], columns=ARROW_EVENTS.names, use_threads=False):
+                        if partition.after is not None:
+                            tx = batch.column("tx")
+                            batch = batch.filter(pc.and_(pc.greater(tx, partition.after), pc.less_equal(tx, partition.to)))
+                        if batch.num_rows:  # files that Spark wrote have times in nanoseconds
+                            yield from pa.Table.from_batches([batch]).select(ARROW_EVENTS.names).cast(ARROW_EVENTS, safe=False).to_batches()
 
     def __getstate__(self):
         return {"base": self.base, "start": self.start, "max_commits": self.max_commits, "_log": None, "_given": self._given}

@@ -789,8 +789,6 @@ def sent_to_driver(spark, run):
 
 def test_a_projector_gets_each_row_once(spark, tmp_path):
     """A page was once a top-k whose every task sent a whole page; rows then crossed twice more to be upcast."""
-    from quillstream.streaming import projector as module
-
     log = spark.range(16_000).select(
         (F.col("id") + 1).alias("position"), F.col("id").cast("string").alias("event_id"), F.lit("app").alias("stream_context"), F.lit("").alias("stream_purpose"),
         F.lit("First").alias("event_type"), F.current_timestamp().alias("event_timestamp"),
@@ -803,7 +801,7 @@ def test_a_projector_gets_each_row_once(spark, tmp_path):
     p = Count(Q.match_all())
     done, sent = sent_to_driver(spark, lambda: Projector(stream, p, batch_size=500, read_ahead=1_000).run())
     want = [json.loads(r.event_data)["value"] for r in sorted(rows, key=lambda r: r.position)]
-    assert p.seen == want and (done.queries, done.last.position) == (33, 16_000) and module.PART_HELD == 5_000
+    assert p.seen == want and (done.queries, done.last.position) == (33, 16_000)
     assert sent < 2 * once, (sent, once)
     page, sent = sent_to_driver(spark, lambda: Projector(stream, Count(Q.match_all()), batch_size=500).run_single_batch())
     assert page.handled == 500 and sent < once / 8, (sent, once)
@@ -835,7 +833,7 @@ def test_piecewise_queries_build_no_event_on_the_driver(spark, monkeypatch, name
         raise AssertionError("an event was sent to the driver")
 
     monkeypatch.setattr(module, "event_of", refuse)
-    monkeypatch.setattr(module, "RANGE_ROWS", 300)
+    monkeypatch.setattr(module, "RANGE_ROWS", 300, raising=False)
     got = QUERIES[name](spark, "/root/testdata/sf0.01")
     duckdb.sql("CREATE OR REPLACE VIEW events AS SELECT * FROM '/root/testdata/sf0.01/events.parquet'")
     want = duckdb.sql(SQL[name])
@@ -903,3 +901,41 @@ def test_pieces_make_the_same_pages(spark, tmp_path, monkeypatch):
             projector.run()
         kept.append((e.value.reference, str(e.value), type(e.value.__cause__), projector.cursor, p.calls, projector.metrics))
     assert kept[0] == kept[1]
+
+
+def test_a_stream_reads_files_apart_and_in_small_batches(spark, tmp_path):
+    """Once a whole folder was one task, whose worker held many large batches of several files."""
+    import pyarrow as pa
+
+    from quillstream.streaming.source import LogReader
+
+    wide = spark.range(60_000).select(
+        (F.col("id") + 1).alias("position"), (F.col("id") + 1).alias("tx"), F.col("id").cast("string").alias("event_id"), F.lit("app").alias("stream_context"),
+        F.lit("").alias("stream_purpose"), F.lit("First").alias("event_type"), F.current_timestamp().alias("event_timestamp"),
+        F.concat(F.lit('{"value":"'), *[F.sha2(F.concat("id", F.lit(f":{i}")), 256) for i in range(8)], F.lit('"}')).alias("event_data"), F.array(F.lit("nr:1")).alias("event_tags"),
+    )
+    store = EventLedger(spark, str(tmp_path / "store"))
+    store.import_events(wide.repartition(3), keep_tx=True)
+    s = store.stream(StreamId("app", "one"), registry())
+    for i in range(3):
+        s.append(ev("First", {"value": str(i)}))
+
+    def read(begin):
+        reader = LogReader(store.base, 0, 0)
+        parts = reader.partitions({"version": begin}, reader.latestOffset())
+        positions, most, floor = [], 0, pa.total_allocated_bytes()
+        for part in parts:
+            for batch in reader.read(part):
+                assert batch.num_rows <= 5_000
+                most = max(most, pa.total_allocated_bytes() - floor)
+                positions += batch.column("position").to_pylist()
+        return parts, sorted(positions), most
+
+    everything = list(range(1, 60_004))
+    parts, positions, most = read(0)
+    assert len(parts) == 6 and positions == everything and most < 16e6, most  # 31 MB of payloads
+    assert read(60_001)[1] == everything[60_001:] and read(31_234)[1] == everything[31_234:]
+    store.erase(F.lit(False))
+    for begin in (0, 31_234, 60_001):
+        parts, positions, most = read(begin)
+        assert positions == everything[begin:] and most < 16e6 and all(len(p.names) <= 1 for p in parts)
